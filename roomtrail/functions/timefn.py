@@ -23,7 +23,7 @@ def ceil_ts(ts, seconds: int) -> Column:
 
 def shift_ts(ts, seconds) -> Column:
     """``ts`` moved by a number of seconds (a literal or a column)."""
-    delta = _c(seconds) if isinstance(seconds, (str, Column)) else F.lit(float(seconds))
+    delta = _c(seconds).cast("double") if isinstance(seconds, (str, Column)) else F.lit(float(seconds))
     return F.timestamp_micros(F.unix_micros(_c(ts)) + F.round(delta * 1_000_000).cast("bigint"))
 
 

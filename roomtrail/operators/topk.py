@@ -134,3 +134,48 @@ def pressure_differences(wearable: DataFrame, environment: DataFrame, window_s:
         .withColumn("diff", F.col("wearable_hpa") - F.col("beacon_hpa"))
         .withColumn("abs_diff", F.abs("diff"))
     )
+
+
+def weakest_beacon_diagnostic(samples: DataFrame, window_s: int) -> DataFrame:
+    """Strongest and weakest beacon by window mean and by share of sample-time
+    winners, as a check on the sign of the signal scale."""
+    from .windows import rssi_window_agg
+
+    keys = ["session_id", "w"]
+    means = rssi_window_agg(samples, window_s)
+    by_mean = means.groupBy(*keys).agg(
+        F.min_by("beacon", F.struct((-F.col("rssi_mean")).alias("a"), F.col("beacon").alias("b"))).alias("max_beacon"),
+        F.min_by("beacon", F.struct(F.col("rssi_mean").alias("a"), F.col("beacon").alias("b"))).alias("min_beacon"),
+    )
+
+    def by_share(name: str, descending: bool) -> DataFrame:
+        share = strongest_share(samples, window_s, descending)
+        return share.groupBy(*keys).agg(
+            F.min_by("beacon", F.struct((-F.col("wins")).alias("a"), F.col("beacon").alias("b"))).alias(f"prop_{name}_beacon"),
+            F.max("share").alias(f"prop_{name}_fraction"),
+        )
+
+    return by_mean.join(by_share("max", True), keys).join(by_share("min", False), keys)
+
+
+def interval_mode(intervals: DataFrame, windows: DataFrame, window_s: int, default: str = "Out") -> DataFrame:
+    """Room with the most samples among windows starting in ``[start, end)``,
+    and the best gap inside; ``default`` without any window.
+
+    Intervals explode to the window starts they hold, then an equi-join."""
+    from ..functions.timefn import bins, ceil_ts
+
+    key = ["session_id", "event_id"]
+    hit = (
+        intervals.select(*key, F.explode(bins(ceil_ts("start", window_s), F.col("end"), window_s)).alias("w"))
+        .join(windows.filter("room is not null").select("session_id", "w", "room", "rssi_sample_count", "gap_db"), ["session_id", "w"])
+        .groupBy(*key, "room")
+        .agg(F.sum("rssi_sample_count").alias("c"), F.max("gap_db").alias("g"))
+        .groupBy(*key)
+        .agg(
+            F.min_by("room", F.struct((-F.col("c")).alias("a"), F.col("room").alias("b"))).alias("room"),
+            F.sum("c").alias("samples"),
+            F.max("g").alias("best_gap"),
+        )
+    )
+    return intervals.select(*key).join(hit, key, "left").na.fill({"room": default, "samples": 0})

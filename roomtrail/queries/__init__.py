@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalar", "windowing")
+MODULES = ("scalar", "windowing", "ordering")
 
 
 def load_all() -> None:
