@@ -159,8 +159,8 @@ def weakest_beacon_diagnostic(samples: DataFrame, window_s: int) -> DataFrame:
 
 
 def interval_mode(intervals: DataFrame, windows: DataFrame, window_s: int, default: str = "Out") -> DataFrame:
-    """Room with the most samples among windows starting in ``[start, end)``,
-    and the best gap inside; ``default`` without any window.
+    """Room with the most samples among windows starting in ``[start, end)`` and
+    the gap of that room's best-sampled window; ``default`` without any window.
 
     Intervals explode to the window starts they hold, then an equi-join."""
     from ..functions.timefn import bins, ceil_ts
@@ -170,12 +170,15 @@ def interval_mode(intervals: DataFrame, windows: DataFrame, window_s: int, defau
         intervals.select(*key, F.explode(bins(ceil_ts("start", window_s), F.col("end"), window_s)).alias("w"))
         .join(windows.filter("room is not null").select("session_id", "w", "room", "rssi_sample_count", "gap_db"), ["session_id", "w"])
         .groupBy(*key, "room")
-        .agg(F.sum("rssi_sample_count").alias("c"), F.max("gap_db").alias("g"))
+        .agg(
+            F.sum("rssi_sample_count").alias("c"),
+            F.max_by("gap_db", F.struct("rssi_sample_count", -F.unix_micros("w"))).alias("g"),
+        )
         .groupBy(*key)
         .agg(
-            F.min_by("room", F.struct((-F.col("c")).alias("a"), F.col("room").alias("b"))).alias("room"),
+            F.min_by(F.struct("room", "g"), F.struct((-F.col("c")).alias("a"), F.col("room").alias("b"))).alias("_best"),
             F.sum("c").alias("samples"),
-            F.max("g").alias("best_gap"),
         )
+        .select(*key, F.col("_best.room").alias("room"), "samples", F.col("_best.g").alias("best_gap"))
     )
     return intervals.select(*key).join(hit, key, "left").na.fill({"room": default, "samples": 0})

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalar", "windowing", "ordering")
+MODULES = ("scalar", "windowing", "ordering", "joins")
 
 
 def load_all() -> None:

@@ -110,8 +110,8 @@ def _(spark, sf):
 @query(
     "interval_mode",
     "session_id:i event_id:i room:s samples:i best_gap:f",
-    with_ctes("""SELECT session_id, event_id, coalesce(arg_min(room, (-c, room)), 'Out') AS room, coalesce(sum(c), 0) AS samples, max(g) AS best_gap FROM (
-       SELECT i.session_id, i.event_id, t.room, sum(t.rssi_sample_count) AS c, max(t.gap_db) AS g FROM ivl2 i
+    with_ctes("""SELECT session_id, event_id, coalesce(arg_min(room, (-c, room)), 'Out') AS room, coalesce(sum(c), 0) AS samples, arg_min({'g': g}, (-c, room)).g AS best_gap FROM (
+       SELECT i.session_id, i.event_id, t.room, sum(t.rssi_sample_count) AS c, arg_max({'g': t.gap_db}, (t.rssi_sample_count, -epoch_us(t.w))).g AS g FROM ivl2 i
        LEFT JOIN (SELECT r.session_id, r.w, b.room, rssi_sample_count, gap_db FROM rtop r JOIN beacons b ON b.beacon = r.strongest_beacon) t
          ON t.session_id = i.session_id AND t.w >= i."start" AND t.w < i."end" GROUP BY 1, 2, 3) GROUP BY 1, 2""",
       ivl2="""SELECT session_id, event_id, "start", "start" + INTERVAL 150 MINUTE AS "end" FROM ivl"""),
