@@ -402,3 +402,27 @@ def episode_dominant(df: DataFrame, episodes: DataFrame, window_s: int, label: s
     """Most frequent non-null label of each episode with count and share."""
     inside = episodes.select("session_id", "episode_id", F.explode(bins("start", "end", window_s)).alias("w"))
     return mode_label(df.join(inside, ["session_id", "w"]), ["session_id", "episode_id"], label)
+
+
+def transition_summary(features: DataFrame, window_s: int, keys: Sequence[str] = ("session_id",), motion: str = "motion") -> DataFrame:
+    """Totals and rates per observed and per awake hour (0 where no time)."""
+    hours = window_s / 3600.0
+    n = lambda c: F.sum(F.coalesce(F.col(c), F.lit(False)).cast("bigint"))
+    out = features.groupBy(*keys).agg(
+        F.count("*").alias("observed_windows"), n(motion).alias("awake_windows"), n("room_transition").alias("transitions"),
+        n("acc_supported").alias("supported"), n("unsupported").alias("unsupported"), n("floor_transition").alias("floor_switches"),
+    )
+    out = out.withColumns({"observed_hours": F.col("observed_windows") * hours, "awake_hours": F.col("awake_windows") * hours})
+
+    def rate(count: str, per: str) -> Column:
+        return F.when(F.col(per) > 0, F.col(count) / F.col(per)).otherwise(F.lit(0.0))
+
+    return out.withColumns(
+        {
+            "supported_fraction": rate("supported", "transitions"),
+            "per_observed_hour": rate("transitions", "observed_hours"),
+            "per_awake_hour": rate("transitions", "awake_hours"),
+            "supported_per_awake_hour": rate("supported", "awake_hours"),
+            "unsupported_per_awake_hour": rate("unsupported", "awake_hours"),
+        }
+    )

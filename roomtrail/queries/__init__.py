@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalar", "windowing", "ordering", "joins")
+MODULES = ("scalar", "windowing", "ordering", "joins", "reports", "adapting")
 
 
 def load_all() -> None:

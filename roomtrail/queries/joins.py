@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import adapters as A
+from ..env import durable
 from ..functions import timefn
 from ..operators import intervals as op
 from ..operators import runs, topk
@@ -162,7 +163,7 @@ def episode_gaps(t, episodes, window_s=Q):
 
 @query("join_gap_context", "session_id:i start:t end:t target:s before_n:i before_share:f after_n:i after_share:f", with_ctes("SELECT * FROM gapctx"))
 def _(spark, sf):
-    t = timeline(spark, sf)
+    t = durable(timeline(spark, sf))
     ep = runs.bridged_bouts(t, "low_motion", Q, 900).withColumnRenamed("candidate_id", "episode_id")
     return op.join_gap_context(episode_gaps(t, ep), t, Q, 5400)
 
