@@ -52,8 +52,10 @@ def durable(df: DataFrame) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; a driver-side look at statistics."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except ValueError:  # estimates multiply over joins and can outgrow any integer text
+        return 1 << 62
 
 
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalar", "windowing", "ordering", "joins", "reports", "adapting")
+MODULES = ("scalar", "windowing", "ordering", "joins", "reports", "adapting", "inferring")
 
 
 def load_all() -> None:
