@@ -43,12 +43,14 @@ def _best_splits(n: np.ndarray, s: np.ndarray, q: np.ndarray, ks: Sequence[int])
     cuts: dict[int, list[int]] = {}
     back: list[np.ndarray] = []
     for k in range(2, max(ks) + 1):
+        if m < k:
+            break
         # new[j] = min over i of best[i] + cost[i + 1, j]
         total = best[:-1, None] + cost[1:, :]
         arg = np.argmin(total, axis=0)
         new = total[arg, np.arange(m)]
         back.append(arg)
-        if k in ks and m >= k:
+        if k in ks:
             j, out = m - 1, []
             for step in reversed(back):
                 j = int(step[j])

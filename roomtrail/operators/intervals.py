@@ -133,10 +133,9 @@ def join_asof_nearest(
     r = right.select("session_id", "ts", F.lit(0).alias("_side"), order.alias("_o"), row.alias("_r"))
     l = left.withColumns({"_side": F.lit(1), "_o": F.lit(0).cast("bigint")})
     both = l.unionByName(r, allowMissingColumns=True)
-    carried = Ordered(both, ties=["_side", "_o", *ties]).last_known("_before", "_r", F.col("_side") == 0).df
-    # on the way back equal times must also be seen, so right rows sort after left ones there
-    carried = carried.withColumn("_rev", -F.col("_side"))
-    done = Ordered(carried, ties=["_rev", "_o", *ties]).next_known("_after", "_r", F.col("_side") == 0).done()
+    # right rows sort before left rows of the same time, so an exact match is "before"
+    known = F.col("_side") == 0
+    done = Ordered(both, ties=["_side", "_o", *ties]).apply(last_known={"_before": ("_r", known)}, next_known={"_after": ("_r", known)}).done()
     back = seconds_between(F.col("_before.t"), F.col("ts"))
     ahead = seconds_between(F.col("ts"), F.col("_after.t"))
     near = (
@@ -144,7 +143,7 @@ def join_asof_nearest(
         .when(ahead <= tolerance_s, F.col("_after"))
     )
     out = done.filter("_side = 1").withColumn("_n", near)
-    return out.withColumns({v: F.col(f"_n.{v}") for v in values}).drop("_side", "_o", "_r", "_before", "_after", "_rev", "_n")
+    return out.withColumns({v: F.col(f"_n.{v}") for v in values}).drop("_side", "_o", "_r", "_before", "_after", "_n")
 
 
 def join_episode_windows(timeline: DataFrame, episodes: DataFrame, window_s: int, columns: Sequence[str] = ("episode_id",), flag: str = "in_episode") -> DataFrame:

@@ -16,8 +16,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timefn import seconds_between
-
 CHUNK_SECONDS = 86_400
 
 
@@ -44,13 +42,11 @@ class Ordered:
     def _order(self) -> list[str]:
         return [self.ts, *self.ties]
 
-    def _inner(self, descending: bool = False):
-        order = [F.col(c).desc() if descending else F.col(c).asc() for c in self._order]
-        return Window.partitionBy(*self.keys, "_chunk").orderBy(*order)
+    def _inner(self):
+        return Window.partitionBy(*self.keys, "_chunk").orderBy(*self._order)
 
-    def _outer(self, descending: bool = False):
-        c = F.col("_chunk")
-        return Window.partitionBy(*self.keys).orderBy(c.desc() if descending else c.asc())
+    def _outer(self):
+        return Window.partitionBy(*self.keys).orderBy("_chunk")
 
     def _position(self) -> Column:
         return F.struct(*self._order)
@@ -58,74 +54,93 @@ class Ordered:
     def _again(self, df: DataFrame) -> "Ordered":
         return Ordered(df, self.keys, self.ts, self.ties, self.chunk_seconds)
 
-    def _neighbour(self, outputs: dict[str, str], forward: bool) -> "Ordered":
-        row = F.struct(*[F.col(src).alias(out) for out, src in outputs.items()])
-        edge = F.min_by(row, self._position()) if forward else F.max_by(row, self._position())
-        summary = (
-            self.df.groupBy(*self.keys, "_chunk")
-            .agg(edge.alias("_edge"))
-            .select(*self.keys, "_chunk", F.lag("_edge").over(self._outer(descending=forward)).alias("_carry"))
-        )
-        step = F.lead(row) if forward else F.lag(row)
-        out = self.df.withColumn("_near", step.over(self._inner()))
+    def apply(
+        self,
+        lag: dict[str, str] | None = None,
+        lead: dict[str, str] | None = None,
+        running_sum: dict[str, str] | None = None,
+        total: dict[str, str] | None = None,
+        last_known: dict[str, tuple] | None = None,
+        next_known: dict[str, tuple] | None = None,
+    ) -> "Ordered":
+        """All named outputs in one pass: the input is read twice (rows, and one
+        summary row per chunk) however many outputs are asked for.
+
+        ``lag`` / ``lead`` / ``running_sum`` (inclusive) / ``total`` (over the whole
+        key) map output → column; ``last_known`` / ``next_known`` map output →
+        (value, present): the nearest value at or before / after the row among
+        rows where ``present``."""
+        lag, lead, running_sum, total = lag or {}, lead or {}, running_sum or {}, total or {}
+        last_known, next_known = last_known or {}, next_known or {}
+        df = self.df
+        prev_row = F.struct(*[F.col(c).alias(o) for o, c in lag.items()]) if lag else None
+        next_row = F.struct(*[F.col(c).alias(o) for o, c in lead.items()]) if lead else None
+        pos = self._position()
+        kept = {o: F.when(_c(p), F.struct(_c(v).alias("v"))) for o, (v, p) in {**last_known, **next_known}.items()}
+        placed = {o: F.when(_c(p), F.struct(pos.alias("p"), _c(v).alias("v"))) for o, (v, p) in {**last_known, **next_known}.items()}
+
+        aggs, carries = [], []
+        up = self._outer()
+        before = up.rowsBetween(Window.unboundedPreceding, -1)
+        # looking ahead = looking back in descending order: Spark evaluates growing
+        # frames row by row, but would restart a shrinking frame at every row
+        after = Window.partitionBy(*self.keys).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+        if lag:
+            aggs.append(F.max(F.struct(pos.alias("p"), prev_row.alias("v"))).alias("_lag"))
+            carries.append(F.lag("_lag.v").over(up).alias("_lag"))
+        if lead:
+            aggs.append(F.min(F.struct(pos.alias("p"), next_row.alias("v"))).alias("_lead"))
+            carries.append(F.lead("_lead.v").over(up).alias("_lead"))
+        for o, c in running_sum.items():
+            aggs.append(F.sum(c).alias(f"_s_{o}"))
+            carries.append(F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_s_{o}"))
+        for o, c in total.items():
+            aggs.append(F.sum(c).alias(f"_a_{o}"))
+            carries.append(F.sum(f"_a_{o}").over(Window.partitionBy(*self.keys)).alias(o))
+        for o in last_known:
+            aggs.append(F.max(placed[o]).alias(f"_k_{o}"))
+            carries.append(F.last(f"_k_{o}", ignorenulls=True).over(before).alias(f"_k_{o}"))
+        for o in next_known:
+            aggs.append(F.min(placed[o]).alias(f"_k_{o}"))
+            carries.append(F.last(f"_k_{o}", ignorenulls=True).over(after).alias(f"_k_{o}"))
+        summary = df.groupBy(*self.keys, "_chunk").agg(*aggs).select(*self.keys, "_chunk", *carries)
+
+        inner = self._inner()
+        upto = inner.rowsBetween(Window.unboundedPreceding, 0)
+        onward = Window.partitionBy(*self.keys, "_chunk").orderBy(*[F.desc(c) for c in self._order]).rowsBetween(Window.unboundedPreceding, 0)
+        near: dict[str, Column] = {}
+        if lag:
+            near["_n_lag"] = F.lag(prev_row).over(inner)
+        if lead:
+            near["_n_lead"] = F.lead(next_row).over(inner)
+        near |= {f"_n_s_{o}": F.coalesce(F.sum(c).over(upto), F.lit(0)) for o, c in running_sum.items()}
+        near |= {f"_n_{o}": F.last(kept[o], ignorenulls=True).over(upto) for o in last_known}
+        near |= {f"_n_{o}": F.last(kept[o], ignorenulls=True).over(onward) for o in next_known}
+        out = df.withColumns(near) if near else df
         out = out.join(summary, [*self.keys, "_chunk"], "left")
-        near = F.coalesce(F.col("_near"), F.col("_carry"))
-        out = out.withColumns({o: near[o] for o in outputs}).drop("_near", "_carry")
-        return self._again(out)
-
-    # -- operations -----------------------------------------------------
+        final: dict[str, Column] = {}
+        for o in lag:
+            final[o] = F.coalesce("_n_lag", "_lag")[o]
+        for o in lead:
+            final[o] = F.coalesce("_n_lead", "_lead")[o]
+        for o in running_sum:
+            final[o] = F.col(f"_n_s_{o}") + F.col(f"_s_{o}")
+        for o in [*last_known, *next_known]:
+            final[o] = F.when(F.col(f"_n_{o}").isNotNull(), F.col(f"_n_{o}.v")).otherwise(F.col(f"_k_{o}.v"))
+        helpers = [*near, "_lag", "_lead", *[f"_s_{o}" for o in running_sum], *[f"_k_{o}" for o in [*last_known, *next_known]]]
+        return self._again(out.withColumns(final).drop(*helpers))
+
+    # -- single operations ------------------------------------------------
     def lag(self, **outputs: str) -> "Ordered":
         """Value of the previous row: ``lag(prev_cnt="cnt")``."""
-        return self._neighbour(outputs, forward=False)
+        return self.apply(lag=outputs)
 
     def lead(self, **outputs: str) -> "Ordered":
-        return self._neighbour(outputs, forward=True)
+        return self.apply(lead=outputs)
 
     def running_sum(self, **outputs: str) -> "Ordered":
         """Inclusive running sum of each named column."""
-        totals = self.df.groupBy(*self.keys, "_chunk").agg(
-            *[F.sum(src).alias(f"_t_{out}") for out, src in outputs.items()]
-        )
-        before = self._outer().rowsBetween(Window.unboundedPreceding, -1)
-        totals = totals.select(
-            *self.keys,
-            "_chunk",
-            *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_b_{o}") for o in outputs],
-        )
-        inner = self._inner().rowsBetween(Window.unboundedPreceding, 0)
-        out = self.df.withColumns({f"_r_{o}": F.coalesce(F.sum(s).over(inner), F.lit(0)) for o, s in outputs.items()})
-        out = out.join(totals, [*self.keys, "_chunk"], "left")
-        out = out.withColumns({o: F.col(f"_r_{o}") + F.col(f"_b_{o}") for o in outputs})
-        return self._again(out.drop(*[f"_r_{o}" for o in outputs], *[f"_b_{o}" for o in outputs]))
-
-    def _fill(self, output: str, value: Column, present: Column, backward: bool) -> "Ordered":
-        marked = self.df.withColumn("_v", F.when(present, F.struct(value.alias("v"))))
-        position = self._position()
-        edge = F.min_by(F.col("_v"), position) if backward else F.max_by(F.col("_v"), position)
-        summary = (
-            marked.filter("_v is not null")
-            .groupBy(*self.keys, "_chunk")
-            .agg(edge.alias("_edge"))
-        )
-        # every chunk that has rows needs a carry, also the ones with no value
-        chunks = marked.select(*self.keys, "_chunk").distinct().join(summary, [*self.keys, "_chunk"], "left")
-        before = self._outer(descending=backward).rowsBetween(Window.unboundedPreceding, -1)
-        chunks = chunks.select(
-            *self.keys, "_chunk", F.last("_edge", ignorenulls=True).over(before).alias("_carry")
-        )
-        inner = self._inner(descending=backward).rowsBetween(Window.unboundedPreceding, 0)
-        out = marked.withColumn("_near", F.last("_v", ignorenulls=True).over(inner))
-        out = out.join(chunks, [*self.keys, "_chunk"], "left")
-        out = out.withColumn(output, F.coalesce("_near", "_carry")["v"])
-        return self._again(out.drop("_v", "_near", "_carry"))
-
-    def last_known(self, output: str, value, present) -> "Ordered":
-        """Latest ``value`` at or before the row among rows where ``present``."""
-        return self._fill(output, _c(value), _c(present), backward=False)
-
-    def next_known(self, output: str, value, present) -> "Ordered":
-        """Earliest ``value`` at or after the row among rows where ``present``."""
-        return self._fill(output, _c(value), _c(present), backward=True)
+        return self.apply(running_sum=outputs)
 
     def islands(self, island: str, new_run: Column) -> "Ordered":
         """Number maximal runs: ``island`` grows by one at rows where ``new_run``."""
@@ -140,6 +155,3 @@ class Ordered:
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
-
-def gap_seconds(previous: str, current: str) -> Column:
-    return seconds_between(previous, current)

@@ -33,33 +33,41 @@ class CleaningParams:
     residual_max_rows: int = 60
 
 
-def _runs_of(df: DataFrame, keys: list[str], flag: str, ties: list[str]) -> DataFrame:
-    """Adds ``_rn`` (row position) and, for flagged rows, ``_run`` / ``_first`` /
-    ``_len`` of the maximal run of consecutive flagged rows."""
-    o = Ordered(df.withColumn("_one", F.lit(1).cast("bigint")), keys, ties=ties).lag(_pf=flag)
-    started = F.col(flag) & ~F.coalesce("_pf", F.lit(False))
-    o = Ordered(o.df.withColumn("_st", started.cast("bigint")), keys, ties=ties).running_sum(_rn="_one", _run="_st")
-    rows = o.done().drop("_one", "_pf", "_st")
-    spans = rows.filter(flag).groupBy(*keys, "_run").agg(F.min("_rn").alias("_first"), F.count("*").alias("_len"))
-    rows = rows.withColumn("_run", F.when(F.col(flag), F.col("_run")))
-    return rows.join(spans, [*keys, "_run"], "left")
+def _positions(df: DataFrame, keys: list[str], ties: list[str]) -> DataFrame:
+    """``_rn`` (row position) and ``_all`` (rows of the key)."""
+    one = df.withColumn("_one", F.lit(1).cast("bigint"))
+    return Ordered(one, keys, ties=ties).apply(running_sum={"_rn": "_one"}, total={"_all": "_one"}).done().drop("_one")
+
+
+def _run_ends(flag: Column) -> tuple[dict, dict]:
+    """Positions of the unflagged rows around a run, for ``Ordered.apply``."""
+    return {"_pb": ("_rn", ~flag)}, {"_pa": ("_rn", ~flag)}
+
+
+def _run_span(df: DataFrame) -> DataFrame:
+    """``_first`` and ``_len`` of the run a flagged row lies in."""
+    first = F.coalesce("_pb", F.lit(0)) + 1
+    last = F.coalesce("_pa", F.col("_all") + 1) - 1
+    return df.withColumns({"_first": first, "_len": last - first + 1}).drop("_pb", "_pa", "_all")
 
 
 def interp_runs(df: DataFrame, value: str, anomaly: str, keys: Sequence[str] = ("session_id",), ties: Sequence[str] = (), max_rows: int | None = None) -> DataFrame:
     """Replace runs of anomalous rows (at most ``max_rows`` long) by a row-wise
     line between the nearest good rows; one-sided runs hold that side's value.
 
-    Adds ``_short`` (rows replaced) and ``_long`` (flagged, kept)."""
+    Adds ``_short`` (rows replaced) and ``_long`` (flagged, kept). Two ordered
+    passes: positions, then everything a run needs from its surroundings."""
     keys, ties = list(keys), list(ties)
-    rows = _runs_of(df.withColumn("_a", F.coalesce(F.col(anomaly), F.lit(False))), keys, "_a", ties)
+    rows = _positions(df.withColumn("_a", F.coalesce(F.col(anomaly), F.lit(False))), keys, ties)
     good = ~F.col("_a") & F.col(value).isNotNull()
-    o = Ordered(rows, keys, ties=ties).last_known("_lo", value, good).next_known("_hi", value, good)
-    out = o.done()
+    before, after = _run_ends(F.col("_a"))
+    o = Ordered(rows, keys, ties=ties).apply(last_known={"_lo": (value, good), **before}, next_known={"_hi": (value, good), **after})
+    out = _run_span(o.done())
     short = F.col("_a") & (F.col("_len") <= max_rows if max_rows is not None else F.lit(True))
     weight = (F.col("_rn") - F.col("_first") + 1) / (F.col("_len") + 1)
     line = F.when(F.col("_lo").isNotNull() & F.col("_hi").isNotNull(), F.col("_lo") + (F.col("_hi") - F.col("_lo")) * weight).otherwise(F.coalesce("_lo", "_hi", value))
     out = out.withColumns({"_short": F.coalesce(short, F.lit(False)), "_long": F.col("_a") & ~F.coalesce(short, F.lit(False))})
-    return out.withColumn(value, F.when(F.col("_short"), line).otherwise(F.col(value))).drop("_a", "_run", "_first", "_len", "_rn", "_lo", "_hi")
+    return out.withColumn(value, F.when(F.col("_short"), line).otherwise(F.col(value))).drop("_a", "_first", "_len", "_rn", "_lo", "_hi")
 
 
 def spike_correct(df: DataFrame, keys: Sequence[str] = ("session_id", "sensor"), ties: Sequence[str] = (), p: CleaningParams | None = None) -> DataFrame:
@@ -91,28 +99,31 @@ def _blend_runs(df: DataFrame, threshold: float, context_rows: int, min_rows: in
     keys = ["session_id"]
     d = df.withColumn("_off", F.col("hpa") - F.col("baseline"))
     d = d.withColumn("_mask", F.coalesce(F.round(F.abs("_off"), 9) > threshold, F.lit(False)))
-    d = durable(_runs_of(d, keys, "_mask", ties))
+    before, after = _run_ends(F.col("_mask"))
+    d = Ordered(_positions(d, keys, ties), keys, ties=ties).apply(last_known=before, next_known=after).done()
+    d = durable(_run_span(d))
     fits = F.lit(True)
     if min_rows is not None:
         fits = fits & (F.col("_len") >= min_rows)
     if max_rows is not None:
         fits = fits & (F.col("_len") <= max_rows)
-    runs = d.filter(F.col("_mask") & fits).select(*keys, "_run", "_first", "_len").distinct()
+    # one row per run: its first row
+    runs = d.filter(F.col("_mask") & fits & (F.col("_rn") == F.col("_first"))).select(*keys, "_first", "_len")
     # context rows by position: at most context_rows on each side, exploded
-    before = runs.select(*keys, "_run", F.explode(F.sequence(F.col("_first") - context_rows, F.col("_first") - 1)).alias("_rn"), F.lit(True).alias("_b"))
-    after = runs.select(*keys, "_run", F.explode(F.sequence(F.col("_first") + F.col("_len"), F.col("_first") + F.col("_len") + context_rows - 1)).alias("_rn"), F.lit(False).alias("_b"))
+    before = runs.select(*keys, "_first", F.explode(F.sequence(F.col("_first") - context_rows, F.col("_first") - 1)).alias("_rn"), F.lit(True).alias("_b"))
+    after = runs.select(*keys, "_first", F.explode(F.sequence(F.col("_first") + F.col("_len"), F.col("_first") + F.col("_len") + context_rows - 1)).alias("_rn"), F.lit(False).alias("_b"))
     normal = d.filter(~F.col("_mask") & F.col("_off").isNotNull()).select(*keys, "_rn", "_off")
-    ctx = before.unionByName(after).join(normal, [*keys, "_rn"]).groupBy(*keys, "_run").agg(
+    ctx = before.unionByName(after).join(normal, [*keys, "_rn"]).groupBy(*keys, "_first").agg(
         F.percentile(F.when(F.col("_b"), F.col("_off")), F.lit(0.5)).alias("_bo"), F.percentile(F.when(~F.col("_b"), F.col("_off")), F.lit(0.5)).alias("_ao")
     )
-    ctx = ctx.select(*keys, "_run", F.coalesce("_bo", "_ao").alias("_bo"), F.coalesce("_ao", "_bo").alias("_ao"))
-    out = d.join(ctx, [*keys, "_run"], "left")
+    ctx = ctx.select(*keys, "_first", F.lit(True).alias("_mask"), F.coalesce("_bo", "_ao").alias("_bo"), F.coalesce("_ao", "_bo").alias("_ao"))
+    out = d.join(ctx, [*keys, "_first", "_mask"], "left")
     done = F.col("_mask") & F.col("_bo").isNotNull()
     weight = (F.col("_rn") - F.col("_first") + 1) / (F.col("_len") + 1)
     fixed = F.col("baseline") + F.col("_bo") + (F.col("_ao") - F.col("_bo")) * weight
     return out.withColumns({"corrected": done, "kept_long": F.col("_mask") & ~fits if max_rows is not None else F.lit(False)}).withColumn(
         "hpa", F.when(F.col("corrected"), fixed).otherwise(F.col("hpa"))
-    ).drop("_off", "_mask", "_run", "_first", "_len", "_rn", "_bo", "_ao")
+    ).drop("_off", "_mask", "_first", "_len", "_rn", "_bo", "_ao")
 
 
 def plateau_correct(wearable: DataFrame, ties: Sequence[str] = (), p: CleaningParams | None = None) -> DataFrame:
@@ -225,8 +236,7 @@ def floor_timeline(availability: DataFrame, group_diffs: DataFrame, baseline: Da
     )
     top = top_two(d, ["session_id", "w"], "floor", "distance", descending=False)
     t = availability.join(top, ["session_id", "w"], "left")
-    margin = F.col("second_value") - F.col("best_value")
-    t = t.withColumnsRenamed({"best_item": "floor", "best_value": "distance"}).withColumn("margin", margin)
+    t = t.withColumn("margin", F.col("second_value") - F.col("best_value")).withColumnsRenamed({"best_item": "floor", "best_value": "distance"})
     t = t.withColumn("confidence", F.when(F.col("margin").isNotNull(), F.least(F.greatest(F.col("margin") / margin_scale, F.lit(0.0)), F.lit(1.0))))
     s = smooth_short_runs(t.drop("second_item", "second_value"), "floor", "smoothed")
     s = s.withColumn("smoothed", F.when(F.col("available"), F.col("smoothed")))

@@ -240,8 +240,7 @@ def interpolate_at(
     is_known = F.col("_kind") == 0
     both = (
         Ordered(a.unionByName(b), ties=["_kind"], chunk_seconds=chunk_seconds)
-        .last_known("_before", "_p", is_known)
-        .next_known("_after", "_p", is_known)
+        .apply(last_known={"_before": ("_p", is_known)}, next_known={"_after": ("_p", is_known)})
         .done()
     )
     span = F.unix_micros(F.col("_after.t")) - F.unix_micros(F.col("_before.t"))
