@@ -65,9 +65,8 @@ def excel_or_text_ts(text) -> Column:
     """Spreadsheet day number (> 20000, counted from 1899-12-30) or date text."""
     t = F.trim(_c(text).cast("string"))
     number = t.try_cast("double")
-    serial = F.timestamp_micros(
-        F.round((number - F.lit(25569.0)) * F.lit(86_400_000_000.0)).cast("bigint")
-    )
+    # a day number in a double is good to about a microsecond: keep milliseconds
+    serial = F.timestamp_millis(F.round((number - F.lit(25569.0)) * F.lit(86_400_000.0)).cast("bigint"))
     return F.when(t.rlike(r"^\d+(\.\d+)?$") & (number > 20000), serial).otherwise(t.try_cast("timestamp"))
 
 

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..env import small
+from ..env import durable, small
 from ..functions.signal import finite, spike_clip
-from ..functions.timefn import bins, floor_ts, minutes_between, shift_ts
+from ..functions.timefn import bins, ceil_ts, floor_ts, minutes_between, shift_ts
 from .ordered import Ordered
 from .quantiles import exact_quantiles
 
@@ -255,15 +255,15 @@ def interpolate_at(
 def step_uniformise(samples: DataFrame, window_s: int = 600, ties: Sequence[str] = ()) -> DataFrame:
     """Unwrapped counter interpolated at each minute, differenced, re-bucketed."""
     unwrapped = step_adjusted_cumulative(samples, ties)
-    known = unwrapped.groupBy("session_id", "ts").agg(F.max_by("adjusted_cnt", F.struct("ts", *ties)).alias("v"))
+    # one value per time, read for the span and for the interpolation
+    known = durable(unwrapped.groupBy("session_id", "ts").agg(F.max_by("adjusted_cnt", F.struct("ts", *ties)).alias("v")))
     span = known.groupBy("session_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    from ..functions.timefn import ceil_ts
-
     minutes = span.select(
         "session_id", F.explode(F.sequence(floor_ts("a", 60), ceil_ts("b", 60), F.expr("interval 1 minute"))).alias("ts")
     )
     at_minute = interpolate_at(known, minutes, "v")
-    per_minute = Ordered(at_minute).lag(_prev="v").done()
+    # the minute grid is as long as the recording, not as its samples
+    per_minute = at_minute.withColumn("_prev", F.lag("v").over(Window.partitionBy("session_id").orderBy("ts")))
     inc = F.greatest(F.coalesce(F.col("v") - F.col("_prev"), F.lit(0.0)), F.lit(0.0))
     return (
         per_minute.withColumn("steps_in_minute", inc)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalar", "windowing", "ordering", "joins", "reports", "adapting", "inferring", "floors")
+MODULES = ("scalar", "windowing", "ordering", "joins", "reports", "adapting", "inferring", "floors", "sourcing", "streams")
 
 
 def load_all() -> None:
