@@ -38,6 +38,16 @@ def exact_quantiles(
         F.count("*").alias("_total"),
         F.percentile_approx(value, lows, accuracy).alias("_lo"),
         F.percentile_approx(value, highs, accuracy).alias("_hi"),
+        F.min(value).alias("_min"),
+        F.max(value).alias("_max"),
+    )
+    # up to ``accuracy`` values the margin may be less than a rank: rank them all
+    few = F.col("_total") <= accuracy
+    bracket = bracket.withColumns(
+        {
+            "_lo": F.when(few, F.array_repeat("_min", len(probs))).otherwise(F.col("_lo")),
+            "_hi": F.when(few, F.array_repeat("_max", len(probs))).otherwise(F.col("_hi")),
+        }
     )
     slots = F.array(*[F.lit(i) for i in range(len(probs))])
     per_prob = bracket.select(
@@ -53,7 +63,7 @@ def exact_quantiles(
         F.element_at("_hi", F.col("_slot") + 1).alias("_hi"),
         (F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_slot") + 1) * (F.col("_total") - 1)).alias("_rank"),
     )
-    joined = hist.join(per_prob, keys) if keys else hist.join(F.broadcast(per_prob))
+    joined = hist.join(per_prob, keys)
     below = joined.filter(F.col("_v") < F.col("_lo")).groupBy(*keys, "_slot").agg(F.sum("_n").alias("_below"))
     inside = joined.filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
     inside = inside.join(below, [*keys, "_slot"], "left")

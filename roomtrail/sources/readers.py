@@ -43,9 +43,12 @@ def read_tags_combined(
 def read_tags_separate(spark: SparkSession, path: str) -> DataFrame:
     """One headless file (or folder of parts) per beacon, the id at the end of its
     name: ``…_<beacon>.csv``."""
-    raw = _csv(spark, path, ("timestamp", "text", "rssi"), header=False)
-    beacon = F.upper(F.regexp_extract(F.col("_metadata.file_path"), r"_([0-9A-Za-z]+)\.csv(?:/[^/]*)*$", 1))
-    out = raw.select("session_id", epoch_ts(F.col("timestamp")).alias("ts"), beacon.alias("beacon"), _num("rssi").alias("rssi"))
+    schema = "timestamp string, text string, rssi string"
+    raw = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).csv(path)
+    file = F.col("_metadata.file_path")
+    beacon = F.upper(F.regexp_extract(file, r"_([0-9A-Za-z]+)\.csv(?:/[^/]*)*$", 1))
+    session = F.regexp_extract(file, r"/session_id=([^/]+)/", 1).try_cast("bigint")
+    out = raw.select(session.alias("session_id"), epoch_ts(F.col("timestamp")).alias("ts"), beacon.alias("beacon"), _num("rssi").alias("rssi"))
     return out.filter("ts is not null and rssi is not null")
 
 
