@@ -42,8 +42,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so a lost executor costs a read
-    of the checkpoint and not the whole history of an iterative job."""
+    of the checkpoint and not the whole history of an iterative job. A table
+    that is a checkpoint already is returned as it is, so operators that read an
+    input several times can call this without knowing where it came from."""
     spark = df.sparkSession
+    if df._jdf.queryExecution().logical().getClass().getSimpleName() == "LogicalRDD":
+        return df
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..env import small
+from ..env import durable, small
 from .runs import transition_count_missing
 
 # Movement state → window seconds.
@@ -63,6 +63,7 @@ def predict_selected_window(anchors: DataFrame, sized: DataFrame, selected: str
 def stationary_thresholds(rows: DataFrame, thresholds: Sequence[float], keys: Sequence[str] = ("session_id",)) -> DataFrame:
     """Coverage, steps, confidence, in-home share and room changes of the rows
     at or under each threshold. ``rows(session_id, w, steps, confidence, in_home, room)``."""
+    rows = durable(rows)
     arr = F.array(*[F.lit(float(t)) for t in thresholds])
     total = rows.groupBy(*keys).agg(F.count("*").alias("_all"))
     still = rows.withColumn("threshold_steps", F.explode(F.filter(arr, lambda t: F.col("steps") <= t)))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..env import small
+from ..env import durable, small
 from ..functions.timefn import bins
 from .intervals import join_pair_inner
 from .windows import grid_common
@@ -76,6 +76,7 @@ def classify_state(left_home: str, left_room: str, right_home: str, right_room:
 def copresence_state(evidence: DataFrame, pairs: DataFrame, window_s: int, columns: Sequence[str] = ("room", "in_home", "confidence")) -> DataFrame:
     """Both people on their common grid with the five-way state. ``evidence`` has
     (session_id, w, room, in_home, confidence); windows without it count as away."""
+    evidence = durable(evidence)  # span, left and right side
     grid = grid_common(evidence, pairs, window_s)
 
     def side(name: str) -> DataFrame:

@@ -11,11 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..env import durable
+
 UNKNOWN = "Unknown"
 
 
 def confusion_counts(predictions: DataFrame, keys: Sequence[str], reference: str = "reference", prediction: str = "prediction") -> DataFrame:
-    return predictions.groupBy(*keys, F.col(reference).alias("reference"), F.col(prediction).alias("prediction")).agg(F.count("*").alias("n"))
+    counts = predictions.groupBy(*keys, F.col(reference).alias("reference"), F.col(prediction).alias("prediction")).agg(F.count("*").alias("n"))
+    return durable(counts)  # every metric reads the few counts more than once
 
 
 def evaluable(counts: DataFrame) -> DataFrame:

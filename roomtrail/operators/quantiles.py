@@ -5,7 +5,7 @@ buffer. That is right for values with few distinct levels or for groups that
 are already aggregated to windows. For raw continuous samples,
 ``exact_quantiles`` finds a narrow bracket with the mergeable sketch behind
 ``percentile_approx`` and ranks only the bracket's values; the answer is the
-exact, linearly interpolated quantile.
+exact, linearly interpolated quantile. The input is read twice.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..env import small
+
 SKETCH_ACCURACY = 10_000
 
 
@@ -27,8 +29,6 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per ``keys`` with a column per entry of ``outputs`` (name → probability)."""
     keys = list(keys)
-    # duplicates collapse before anything is ranked
-    hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     margin = 3.0 / accuracy
     probs = list(outputs.values())
     lows = F.array(*[F.lit(max(p - margin, 0.0)) for p in probs])
@@ -63,13 +63,12 @@ def exact_quantiles(
         F.element_at("_hi", F.col("_slot") + 1).alias("_hi"),
         (F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_slot") + 1) * (F.col("_total") - 1)).alias("_rank"),
     )
-    joined = hist.join(per_prob, keys)
-    below = joined.filter(F.col("_v") < F.col("_lo")).groupBy(*keys, "_slot").agg(F.sum("_n").alias("_below"))
-    inside = joined.filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-    inside = inside.join(below, [*keys, "_slot"], "left")
-    order = Window.partitionBy(*keys, "_slot").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.coalesce("_below", F.lit(0)) + F.sum("_n").over(order)
-    ranked = inside.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_n"))
+    joined = raw.select(*keys, F.col(value).alias("_v")).join(small(per_prob), keys).filter(F.col("_v") <= F.col("_hi"))
+    # one count stands for everything below the bracket; duplicates collapse
+    # before anything is ranked
+    inside = joined.groupBy(*keys, "_slot", "_rank", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(*keys, "_slot").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.withColumn("_upto", F.sum("_n").over(order)).withColumn("_from", F.col("_upto") - F.col("_n"))
     low_rank, high_rank = F.floor("_rank"), F.ceil("_rank")
 
     def at(rank):

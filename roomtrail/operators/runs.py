@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..env import durable
 from ..functions.timefn import bins, is_night, minutes_between, shift_ts, sleep_night
 from .ordered import Ordered
 from .topk import mode_label
@@ -78,6 +79,7 @@ def bridged_bouts(
 ) -> DataFrame:
     """Low-motion windows at most ``interruption_s`` plus one window apart form a
     bout; kept when long enough and (optionally) mostly low motion."""
+    df = durable(df.select("session_id", "w", flag))
     low = df.filter(F.coalesce(F.col(flag), F.lit(False))).select("session_id", "w")
     apart = F.unix_micros("w") - F.unix_micros(F.lag("w").over(_session()))
     bouts = (
@@ -291,6 +293,7 @@ def centred_vote(
 
     ``df(session_id, w, segment_id, beacon, low_motion)``, segment NULL where
     nothing was observed; ``rssi(session_id, w, beacon, rssi_mean)``."""
+    df, rssi = durable(df), durable(rssi)  # targets, candidates and signal lookups
     half = vote_s // 2
     reach = [i * window_s for i in range(-(half // window_s) + 1, half // window_s + 1)]
     keys = ["session_id", "segment_id", "t"]
@@ -350,6 +353,7 @@ def adaptive_awake_rssi(timeline: DataFrame, rssi: DataFrame, lookback: dict[int
     higher or unknown movement state, another trusted floor group. ``lookback``
     maps the number of states to minutes per state. Returns (session_id, w,
     adaptive_beacon, adaptive_window_minutes) for rows that get a result."""
+    timeline = durable(timeline)
     minutes = F.lit(None).cast("int")
     for k, per_state in lookback.items():
         for state, m in enumerate(per_state, start=1):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..env import durable
 from ..functions.timefn import bins, local_ts
 from ..params import InferenceParams
 from .intervals import join_gap_context
@@ -19,7 +20,8 @@ def episode_windows(timeline: DataFrame, episodes: DataFrame, window_s: int) ->
 
 def episode_room(timeline: DataFrame, episodes: DataFrame, window_s: int, min_share: float = 0.60, beacon: str = "beacon", room: str = "room") -> DataFrame:
     """Dominant beacon and its room, counts, share and support flag per episode."""
-    rows = episode_windows(timeline, episodes, window_s)
+    episodes = durable(episodes)
+    rows = durable(episode_windows(timeline.select("session_id", "w", beacon, room), episodes, window_s))
     best = mode_label(rows, ["session_id", "episode_id"], beacon)
     rooms = rows.filter(F.col(beacon).isNotNull()).groupBy("session_id", "episode_id", beacon).agg(F.min_by(room, "w").alias("dominant_room"))
     best = best.join(rooms, ["session_id", "episode_id", beacon]).select(
@@ -64,6 +66,7 @@ def sleep_correction(timeline: DataFrame, episodes: DataFrame, window_s: int, pa
     p = params or InferenceParams()
     main = episodes.filter("main_sleep")
     eligible = main.filter(F.col("room_correction_eligible") & F.col("dominant_beacon").isNotNull())
+    timeline = durable(timeline)
     base = timeline.withColumnRenamed("base_beacon", "beacon").select("session_id", "w", "beacon")
     gaps = gap_support(
         gaps_in_episodes(base, eligible, window_s), base, window_s, p.gap_context_minutes * 60, p.context_room_share

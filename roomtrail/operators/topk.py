@@ -37,19 +37,22 @@ def strongest_beacon(windows: DataFrame, beacons: DataFrame | None = None, keys:
     are all NULL keep a row with ``rssi_observed = false``.
     ``beacons(session_id?, beacon, room)``."""
     keys = list(keys)
-    top = top_two(windows, keys, "beacon", "rssi_mean")
-    counts = windows.groupBy(*keys).agg(
-        F.sum("rssi_cnt").alias("rssi_sample_count"), F.count("rssi_mean").alias("rssi_available_beacons")
-    )
-    out = counts.join(top, keys, "left").select(
-        *keys,
-        "rssi_sample_count",
-        "rssi_available_beacons",
-        (F.col("rssi_available_beacons") > 0).alias("rssi_observed"),
-        F.col("best_item").alias("strongest_beacon"),
-        F.col("best_value").alias("strongest_rssi"),
-        F.col("second_value").alias("second_rssi"),
-        (F.col("best_value") - F.col("second_value")).alias("gap_db"),
+    # ranking and totals share one shuffle by (session, window); a group has one
+    # row per beacon heard in the window
+    order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("rssi_mean"), F.asc("beacon"))
+    rank = F.when(F.col("rssi_mean").isNotNull(), F.row_number().over(order))
+    out = (
+        windows.withColumn("_r", rank)
+        .groupBy(*keys)
+        .agg(
+            F.sum("rssi_cnt").alias("rssi_sample_count"),
+            F.count("rssi_mean").alias("rssi_available_beacons"),
+            F.max(F.when(F.col("_r") == 1, F.col("beacon"))).alias("strongest_beacon"),
+            F.max(F.when(F.col("_r") == 1, F.col("rssi_mean"))).alias("strongest_rssi"),
+            F.max(F.when(F.col("_r") == 2, F.col("rssi_mean"))).alias("second_rssi"),
+        )
+        .withColumn("rssi_observed", F.col("rssi_available_beacons") > 0)
+        .withColumn("gap_db", F.col("strongest_rssi") - F.col("second_rssi"))
     )
     if beacons is None:
         return out
@@ -74,13 +77,8 @@ def strongest_share(samples: DataFrame, window_s: int, descending: bool = True)
     window's winners, and the window's dominance (largest share)."""
     at_time = samples.groupBy("session_id", "ts", "beacon").agg(F.avg("rssi").alias("rssi"))
     sign = F.col("rssi") if descending else -F.col("rssi")
-    best = at_time.groupBy("session_id", "ts").agg(F.max(sign).alias("_top"))
-    winner = (
-        at_time.join(best, ["session_id", "ts"])
-        .filter(sign == F.col("_top"))
-        .groupBy("session_id", "ts")
-        .agg(F.min("beacon").alias("beacon"))
-    )
+    best = F.min_by("beacon", F.struct((-sign).alias("a"), F.col("beacon").alias("b")))
+    winner = at_time.groupBy("session_id", "ts").agg(best.alias("beacon"))
     counts = winner.groupBy("session_id", floor_ts("ts", window_s).alias("w"), "beacon").agg(F.count("*").alias("wins"))
     window = Window.partitionBy("session_id", "w")
     return counts.withColumn("share", F.col("wins") / F.sum("wins").over(window)).withColumn(

@@ -33,6 +33,7 @@ def rssi_quality_filter(windows: DataFrame, min_share: float = 0.20) -> DataFram
     ``coverage`` compares all counts of a window, the thin ones included, with
     the expectation over all beacons of the session.
     """
+    windows = durable(windows)  # read three times below; samples are read once
     expected = windows.filter("rssi_cnt > 0").groupBy("session_id", "beacon").agg(
         F.greatest(F.percentile("rssi_cnt", F.lit(0.5)), F.lit(1.0)).alias("expected")
     )
@@ -128,9 +129,9 @@ def acc_window_stats(samples: DataFrame, window_s: int = 600) -> DataFrame:
         F.min("magnitude").alias("acc_min"),
         F.max("magnitude").alias("acc_max"),
     )
-    cut = windows.groupBy("session_id").agg(F.percentile(F.round("acc_std", 12), F.lit(0.25)).alias("cut"))
+    cut = F.percentile(F.round("acc_std", 12), F.lit(0.25)).over(Window.partitionBy("session_id"))
     return (
-        windows.join(small(cut), "session_id")
+        windows.withColumn("cut", cut)
         .withColumn("acc_range", F.col("acc_max") - F.col("acc_min"))
         .withColumn("low_acc_variation", (F.round("acc_std", 12) <= F.col("cut")).cast("int"))
         .withColumn("has_acc_data", (F.col("acc_count") > 0).cast("int"))
@@ -181,6 +182,7 @@ def step_window_agg(increments: DataFrame, window_s: int = 600, ties: Sequence[s
         F.min_by("cnt", order).alias("step_count_start"),
         F.max_by("cnt", order).alias("step_count_end"),
     )
+    agg = durable(agg)  # grid, join and cut all read it
     grid = window_grid(agg, window_s)
     full = grid.join(agg, ["session_id", "w"], "left").na.fill(
         0, ["steps_in_window", "step_samples", "step_resets"]
@@ -207,6 +209,7 @@ def step_zero_plateau(
     observed = increments.groupBy("session_id", floor_ts("ts", window_s).alias("w")).agg(
         F.sum("increment").alias("step_increment"), F.count("cnt").alias("samples")
     )
+    observed = durable(observed)
     gap = F.unix_micros("ts") - F.unix_micros("prev_ts")
     proven = increments.filter((F.col("cnt") == F.col("prev_cnt")) & (gap > 0) & (gap <= max_gap_s * 1_000_000))
     first = shift_ts(floor_ts("prev_ts", window_s), window_s)
