@@ -30,8 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def arrow_map(df: DataFrame, columns: list[str], schema: str, rows: Callable[[pa.RecordBatch], dict[str, list]]) -> DataFrame:
-    """``mapInArrow`` of ``rows`` over ``columns``; ``rows`` gives lists by output column."""
+def arrow_map(df: DataFrame, columns: list[str], schema: str, rows: Callable[[pa.RecordBatch], dict[str, list]], by: str | None = None) -> DataFrame:
+    """``mapInArrow`` of ``rows`` over ``columns``; ``rows`` gives lists by output column.
+
+    With ``by`` a batch is cut into pieces of bounded bytes of that column.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string  # noqa: PLC2701
 
@@ -40,9 +43,10 @@ def arrow_map(df: DataFrame, columns: list[str], schema: str, rows: Callable[[pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = rows(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+            for piece in slices(batch, by) if by else [batch] if batch.num_rows else []:
+                out = rows(piece)
+                made = [x if isinstance(x := out[f.name], pa.Array) and x.type == f.type else pa.array(x, f.type) for f in target]
+                yield pa.RecordBatch.from_arrays(made, schema=target)
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import bpe, packing, simhash
 from .common import table
 from .registry import operation
 
@@ -13,3 +13,23 @@ from .registry import operation
 def op4(spark, sf_dir):
     found = simhash.components(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@operation("op2_byte_bpe")
+def op2(spark, sf_dir):
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, P.PATTERN), path, P.PATTERN)
+    joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@operation("op6_best_fit_packing")
+def op6(spark, sf_dir):
+    import public_tokenizers as P
+
+    docs = table(spark, sf_dir, "documents")
+    parts = packing.pieces(docs, P.path("word_bpe_49k.json"))
+    parts = parts.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(parts, docs.count())
