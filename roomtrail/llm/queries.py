@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash
+from . import bpe, packing, secretscan, simhash
 from .common import table
 from .registry import operation
 
@@ -33,3 +33,11 @@ def op6(spark, sf_dir):
     parts = packing.pieces(docs, P.path("word_bpe_49k.json"))
     parts = parts.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack(parts, docs.count())
+
+
+@operation("op3_secret_scan", secretscan.oracle())
+def op3(spark, sf_dir):
+    found = secretscan.scan(table(spark, sf_dir, "documents"), repository="doc_id", owner="source")
+    kinds = [secretscan.of_kind(F.col("_base"), k).alias(f"n_{k}") for k in secretscan.BASE]
+    base, spans = secretscan.spans_text(F.col("_base")), secretscan.spans_text(F.col("_spans"))
+    return found.select("doc_id", *kinds, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"), F.col("_live").alias("n_live"), F.col("_examples").alias("n_examples"))
