@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, packing, secretscan, simhash
+from . import bpe, langid, packing, secretscan, simhash
 from .common import table
 from .registry import operation
 
@@ -41,3 +41,16 @@ def op3(spark, sf_dir):
     kinds = [secretscan.of_kind(F.col("_base"), k).alias(f"n_{k}") for k in secretscan.BASE]
     base, spans = secretscan.spans_text(F.col("_base")), secretscan.spans_text(F.col("_spans"))
     return found.select("doc_id", *kinds, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"), F.col("_live").alias("n_live"), F.col("_examples").alias("n_examples"))
+
+
+def held_out(column: str = "doc_id"):
+    """Documents that language ID never learns from."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2
+
+
+@operation("op1_language_id")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    bounds = langid.Training()
+    model = langid.train(langid.sample(docs.filter(~held_out()), "lang", "text", bounds), bounds)
+    return langid.predict(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "agreement")
