@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, secretscan, simhash
+from . import bpe, htmltree, langid, packing, secretscan, simhash
 from .common import table
 from .registry import operation
 
@@ -54,3 +54,11 @@ def op1(spark, sf_dir):
     bounds = langid.Training()
     model = langid.train(langid.sample(docs.filter(~held_out()), "lang", "text", bounds), bounds)
     return langid.predict(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "agreement")
+
+
+@operation("op10_html_extraction")
+def op10(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    model = htmltree.fit(htmltree.sample(pages))
+    found = htmltree.extract(pages, model)
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
