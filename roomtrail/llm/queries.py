@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, htmltree, langid, packing, secretscan, simhash
-from .common import table
+from . import bpe, htmltree, langid, media, packing, secretscan, simhash
+from .common import cut, table
 from .registry import operation
 
 
@@ -62,3 +62,13 @@ def op10(spark, sf_dir):
     model = htmltree.fit(htmltree.sample(pages))
     found = htmltree.extract(pages, model)
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
+@operation("op9_media_columns")
+def op9(spark, sf_dir):
+    stored = media.store(media.from_documents(table(spark, sf_dir, "documents")))
+    # Entries of one digest are the same bytes: one of them stands for all.
+    known = cut(media.features(stored.select("digest", "stored"))).dropDuplicates(["digest"])
+    refs = media.resolve(stored.select("doc_id", "n_bytes", "items"), known)
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return refs.select("doc_id", "n_bytes", *names, "position", "caption")
