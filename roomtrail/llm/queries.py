@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, htmltree, langid, media, packing, secretscan, simhash
+from . import ann, bpe, htmltree, langid, media, packing, secretscan, simhash
 from .common import cut, table
 from .registry import operation
 
@@ -72,3 +72,8 @@ def op9(spark, sf_dir):
     refs = media.resolve(stored.select("doc_id", "n_bytes", "items"), known)
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     return refs.select("doc_id", "n_bytes", *names, "position", "caption")
+
+
+@operation("op5_inverted_multi_index")
+def op5(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), query_every=20, k=20)
