@@ -14,22 +14,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
     A session without that setting may only be a local one (tests); it gets a
     folder of its own.
     """
-    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="roomtrail-"))
+    return (named or sc.getCheckpointDir()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def plain(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns c0, c1, ... that no operator's own names meet, and its names."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns
+
+
 def arrow_map(df: DataFrame, columns: list[str], schema: str, rows: Callable[[pa.RecordBatch], dict[str, list]], by: str | None = None) -> DataFrame:
     """``mapInArrow`` of ``rows`` over ``columns``; ``rows`` gives lists by output column.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, plain
 
 UNKNOWN = "und"
 WINDOW, BLOCK = 128, 1024
@@ -220,33 +220,41 @@ class Reader:
         return prob, votes
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, lang_pred, score, agreement)`` for every row.
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple = ("doc_id",), names: tuple = ("lang_pred", "score", "agreement")) -> DataFrame:
+    """The ``keep`` columns of every row with three more, called by ``names``: the
+    predicted label, its score and its agreement.
 
-    ``score`` is the mean probability of ``lang_pred`` over all byte positions and
-    ``agreement`` the share of positions that have this label themselves. Texts that
-    are null or have no letters, and all texts if there is no model, are ``und``
-    with score 0. Ties go to the label that sorts first.
+    The score is the label's mean probability over all byte positions, the agreement
+    the share of positions that have this label themselves. Texts that are null or
+    have no letters, and all texts if there is no model, are ``und`` with score 0. Ties
+    go to the label that sorts first.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters")
     if model is None:
-        return base.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("agreement"))
+        return docs.select(*keep, F.lit(UNKNOWN).alias(names[0]), F.lit(0.0).alias(names[1]), F.lit(0.0).alias(names[2]))
 
     def rows(batch: pa.RecordBatch) -> dict:
-        text = batch.column(1).cast(pa.large_string())
+        text = batch.column("_text").cast(pa.large_string())
         _, offsets, values = text.buffers()
         ends = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1]
-        known = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        known = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
         data = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
         starts, stops = ends[:-1], np.where(known, ends[1:], ends[:-1])
         prob, votes = Reader(model).pool(data, starts, stops)
         best, size = prob.argmax(axis=1), np.maximum(stops - starts, 1)
         pick = np.arange(len(best))
-        return {
-            "doc_id": batch.column(0),
-            "lang_pred": [model.labels[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)],
-            "score": np.clip(prob[pick, best] / size, 0, 1),
-            "agreement": votes[pick, best] / size,
-        }
-
-    return arrow_map(base, ["doc_id", "text", "letters"], "doc_id long, lang_pred string, score double, agreement double", rows, by="text")
+        labels = [model.labels[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
+        found = (labels, np.clip(prob[pick, best] / size, 0, 1), votes[pick, best] / size)
+        return {c: batch.column(i) for i, c in enumerate(keep)} | dict(zip(names, found, strict=True))
+
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
+    base = docs.select(*keep, F.col(text_col).alias("_text"), letters)
+    return arrow_map(base, base.columns, f"{kept}{names[0]} string, {names[1]} double, {names[2]} double", rows, by="_text")
+
+
+def known_language(docs: DataFrame, model: Model | None, least_score: float = 0.4, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose language the model tells: not ``und`` and of ``least_score`` or more."""
+    own, columns = plain(docs)
+    keep = tuple(own.columns)
+    found = predict(own, model, own.columns[columns.index(text_col)], keep, ("_lang", "_score", "_agreement"))
+    return found.filter((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least_score)).select(*keep).toDF(*columns)

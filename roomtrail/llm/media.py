@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut
+from .common import arrow_map, shared_dir
 
 ROW = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -218,15 +218,8 @@ def features(media: DataFrame) -> DataFrame:
 def store(built: DataFrame) -> DataFrame:
     """The media written below the shared folder and read again, as (doc_id, items, n_items,
     n_bytes, digest, stored); ``items`` are the media items alone of a sequence of ``n_items``."""
-    path = f"{_shared(built.sparkSession)}/media-{uuid.uuid4().hex}"
+    path = f"{shared_dir(built.sparkSession)}/media-{uuid.uuid4().hex}"
     refs = F.filter("items", lambda x: x["kind"] == "media")
     built.select("doc_id", refs.alias("items"), F.size("items").alias("n_items"), "n_bytes", "digest", "stored").write.option("compression", "none").parquet(path)
     return built.sparkSession.read.parquet(path)
 
-
-def _shared(spark) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    cut(spark.range(1))  # a local session's own folder
-    return spark.sparkContext.getCheckpointDir()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, htmltree, langid, media, packing, secretscan, simhash
+from . import ann, bpe, htmltree, langid, licenses, lmscore, media, packing, secretscan, simhash
 from .common import cut, table
 from .registry import operation
 
@@ -77,3 +77,16 @@ def op9(spark, sf_dir):
 @operation("op5_inverted_multi_index")
 def op5(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"), query_every=20, k=20)
+
+
+@operation("op7_license_scan")
+def op7(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license", "start", "end", "exact", F.round("saving", 6).alias("saving"), F.concat_ws(" ", "missing").alias("missing"), F.concat_ws(" ", "extra").alias("extra"))
+
+
+@operation("op8_pseudo_likelihood")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    words = lmscore.vocabulary(lmscore.count(docs))
+    return lmscore.score(docs, lmscore.fit(docs, words), words)

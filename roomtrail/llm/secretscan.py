@@ -15,7 +15,7 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, plain
 
 #: kind -> (pattern, the group that must have ``least`` characters)
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -107,11 +107,14 @@ def ownership(values: DataFrame) -> DataFrame:
     return by_owner.groupBy("_hash").agg(F.sum("_repos").alias("repositories"), F.count("*").alias("owners"))
 
 
-def redact(docs: DataFrame, repository: str, owner: str, mark: str = "<secret>", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of the text replaced by ``mark``; overlapping spans
-    give one mark. Rows and the other columns stay as they are."""
-    found = scan(docs, repository, owner, text_col=text_col)
-    text = F.col(text_col)
+def redact(docs: DataFrame, repository: str, owner: str, mark: str = "<secret>", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``docs`` with every span of the text replaced by ``mark``; overlapping spans give
+    one mark. ``length_col``, if given, becomes the new text's number of characters.
+    Rows and the other columns stay as they are."""
+    own, columns = plain(docs)
+    name = dict(zip(columns, own.columns, strict=True))
+    found = scan(own, name[repository], name[owner], text_col=name[text_col])
+    text = F.col(name[text_col])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -119,9 +122,14 @@ def redact(docs: DataFrame, repository: str, owner: str, mark: str = "<secret>",
         longer = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
         return F.when(s["start"] >= acc["at"], fresh).otherwise(longer)
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text)))
+    def rest(acc: Column) -> Column:
+        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text)))
+
     clean = F.aggregate(F.array_sort("_spans"), start, step, rest)
-    return found.withColumn(text_col, F.when(F.size("_spans") > 0, clean).otherwise(text)).select(*docs.columns)
+    out = found.withColumn(name[text_col], F.when(F.size("_spans") > 0, clean).otherwise(text))
+    if length_col:
+        out = out.withColumn(name[length_col], F.char_length(text).cast(docs.schema[length_col].dataType))
+    return out.select(*own.columns).toDF(*columns)
 
 
 # --- the same in SQL -----------------------------------------------------------------

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, slices, star_edges
+from .common import arrow_map, cut, plain, slices, star_edges
 
 BITS = 64
 #: Buckets up to this many fingerprints are compared inside one task's memory.
@@ -255,6 +255,8 @@ def _first_rows(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id") -> Da
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-copies: the smallest id's."""
+    own, columns = plain(docs)
+    own_id, own_text = (own.columns[columns.index(c)] for c in (id_col, text_col))
     keep = near_groups(docs, shingle, similarity, id_col, text_col).filter("keep")
-    marked = docs.withColumn("node", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    return _first_rows(marked, keep, id_col).select(*docs.columns)
+    marked = own.withColumn("node", F.md5(F.coalesce(F.col(own_text), F.lit(""))))
+    return _first_rows(marked, keep, own_id).select(*own.columns).toDF(*columns)
