@@ -110,9 +110,9 @@ def infer_bedroom(episodes: DataFrame, sessions: DataFrame, known: DataFrame | N
         .filter((F.col("support_nights") >= min_nights) & (F.col("support_share") >= min_share))
     )
     best = per.groupBy("session_id").agg(
-        F.max_by(
+        F.min_by(
             F.struct("dominant_beacon", "support_nights", "support_share"),
-            F.struct("support_nights", "_total", F.round("support_share", 9), F.col("dominant_beacon")),
+            F.struct(-F.col("support_nights"), -F.col("_total"), -F.round("support_share", 9), "dominant_beacon"),
         ).alias("_b")
     )
     out = sessions.select("session_id").join(best, "session_id", "left")

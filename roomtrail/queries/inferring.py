@@ -133,7 +133,7 @@ def zoned_sessions(spark, sf):
 
 @query("infer_bedroom", "session_id:i bedroom_source:s bedroom_beacons:s bedroom_inferred:b support_nights:i support_share:f",
        with_ctes("""SELECT s.session_id, CASE WHEN b.beacon IS NULL THEN 'unresolved' ELSE 'inferred_cross_night' END AS bedroom_source, coalesce(b.beacon, '') AS bedroom_beacons, b.beacon IS NOT NULL AS bedroom_inferred,
-         b.nights AS support_nights, b.share AS support_share FROM (SELECT DISTINCT session_id FROM ev) s LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY nights DESC, tot DESC, round(share, 9) DESC, beacon DESC) AS r FROM (
+         b.nights AS support_nights, b.share AS support_share FROM (SELECT DISTINCT session_id FROM ev) s LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY nights DESC, tot DESC, round(share, 9) DESC, beacon) AS r FROM (
           SELECT session_id, dominant_beacon AS beacon, count(DISTINCT CAST("start" + CASE session_id WHEN 1 THEN INTERVAL 9 HOUR WHEN 2 THEN INTERVAL (-7) HOUR ELSE INTERVAL 0 HOUR END AS DATE)) AS nights,
            sum(dominant_count) / sum(observed_windows) AS share, sum(observed_windows) AS tot FROM epr WHERE main_sleep AND room_supported GROUP BY 1, 2) WHERE nights >= 2 AND share >= 0.6) WHERE r = 1) b USING (session_id)"""))
 def _(spark, sf):
