@@ -94,7 +94,7 @@ def scan(docs: DataFrame, repository: str, owner: str, most_owners: int = 2, mos
         F.count_if("_is").alias("_live"), F.count_if(~F.col("_is") & (F.col("_span.kind") != "owned")).alias("_examples"),
     )
     out = marked.drop("_all").join(judged, "_key", "left")
-    spans = F.when(F.col("_owned").isNull(), F.col("_base")).otherwise(F.concat("_base", "_owned"))
+    spans = F.when(F.col("_owned").isNull(), F.col("_base")).otherwise(F.array_sort(F.concat("_base", "_owned")))
     return out.select(*docs.columns, "_base", spans.alias("_spans"), F.coalesce("_live", F.lit(0)).alias("_live"), F.coalesce("_examples", F.lit(0)).alias("_examples"))
 
 
