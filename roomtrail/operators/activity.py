@@ -117,9 +117,9 @@ def level_distribution(df: DataFrame) -> DataFrame:
     return flat.select("session_id", "agreement", F.inline(rows))
 
 
-def activity_disagreement(df: DataFrame, steps: str = "steps", acc: str = "acc_std", top: int = 8) -> DataFrame:
-    """The ``top`` windows per session whose step and acceleration ranks differ
-    most among the windows where the two labels differ."""
+def activity_disagreement(df: DataFrame, steps: str = "steps", acc: str = "acc_std", top: int | None = None) -> DataFrame:
+    """Windows where the two labels differ, ranked per session by how far their step
+    and acceleration ranks lie apart (unknown last); only the ``top`` first if given."""
     from pyspark.sql import Window
 
     # read three times by each ranking, so cut its lineage once
@@ -128,7 +128,8 @@ def activity_disagreement(df: DataFrame, steps: str = "steps", acc: str = "acc_s
     d = pct_rank(d, ["session_id"], acc, "_b")
     d = d.withColumn("score", F.abs(F.col("_a") - F.col("_b")))
     order = Window.partitionBy("session_id").orderBy(F.desc(F.round("score", 9)), "w")
-    return d.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).drop("_a", "_b")
+    d = d.withColumn("rank", F.row_number().over(order)).drop("_a", "_b")
+    return d if top is None else d.filter(F.col("rank") <= top)
 
 
 def annotation_shapes(df: DataFrame, label: str, window_s: int, key: str = "activityLevel", author: str = "roomtrail", sensor: str = "Wearable") -> DataFrame:

@@ -1,13 +1,13 @@
 """One-dimensional clustering of very many sessions in one job.
 
-In one dimension the best clusters are contiguous in sorted order. Each session
-is reduced to a histogram of at most ``BINS`` equal-share bins that keep exact
-counts and sums; on that bounded array the optimal split into k runs is found
-by dynamic programming. A session with more distinct values than bins is then
-refined with Lloyd steps over its full values, as a DataFrame job."""
+In one dimension clusters are contiguous in sorted order, so everything is said by
+running counts and sums of a session's distinct values. Two clusters are the best
+cut of all, found in one pass over those sums at any size. More clusters start from
+nested best cuts and take Lloyd steps until no value changes its cluster."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,86 +19,81 @@ from ..env import durable, small
 from ..functions.signal import finite
 from .byvalue import prefix_by_value
 
-BINS = 1024
-
-
 def histogram(rows: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     """Distinct finite values with counts: repeated values merge before the shuffle."""
     return rows.select(*keys, finite(x).alias("x")).filter("x is not null").groupBy(*keys, "x").agg(F.count("*").alias("n"))
 
 
-def _best_splits(n: np.ndarray, s: np.ndarray, q: np.ndarray, ks: Sequence[int]) -> dict[int, list[int]]:
-    """Optimal last-bin indices of the first k−1 clusters, by dynamic programming."""
-    m = len(n)
-    cn, cs, cq = (np.concatenate([[0.0], np.cumsum(v)]) for v in (n, s, q))
-    # cost[i, j] = squared error of bins i..j
-    dn = cn[None, 1:] - cn[:-1, None]
-    ds = cs[None, 1:] - cs[:-1, None]
-    dq = cq[None, 1:] - cq[:-1, None]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cost = np.where(dn > 0, dq - ds * ds / dn, np.inf)
-    cost[np.tril_indices(m, -1)] = np.inf
-    cost = np.maximum(cost, 0.0)
-    best = cost[0].copy()
-    cuts: dict[int, list[int]] = {}
-    back: list[np.ndarray] = []
-    for k in range(2, max(ks) + 1):
-        if m < k:
-            break
-        # new[j] = min over i of best[i] + cost[i + 1, j]
-        total = best[:-1, None] + cost[1:, :]
-        arg = np.argmin(total, axis=0)
-        new = total[arg, np.arange(m)]
-        back.append(arg)
-        if k in ks:
-            j, out = m - 1, []
-            for step in reversed(back):
-                j = int(step[j])
-                out.append(j)
-            cuts[k] = out[::-1]
-        best = new
-    return cuts
-
-
-def kmeans1d_ordered(hist: DataFrame, keys: Sequence[str], ks: Sequence[int], max_rounds: int = 50) -> DataFrame:
-    """Model per (keys, k): ``uppers`` (largest value of every cluster but the
-    last) and ``centers``, both ascending. Keys with fewer than k distinct
-    values get no model. ``hist`` comes from :func:`histogram`."""
-    keys, ks = list(keys), sorted(ks)
-    distinct = hist.groupBy(*keys).agg(F.count("*").alias("_m"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("_mean"))
-    probs = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
-    cuts = hist.groupBy(*keys).agg(F.percentile_approx("x", probs, 4 * BINS).alias("_cuts"))
-    info = distinct.join(cuts, keys)
-    # few distinct values: every value is its own bin
-    own = Window.partitionBy(*keys).orderBy("x")
-    wide = hist.join(small(info), keys)
-    few = wide.filter(F.col("_m") <= BINS).withColumn("_bin", F.row_number().over(own)).drop("_cuts")
-    many = wide.filter(F.col("_m") > BINS).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col("x")))).drop("_cuts")
-    d = F.col("x") - F.col("_mean")
-    cells = few.unionByName(many).groupBy(*keys, "_bin").agg(
-        F.sum("n").cast("double").alias("n"), F.sum(d * F.col("n")).alias("s"), F.sum(d * d * F.col("n")).alias("q"), F.max("x").alias("hi"),
-        F.first("_mean").alias("_mean"), F.first("_m").alias("_m"),
-    )
-    packed = cells.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_bin", "n", "s", "q", "hi"))).alias("b"), F.first("_mean").alias("_mean"), F.max("_m").alias("_m")
-    )
+STEPS_PER_JOB = 6
 
-    @F.pandas_udf("array<struct<k:int,uppers:array<double>,centers:array<double>>>")
-    def solve(n: pd.Series, s: pd.Series, q: pd.Series, hi: pd.Series, mean: pd.Series) -> pd.Series:
-        out = []
-        for a, b, c, h, m in zip(n, s, q, hi, mean):
-            a, b, c = np.asarray(a, float), np.asarray(b, float), np.asarray(c, float)
-            rows = []
-            for k, cut in _best_splits(a, b, c, ks).items():
-                edges = [-1, *cut, len(a) - 1]
-                centers = [float(b[i + 1 : j + 1].sum() / a[i + 1 : j + 1].sum() + m) for i, j in zip(edges[:-1], edges[1:])]
-                rows.append({"k": k, "uppers": [float(h[i]) for i in cut], "centers": centers})
-            out.append(rows)
-        return pd.Series(out)
 
-    model = packed.select(*keys, "_m", solve("b.n", "b.s", "b.q", "b.hi", "_mean").alias("_r")).select(*keys, "_m", F.inline("_r"))
-    model = durable(model)
-    return _refine(hist, model, keys, max_rounds).drop("_m")
+def kmeans1d_ordered(hist: DataFrame, keys: Sequence[str], ks: Sequence[int], rounds: int = 600) -> DataFrame:
+    """Model per (keys, k): ``uppers`` (largest value of every cluster but the last)
+    and ``centers``, both ascending, and whether it ``converged``. Keys with fewer
+    than k distinct values get no model. ``hist`` comes from :func:`histogram`.
+
+    k = 2 is the exact optimum (ties: the smallest cut); larger k are fixed points of
+    Lloyd steps from nested best cuts. ``rounds`` only bounds a run that never ends."""
+    keys, ks = list(keys), sorted(ks)
+    centred = hist.join(hist.groupBy(*keys).agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("_mean")), keys)
+    centred = centred.withColumn("_s", (F.col("x") - F.col("_mean")) * F.col("n"))
+    pre = durable(prefix_by_value(centred, keys, "x", {"cn": "n", "cs": "_s"}).select(*keys, "x", F.col("n").cast("double").alias("n"), "_s", F.col("cn").cast("double").alias("cn"), "cs"))
+    ends = centred.groupBy(*keys).agg(F.max("x").alias("x"), F.sum("n").cast("double").alias("cn"), F.sum("_s").alias("cs"), F.first("_mean").alias("_mean"))
+    cuts = ends.select(*keys, "_mean", F.array(F.struct("x", "cn", "cs")).alias("_cuts"))
+    found = []
+    for k in range(2, max(ks) + 1):
+        cuts = durable(_cut_again(pre, cuts, keys))
+        if k in ks:
+            found.append(cuts.withColumn("k", F.lit(k)))
+    exact = [_as_model(c, keys).withColumn("converged", F.lit(True)) for c, k in zip(found, ks) if k == 2]
+    more = [_as_model(c, keys) for c, k in zip(found, ks) if k > 2]
+    if more:
+        exact.append(_lloyd(pre.select(*keys, "x", "n"), functools.reduce(DataFrame.unionByName, more), keys, rounds))
+    return functools.reduce(DataFrame.unionByName, exact)
+
+
+def _cut_again(pre: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
+    """One more cut per key, where the squared error falls most; keys without one go."""
+    at = F.size(F.filter("_cuts", lambda c: c["x"] < F.col("x")))  # the segment a value lies in
+    rows = pre.join(cuts, keys).withColumn("_at", at)
+    on = F.when(F.col("_at") > 0, F.col("_cuts")[F.col("_at") - 1]["cn"]).otherwise(0.0)
+    os = F.when(F.col("_at") > 0, F.col("_cuts")[F.col("_at") - 1]["cs"]).otherwise(0.0)
+    end = F.col("_cuts")[F.col("_at")]
+    n1, s1, n2, s2 = F.col("cn") - on, F.col("cs") - os, end["cn"] - F.col("cn"), end["cs"] - F.col("cs")
+    gain = s1 * s1 / n1 + s2 * s2 / n2 - (s1 + s2) * (s1 + s2) / (n1 + n2)
+    best = rows.filter(n2 > 0).groupBy(*keys).agg(F.max_by(F.struct("x", "cn", "cs"), F.struct(gain.alias("gain"), (-F.col("x")).alias("x"))).alias("_new"))
+    return cuts.join(best, keys).select(*keys, "_mean", F.array_sort(F.array_append("_cuts", F.col("_new"))).alias("_cuts"))
+
+
+def _as_model(cuts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, k, uppers, centers) of cuts with running counts and sums."""
+    before = F.concat(F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("cn"), F.lit(0.0).alias("cs"))), F.expr("slice(_cuts, 1, size(_cuts) - 1)"))
+    centers = F.zip_with("_cuts", before, lambda b, a: (b["cs"] - a["cs"]) / (b["cn"] - a["cn"]) + F.col("_mean"))
+    return cuts.select(*keys, "k", F.expr("slice(_cuts.x, 1, size(_cuts) - 1)").alias("uppers"), centers.alias("centers"))
+
+
+def _lloyd(hist: DataFrame, model: DataFrame, keys: list[str], rounds: int) -> DataFrame:
+    """Lloyd steps for all keys and k at once until no upper changes. Several steps
+    are chained per job; the driver sees only whether a model still moves."""
+    model = model.withColumn("converged", F.lit(False))
+    for _ in range(0, rounds, STEPS_PER_JOB):
+        for _ in range(STEPS_PER_JOB):
+            mids = F.expr("transform(sequence(1, size(centers) - 1), i -> (centers[i - 1] + centers[i]) / 2)")
+            seen = hist.join(model.filter("not converged").select(*keys, "k", mids.alias("_mid")), keys)
+            seen = seen.withColumn("_l", F.size(F.filter("_mid", lambda c: c < F.col("x"))))
+            per = seen.groupBy(*keys, "k", "_l").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("c"), F.max("x").alias("hi"))
+            new = per.groupBy(*keys, "k").agg(F.array_sort(F.collect_list(F.struct("_l", "c", "hi"))).alias("_p"))
+            new = new.select(*keys, "k", F.col("_p.c").alias("_c"), F.expr("slice(_p.hi, 1, size(_p) - 1)").alias("_u"))
+            joined = model.join(new, [*keys, "k"], "left")
+            ok = F.col("_c").isNotNull() & (F.size("_c") == F.size("centers"))  # an emptied cluster ends the run as it was
+            model = joined.select(
+                *keys, "k", F.when(ok, F.col("_u")).otherwise(F.col("uppers")).alias("uppers"), F.when(ok, F.col("_c")).otherwise(F.col("centers")).alias("centers"),
+                (F.col("converged") | ~ok | (F.col("_u") == F.col("uppers"))).alias("converged"),
+            )
+        model = durable(model)
+        if model.filter("not converged").isEmpty():
+            break
+    return model
 
 
 def label_of(x: Column, uppers: Column) -> Column:
@@ -106,33 +101,6 @@ def label_of(x: Column, uppers: Column) -> Column:
     return F.size(F.filter(uppers, lambda u: u < x)) + 1
 
 
-def _refine(hist: DataFrame, model: DataFrame, keys: list[str], max_rounds: int) -> DataFrame:
-    """Lloyd steps for keys whose histogram was coarser than their values."""
-    exact = model.filter(F.col("_m") <= BINS)
-    todo = durable(model.filter(F.col("_m") > BINS).withColumn("_moved", F.lit(True)))
-    if todo.isEmpty():
-        return model
-    for _ in range(max_rounds):
-        mid = F.expr("transform(sequence(1, size(centers) - 1), i -> (centers[i - 1] + centers[i]) / 2)")
-        live = todo.withColumn("_mid", mid)
-        seen = hist.join(small(live.filter("_moved").select(*keys, "k", "_mid")), keys).withColumn("_l", F.size(F.filter("_mid", lambda c: c < F.col("x"))))
-        per = seen.groupBy(*keys, "k", "_l").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("c"), F.max("x").alias("hi"))
-        new = per.groupBy(*keys, "k").agg(F.array_sort(F.collect_list(F.struct("_l", "c", "hi"))).alias("_p")).select(
-            *keys, "k", F.col("_p.c").alias("_c"), F.expr("slice(_p.hi, 1, size(_p) - 1)").alias("_u")
-        )
-        joined = live.drop("_mid").join(new, [*keys, "k"], "left")
-        same_size = F.size("_c") == F.size("centers")
-        shift = F.array_max(F.zip_with("centers", "_c", lambda a, b: F.abs(a - b)))
-        keep = F.col("_c").isNull() | ~same_size
-        todo = durable(joined.select(
-            *keys, "_m", "k", F.when(keep, F.col("uppers")).otherwise(F.col("_u")).alias("uppers"), F.when(keep, F.col("centers")).otherwise(F.col("_c")).alias("centers"),
-            (F.col("_moved") & ~keep & (shift > 1e-12)).alias("_moved"),
-        ))
-        if todo.filter("_moved").isEmpty():
-            break
-    return exact.unionByName(todo.drop("_moved"))
-
-
 def silhouette1d(hist: DataFrame, model: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean Euclidean silhouette per (keys, k) by prefix sums.
 
@@ -233,9 +201,6 @@ def classify_movement(windows: DataFrame, params, value: str = "movement_value",
     return out.drop("_x", "movement_state_centers"), diag
 
 
-STEPS_PER_JOB = 4
-
-
 def quantile_lloyd(
     rows: DataFrame, keys: Sequence[str], x: str, k: int, low: float = 0.05, high: float = 0.95, rounds: int = 200, tolerance: float = 1e-12, median: bool = False,
 ) -> DataFrame:

@@ -84,10 +84,10 @@ def _(spark, sf):
 @query("activity_disagreement", "session_id:i w:t steps:f acc_std:f step_activity:s acc_activity:s score:f rank:i",
        with_ctes("""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY round(score, 9) DESC, w) AS rank FROM (SELECT session_id, w, steps, acc_std, step_activity, acc_activity,
           abs((rank() OVER (PARTITION BY session_id ORDER BY steps) + (count(*) OVER (PARTITION BY session_id, steps) - 1) / 2) / count(steps) OVER (PARTITION BY session_id)
-           - (rank() OVER (PARTITION BY session_id ORDER BY acc_std) + (count(*) OVER (PARTITION BY session_id, acc_std) - 1) / 2) / count(acc_std) OVER (PARTITION BY session_id)) AS score
-         FROM actall WHERE step_activity <> acc_activity AND acc_std IS NOT NULL)) WHERE rank <= 8"""))
+           - CASE WHEN acc_std IS NOT NULL THEN (rank() OVER (PARTITION BY session_id ORDER BY acc_std) + (count(*) OVER (PARTITION BY session_id, acc_std) - 1) / 2) / count(acc_std) OVER (PARTITION BY session_id) END) AS score
+         FROM actall WHERE step_activity <> acc_activity))"""))
 def _(spark, sf):
-    return ac.activity_disagreement(all_activity(spark, sf).filter("acc_std is not null"))
+    return ac.activity_disagreement(all_activity(spark, sf))
 
 
 @query("activity_level_distribution", "session_id:i method:s level:s windows:i agreement:f",
@@ -404,12 +404,12 @@ def _(spark, sf):
 
 
 # -- vectors and clusters --------------------------------------------------------
-BEACONS4 = ["click", "purchase", "signup", "view"]
+BEACONS5 = ["click", "error", "purchase", "signup", "view"]
 cte(
-    vec="""SELECT c.session_id, c.w, coalesce(max(CASE WHEN c.beacon = 'click' THEN rssi_mean END), -100) AS rssi_click, coalesce(max(CASE WHEN c.beacon = 'purchase' THEN rssi_mean END), -100) AS rssi_purchase,
+    vec="""SELECT c.session_id, c.w, coalesce(max(CASE WHEN c.beacon = 'click' THEN rssi_mean END), -100) AS rssi_click, coalesce(max(CASE WHEN c.beacon = 'error' THEN rssi_mean END), -100) AS rssi_error, coalesce(max(CASE WHEN c.beacon = 'purchase' THEN rssi_mean END), -100) AS rssi_purchase,
        coalesce(max(CASE WHEN c.beacon = 'signup' THEN rssi_mean END), -100) AS rssi_signup, coalesce(max(CASE WHEN c.beacon = 'view' THEN rssi_mean END), -100) AS rssi_view,
        arg_min(c.beacon, (-rssi_mean, c.beacon)) AS beacon, list_sort(list(rssi_mean))[-1] - list_sort(list(rssi_mean))[-2] AS gap_db, sum(rssi_cnt) AS samples, coalesce(any_value(s.steps_in_window), 0) AS steps
-      FROM rw c LEFT JOIN stepw s USING (session_id, w) WHERE c.beacon <> 'error' GROUP BY 1, 2""",
+      FROM rw c LEFT JOIN stepw s USING (session_id, w) GROUP BY 1, 2""",
     vecr="""SELECT v.*, b.room, steps <= 150 AS training, CASE WHEN gap_db IS NULL THEN 1 WHEN gap_db < 10 THEN 2 ELSE 3 END AS cluster FROM vec v JOIN beacons b USING (beacon)""",
 )
 
@@ -418,14 +418,14 @@ def vectors(spark, sf):
     cells = win.rssi_window_agg(A.rssi_samples(spark, sf), HOUR)
     inc = win.step_increments(A.step_samples(spark, sf), ["event_id"])
     steps = inc.groupBy("session_id", timefn.floor_ts("ts", HOUR).alias("w")).agg(F.sum("increment").alias("steps"))
-    return cal.rssi_vector_features(cells, BEACONS4, A.beacons(spark), steps, max_steps=150)
+    return cal.rssi_vector_features(cells, BEACONS5, A.beacons(spark), steps, max_steps=150)
 
 
 def gap_clusters(spark, sf):
     return vectors(spark, sf).withColumn("cluster", F.when(F.col("gap_db").isNull(), 1).when(F.col("gap_db") < 10, 2).otherwise(3))
 
 
-@query("rssi_vector_features", "session_id:i w:t rssi_click:f rssi_purchase:f rssi_signup:f rssi_view:f beacon:s room:s gap_db:f samples:i steps:f training:b",
+@query("rssi_vector_features", "session_id:i w:t rssi_click:f rssi_error:f rssi_purchase:f rssi_signup:f rssi_view:f beacon:s room:s gap_db:f samples:i steps:f training:b",
        with_ctes("SELECT * FROM vecr"))
 def _(spark, sf):
     return vectors(spark, sf)

@@ -232,13 +232,13 @@ cte(
        max(CASE WHEN r = 1 THEN m END) - max(CASE WHEN r = 2 THEN m END) AS gap_db FROM (
         SELECT *, row_number() OVER (PARTITION BY session_id, window_s, w ORDER BY m DESC, beacon) AS r FROM (
          SELECT session_id, s AS window_s, to_timestamp(epoch_us(ts) // (s * 1000000) * s)::TIMESTAMP AS w, beacon, avg(rssi) AS m, count(*) AS c
-         FROM (SELECT *, unnest([300, 900, 1800]::BIGINT[]) AS s FROM rssi WHERE beacon <> 'error') GROUP BY 1, 2, 3, 4)) GROUP BY 1, 2, 3) JOIN beacons ON b = beacon""",
+         FROM (SELECT *, unnest([300, 900, 1800]::BIGINT[]) AS s FROM rssi) GROUP BY 1, 2, 3, 4)) GROUP BY 1, 2, 3) JOIN beacons ON b = beacon""",
 )
 
 
 def sized_rooms(spark, sf, sizes=(300, 900, 1800)):
     """Strongest room for several window sizes from one scan."""
-    samples = A.rssi_samples(spark, sf).filter("beacon <> 'error'")
+    samples = A.rssi_samples(spark, sf)
     width = F.col("window_s").cast("bigint") * 1_000_000
     cells = (
         samples.select("*", F.explode(F.array(*[F.lit(s) for s in sizes])).alias("window_s"))

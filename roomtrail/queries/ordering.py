@@ -31,7 +31,8 @@ cte(
 
 def timeline_rssi(spark, sf):
     """Signal per (window, beacon); a scan that failed ('error') carries none."""
-    return win.rssi_window_agg(A.rssi_samples(spark, sf).filter("beacon <> 'error'"), Q)
+    level = F.when(F.col("beacon") != "error", F.col("rssi"))
+    return win.rssi_window_agg(A.rssi_samples(spark, sf).withColumn("rssi", level), Q)
 
 
 def timeline(spark, sf):

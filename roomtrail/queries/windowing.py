@@ -291,8 +291,10 @@ cte(
 
 
 def observed_windows(spark, sf):
-    ev = A.events(spark, sf).filter("event_type <> 'error'")
-    return ev.select(F.col("user_id").alias("session_id"), timefn.floor_ts("ts", HOUR).alias("w")).distinct()
+    heard = F.when(F.col("event_type") != "error", F.col("value"))  # a failed scan has no level
+    ev = A.events(spark, sf).withColumn("heard", heard)
+    per = ev.groupBy(F.col("user_id").alias("session_id"), timefn.floor_ts("ts", HOUR).alias("w")).agg(F.count("heard").alias("n"))
+    return per.filter("n > 0").select("session_id", "w")
 
 
 def confirmed_gaps(observed):
