@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,11 @@ class ChunkCache(dict):
             return b"".join([self[c] for c in chunks])
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit integers."""
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
 def id_lists(packed: list[bytes]) -> pa.ListArray:
     """Documents' packed ids as one Arrow list array."""
     offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed], dtype=np.int64)]).astype(np.int32)
@@ -44,7 +50,6 @@ def id_lists(packed: list[bytes]) -> pa.ListArray:
 # --- the word tokenizer -------------------------------------------------------------
 
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|#$%&*]*)").fullmatch
-_SPACES = str.maketrans("\t\n\r", "   ")
 
 
 @functools.cache
@@ -74,12 +79,13 @@ def word_tokenizer(path: str) -> ChunkCache:
         for i, c in enumerate(chunks):
             if m := _PLAIN(c):
                 word, tail = m.groups()
-                found = ids(word.lower().translate(spelled))
-                out[i] = np.array(found + ids(tail) if tail else found, "<i4").tobytes()
+                word = word.lower()
+                found = ids(word if word.isascii() else word.translate(spelled))
+                out[i] = packed(found + ids(tail) if tail else found)
             else:
                 rest.append(i)
         for i, e in zip(rest, whole.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, "<i4").tobytes()
+            out[i] = packed(e.ids)
         return out
 
     return ChunkCache(encode)
@@ -87,4 +93,4 @@ def word_tokenizer(path: str) -> ChunkCache:
 
 def word_ids(text: str | None, path: str) -> bytes:
     """Packed ids of one text."""
-    return word_tokenizer(path).packed((text or "").translate(_SPACES).split(" "))
+    return word_tokenizer(path).packed((text or "").replace("\n", " ").replace("\t", " ").split(" "))
