@@ -12,9 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
 
-# Upper bound on what an explicit broadcast hint may ship to every executor.
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-
 
 def utc(spark: SparkSession) -> SparkSession:
     """All timestamps in this library are instants read in UTC."""
@@ -57,21 +54,3 @@ def durable(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan; a driver-side look at statistics."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except ValueError:  # estimates multiply over joins and can outgrow any integer text
-        return 1 << 62
-
-
-def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast only when the estimated size is under ``limit``.
-
-    Above it the plain join is returned and Spark shuffles both sides.
-    """
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df

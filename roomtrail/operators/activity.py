@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..env import durable, small
+from ..env import durable
 from ..functions.timefn import is_night
 from .byvalue import pct_rank
 
@@ -33,7 +33,7 @@ def activity_from_steps(windows: DataFrame, steps: str = "steps") -> DataFrame:
     first, second = F.coalesce(F.col("_q")[0], F.lit(0.0)), F.coalesce(F.col("_q")[1], F.lit(0.0))
     cuts = q.select("session_id", _clamp(first, 10, 40).alias("_sed"), _clamp(second, 80, 180).alias("_light"))
     cuts = cuts.withColumn("_sleep", _clamp(F.col("_sed") / 2, 5, 15))
-    out = windows.join(small(cuts), "session_id")
+    out = windows.join(cuts, "session_id")
     sleep = is_night("w") & (F.col(steps) <= F.col("_sleep"))
     return out.withColumn("step_activity", F.when(sleep, SLEEP).otherwise(_label(F.col(steps), F.col("_sed"), F.col("_light")))).drop("_sed", "_light", "_sleep")
 
@@ -46,7 +46,7 @@ def activity_from_acc(windows: DataFrame, acc: str = "acc_std") -> DataFrame:
     )
     zero = F.lit(0.0)
     cuts = q.select("session_id", *[F.coalesce(F.col("_q")[i], zero).alias(n) for i, n in enumerate(("_sleep", "_sed", "_light"))])
-    out = windows.join(small(cuts), "session_id")
+    out = windows.join(cuts, "session_id")
     sleep = is_night("w") & (metric <= F.col("_sleep"))
     return out.withColumn("acc_activity", F.when(sleep, SLEEP).otherwise(_label(metric, F.col("_sed"), F.col("_light")))).drop("_sed", "_light", "_sleep")
 
@@ -84,7 +84,7 @@ def activity_fused(windows: DataFrame, seed: int = 42) -> DataFrame:
     labelled = fitted.join(F.broadcast(names), "_cluster").select("session_id", "w", "_name")
     metric = z("acc_std") + z("steps")
     cut = windows.groupBy("session_id").agg(F.coalesce(F.percentile(F.when(metric > 0, metric), F.lit(0.2)), F.lit(0.0)).alias("_cut"))
-    out = windows.join(labelled, ["session_id", "w"], "left").join(small(cut), "session_id")
+    out = windows.join(labelled, ["session_id", "w"], "left").join(cut, "session_id")
     sleep = is_night("w") & (metric <= F.col("_cut"))
     return out.withColumn("fused_activity", F.when(sleep, SLEEP).otherwise(F.coalesce("_name", F.lit(SEDENTARY)))).drop("_name", "_cut")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..env import durable, small
+from ..env import durable
 from .runs import transition_count_missing
 
 # Movement state → window seconds.
@@ -117,7 +117,7 @@ def movement_state(rows: DataFrame, cuts: DataFrame, keys: Sequence[str] = ("ses
         F.when(F.col(steps) <= F.col("stationary_max"), "stationary").when(F.col(steps) <= F.col("low_max"), "low_movement")
         .when(F.col(steps) <= F.col("active_max"), "active").otherwise("high_activity")
     )
-    return rows.join(small(cuts), list(keys)).withColumn("movement_state", state)
+    return rows.join(cuts, list(keys)).withColumn("movement_state", state)
 
 
 def adaptive_by_state(rows: DataFrame, values: Sequence[str], windows: dict[str, int] | None = None) -> DataFrame:

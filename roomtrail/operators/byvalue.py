@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..env import small
 
 CUTS = 64
 
@@ -22,7 +21,7 @@ def prefix_by_value(hist: DataFrame, keys: Sequence[str], value: str, sums: dict
     keys = list(keys)
     probs = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
     cuts = hist.groupBy(*keys).agg(F.percentile_approx(value, probs, 1000).alias("_cuts"))
-    marked = hist.join(small(cuts), keys).withColumn(
+    marked = hist.join(cuts, keys).withColumn(
         "_cut", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     ).drop("_cuts")
     totals = marked.groupBy(*keys, "_cut").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
@@ -32,7 +31,7 @@ def prefix_by_value(hist: DataFrame, keys: Sequence[str], value: str, sums: dict
     )
     inner = Window.partitionBy(*keys, "_cut").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     out = marked.withColumns({o: F.sum(c).over(inner) for o, c in sums.items()})
-    out = out.join(small(totals), [*keys, "_cut"])
+    out = out.join(totals, [*keys, "_cut"])
     out = out.withColumns({o: F.col(o) + F.col(f"_b_{o}") for o in sums})
     return out.drop("_cut", *[f"_b_{o}" for o in sums])
 
@@ -47,7 +46,7 @@ def pct_rank(df: DataFrame, keys: Sequence[str], value: str, output: str) -> Dat
     hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     upto = prefix_by_value(hist, keys, value, {"_upto": "_n"})
     total = hist.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranks = upto.join(small(total), keys).select(
+    ranks = upto.join(total, keys).select(
         *keys, value, ((F.col("_upto") - (F.col("_n") - 1) / 2) / F.col("_total")).alias(output)
     )
     out = df.join(ranks, [*keys, value], "left")

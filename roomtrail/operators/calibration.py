@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..env import small
+
 from .topk import mode_label
 
 
@@ -19,8 +19,8 @@ def majority_calibration(train: DataFrame, test: DataFrame, keys: Sequence[str],
     per_beacon = mode_label(train.filter(F.col(beacon).isNotNull()), [*keys, beacon], reference).select(*keys, beacon, F.col(reference).alias("_room"))
     overall = mode_label(train, keys, reference).select(*keys, F.col(reference).alias("_fallback"))
     return (
-        test.join(small(per_beacon), [*keys, beacon], "left")
-        .join(small(overall), keys, "left")
+        test.join(per_beacon, [*keys, beacon], "left")
+        .join(overall, keys, "left")
         .withColumn("predicted", F.coalesce("_room", "_fallback"))
         .drop("_room", "_fallback")
     )
@@ -41,12 +41,12 @@ def signature_match(
     on = [*keys, feature]
     stats = train.groupBy(*on).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_sd"))
     scale = F.when(F.coalesce(F.col("_sd"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("_sd"))
-    stats = small(stats.select(*on, "_m", scale.alias("_sd")))
+    stats = stats.select(*on, "_m", scale.alias("_sd"))
     z = (F.col(value) - F.col("_m")) / F.col("_sd")
     signatures = train.join(stats, on).groupBy(*on, room).agg(F.percentile(z, F.lit(0.5)).alias("_sig"))
     scored = (
         test.drop(room).join(stats, on).withColumn("_z", z)
-        .join(small(signatures), on)
+        .join(signatures, on)
         .groupBy(*keys, *row, room)
         .agg(F.sqrt(F.sum((F.col("_z") - F.col("_sig")) ** 2)).alias("distance"))
     )
@@ -75,7 +75,7 @@ def group_kfold(rows: DataFrame, group: str, splits: int = 5, keys: Sequence[str
 
     folds = packed.select(*keys, F.inline(F.aggregate("_gs", start, place, lambda acc: acc["out"])))
     assigned = sizes.withColumn("g", F.col(group).cast("string")).join(folds, [*keys, "g"]).select(*keys, group, "fold")
-    return rows.join(small(assigned), [*keys, group])
+    return rows.join(assigned, [*keys, group])
 
 
 def cross_validate_majority(rows: DataFrame, keys: Sequence[str], beacon: str = "beacon", reference: str = "reference") -> DataFrame:
@@ -91,8 +91,8 @@ def cross_validate_majority(rows: DataFrame, keys: Sequence[str], beacon: str =
     per_beacon = mode_label(train, [*keys, "fold", beacon], reference, "n").select(*keys, "fold", beacon, F.col(reference).alias("_room"))
     overall = mode_label(train, [*keys, "fold"], reference, "n").select(*keys, "fold", F.col(reference).alias("_fallback"))
     return (
-        rows.join(small(per_beacon), [*keys, "fold", beacon], "left")
-        .join(small(overall), [*keys, "fold"], "left")
+        rows.join(per_beacon, [*keys, "fold", beacon], "left")
+        .join(overall, [*keys, "fold"], "left")
         .withColumn("predicted", F.coalesce("_room", "_fallback"))
         .drop("_room", "_fallback")
     )
@@ -133,7 +133,7 @@ def cluster_profiles(
 def attach_cluster_room(predicted: DataFrame, profiles: DataFrame, keys: Sequence[str], cluster: str = "cluster", role: str = "session_id", unmapped: str = "Unmapped") -> DataFrame:
     """Cluster id → room, label and in-home flag."""
     on = [*keys, cluster]
-    out = predicted.join(small(profiles.select(*on, "dominant_room")), on, "left")
+    out = predicted.join(profiles.select(*on, "dominant_room"), on, "left")
     seen = F.col("has_rssi")
     room = F.when(seen & F.col("dominant_room").isNotNull(), F.col("dominant_room")).otherwise(unmapped)
     label = F.when(seen & F.col(cluster).isNotNull(), F.concat(F.col(role).cast("string"), F.lit("_C"), F.col(cluster).cast("string"))).otherwise(unmapped)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..env import durable, small
+from ..env import durable
 from ..functions.signal import finite
 from .byvalue import prefix_by_value
 
@@ -108,10 +108,10 @@ def silhouette1d(hist: DataFrame, model: DataFrame, keys: Sequence[str]) -> Data
     another cluster is the distance to its mean, because clusters do not
     interleave. Members of singleton clusters score 0."""
     keys = list(keys)
-    centred = hist.join(small(hist.groupBy(*keys).agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("_mean"))), keys)
+    centred = hist.join(hist.groupBy(*keys).agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("_mean")), keys)
     centred = centred.withColumn("v", F.col("x") - F.col("_mean")).withColumn("_s", F.col("v") * F.col("n"))
     pre = prefix_by_value(centred, keys, "x", {"cn": "n", "cs": "_s"})
-    lab = pre.join(small(model.select(*keys, "k", "uppers")), keys).withColumn("label", label_of(F.col("x"), F.col("uppers")))
+    lab = pre.join(model.select(*keys, "k", "uppers"), keys).withColumn("label", label_of(F.col("x"), F.col("uppers")))
     stats = lab.groupBy(*keys, "k", "label").agg(F.sum("n").alias("nc"), F.sum("_s").alias("sc"))
     before = Window.partitionBy(*keys, "k").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
     around = Window.partitionBy(*keys, "k")
@@ -121,7 +121,7 @@ def silhouette1d(hist: DataFrame, model: DataFrame, keys: Sequence[str]) -> Data
             "means": F.collect_list(F.struct("label", (F.col("sc") / F.col("nc")).alias("m"))).over(around),
         }
     )
-    j = lab.join(small(stats), [*keys, "k", "label"])
+    j = lab.join(stats, [*keys, "k", "label"])
     nl, sl = F.col("cn") - F.col("on"), F.col("cs") - F.col("os")
     dist = F.col("v") * nl - sl + (F.col("sc") - sl) - F.col("v") * (F.col("nc") - nl)
     a = F.greatest(dist, F.lit(0.0)) / (F.col("nc") - 1)
@@ -149,7 +149,7 @@ def choose_ordered_clustering(
     required = F.greatest(F.lit(int(min_count)), F.ceil(F.col("_n") * min_fraction).cast("int"))
     model = durable(kmeans1d_ordered(hist, keys, ks))
     sil = silhouette1d(hist, model, keys)
-    lab = hist.join(small(model.select(*keys, "k", "uppers")), keys).withColumn("label", label_of(F.col("x"), F.col("uppers")))
+    lab = hist.join(model.select(*keys, "k", "uppers"), keys).withColumn("label", label_of(F.col("x"), F.col("uppers")))
     sizes = lab.groupBy(*keys, "k", "label").agg(F.sum("n").alias("_c")).groupBy(*keys, "k").agg(F.min("_c").alias("_min"))
     d = tried.join(model, [*keys, "k"], "left").join(sil, [*keys, "k"], "left").join(sizes, [*keys, "k"], "left").withColumn("required_cluster_count", required)
     ratio = F.array_min(F.expr("transform(sequence(1, size(centers) - 1), i -> exp(centers[i] - centers[i - 1]))"))
@@ -175,7 +175,7 @@ def choose_ordered_clustering(
 def assign_state(rows: DataFrame, models: DataFrame, keys: Sequence[str], x: str, output: str = "state") -> DataFrame:
     """State number of each row under its key's selected model; NULL without one."""
     m = models.select(*keys, F.col("k").alias("_k"), "uppers", "centers")
-    out = rows.join(small(m), list(keys), "left")
+    out = rows.join(m, list(keys), "left")
     v = finite(x)
     return out.withColumn(output, F.when(v.isNotNull() & F.col("_k").isNotNull(), label_of(v, F.col("uppers")))).drop("uppers").withColumnRenamed("_k", f"{output}_k").withColumnRenamed("centers", f"{output}_centers")
 
@@ -217,7 +217,7 @@ def quantile_lloyd(
     while done < rounds:
         for _ in range(min(STEPS_PER_JOB, rounds - done)):
             near = F.transform("centers", lambda c: F.abs(F.col("x") - c))
-            seen = hist.join(small(model), keys).withColumn("_l", F.array_position(near, F.array_min(near)).cast("int"))
+            seen = hist.join(model, keys).withColumn("_l", F.array_position(near, F.array_min(near)).cast("int"))
             mean = F.percentile("x", F.lit(0.5), F.col("n")) if median else F.sum(F.col("x") * F.col("n")) / F.sum("n")
             per = seen.groupBy(*keys, "_l").agg(mean.alias("_c"), F.first("centers").alias("centers"))
             packed = per.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_l", "_c"))).alias("_m"), F.first("centers").alias("_old"))
@@ -246,7 +246,7 @@ def kmedians_trim(rows: DataFrame, keys: Sequence[str], x: str, low: float = 0.0
 def trim(rows: DataFrame, keys: Sequence[str], x: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows between two quantiles of their key (both included)."""
     cut = rows.groupBy(*keys).agg(F.percentile(x, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    return rows.join(small(cut), list(keys)).filter((F.col(x) >= F.col("_q")[0]) & (F.col(x) <= F.col("_q")[1])).drop("_q")
+    return rows.join(cut, list(keys)).filter((F.col(x) >= F.col("_q")[0]) & (F.col(x) <= F.col("_q")[1])).drop("_q")
 
 
 def bootstrap_median_ci(rows: DataFrame, keys: Sequence[str], x: str, replicates: int = 1000, confidence: float = 0.95, seed: int = 20260703) -> DataFrame:
@@ -281,7 +281,7 @@ def bootstrap_median_ci(rows: DataFrame, keys: Sequence[str], x: str, replicates
     asked = drawn.select(*keys, "_n", "r", F.explode(F.array("a", "b")).alias("rank"))
     # positions in blocks of a 1/1000 of the key: a value spans at most 1001 blocks
     block = F.greatest(F.floor(F.col("_n") / 1000), F.lit(1)).cast("bigint")
-    spans = pre.join(small(total), keys).withColumn("_from", F.col("upto") - F.col("n"))
+    spans = pre.join(total, keys).withColumn("_from", F.col("upto") - F.col("n"))
     spans = spans.withColumn("_bl", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("upto") - 1) / block))))
     hit = asked.withColumn("_bl", F.floor(F.col("rank") / block)).join(spans.select(*keys, "_bl", "_from", "upto", "x"), [*keys, "_bl"])
     hit = hit.filter((F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("upto")))

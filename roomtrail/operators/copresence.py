@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..env import durable, small
+from ..env import durable
 from ..functions.timefn import bins
 from .intervals import join_pair_inner
 from .windows import grid_common
@@ -140,7 +140,7 @@ def label_grid(intervals: DataFrame, pairs: DataFrame, step_s: int = 10, default
         F.struct(F.col("left_session").alias("session_id"), F.lit("left").alias("side")),
         F.struct(F.col("right_session").alias("session_id"), F.lit("right").alias("side")),
     )))
-    cut = intervals.join(small(member), "session_id").select(
+    cut = intervals.join(member, "session_id").select(
         "pair_id", "side", F.struct("seq", "label").alias("_l"), F.greatest("start", "a").alias("s"), F.least("end", "b").alias("e")
     )
     points = cut.select("pair_id", "side", "_l", F.explode(bins(ceil_ts("s", step_s), F.col("e"), step_s, closed=True)).alias("t"))

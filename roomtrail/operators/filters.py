@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..env import small
 
 # Evidence tag → confidence class.
 CONFIDENCE_OF_EVIDENCE = {
@@ -27,7 +26,7 @@ def allowed_beacons(tags: DataFrame, beacons: DataFrame | None) -> DataFrame:
     if beacons is None:
         return out
     on = [c for c in ("session_id", "beacon") if c in beacons.columns]
-    return out.join(small(beacons.select(*on)), on, "left_semi")
+    return out.join(beacons.select(*on), on, "left_semi")
 
 
 def active_beacons(validity: DataFrame, recording: DataFrame) -> DataFrame:

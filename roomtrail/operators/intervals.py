@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..env import small
+
 from ..functions.timefn import bins, ceil_ts, floor_ts, seconds_between, shift_ts
 from .ordered import Ordered
 
@@ -189,7 +189,7 @@ def join_pair_inner(timeline: DataFrame, pairs: DataFrame, columns: Sequence[str
     """Two participants on equal windows, columns prefixed ``left_`` / ``right_``."""
 
     def side(name: str) -> DataFrame:
-        member = small(pairs.select("pair_id", F.col(f"{name}_session").alias("session_id")))
+        member = pairs.select("pair_id", F.col(f"{name}_session").alias("session_id"))
         return timeline.join(member, "session_id").select("pair_id", "w", *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
     return side("left").join(side("right"), ["pair_id", "w"])
@@ -208,7 +208,7 @@ def join_multi_method(grid: DataFrame, methods: dict[str, DataFrame], value: str
 def join_floor_cluster(fine: DataFrame, clusters: DataFrame, profiles: DataFrame, window_s: int = 1800) -> DataFrame:
     """Fine rows with the cluster row of the enclosing window and the cluster's
     profile. ``clusters(session_id, w, cluster, …)``, ``profiles(session_id, cluster, …)``."""
-    coarse = clusters.join(small(profiles), ["session_id", "cluster"], "left").withColumnRenamed("w", "_w")
+    coarse = clusters.join(profiles, ["session_id", "cluster"], "left").withColumnRenamed("w", "_w")
     return fine.withColumn("_w", floor_ts("w", window_s)).join(coarse, ["session_id", "_w"], "left").drop("_w")
 
 

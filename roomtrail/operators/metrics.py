@@ -196,10 +196,9 @@ def metrics_by_threshold(predictions: DataFrame, steps: str, thresholds: Sequenc
     arr = F.array(*[F.lit(float(t)) for t in thresholds])
     passed = predictions.select("*", F.explode(F.filter(arr, lambda t: F.col(steps) <= t)).alias("step_threshold"))
     out = classification_metrics(passed, [*keys, "step_threshold"])
-    total = predictions.filter("reference is not null").groupBy(*keys).agg(F.count("*").alias("total_labelled")) if keys else None
-    if total is not None:
-        out = out.join(total, list(keys)).withColumn("threshold_coverage", F.col("reference_windows") / F.col("total_labelled"))
-    return out
+    total = predictions.filter("reference is not null").groupBy(*keys).agg(F.count("*").alias("total_labelled"))
+    out = out.join(total, list(keys)) if keys else out.withColumn("total_labelled", total.scalar())
+    return out.withColumn("threshold_coverage", F.col("reference_windows") / F.col("total_labelled"))
 
 
 def correction_metrics(timeline: DataFrame, window_s: int, raw: str = "raw_room", corrected: str = "corrected_room") -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..env import durable, small
+from ..env import durable
 from ..functions.signal import pressure_height
 from ..functions.timefn import floor_ts
 from .cluster import bootstrap_median_ci, histogram, kmeans1d_ordered, kmedians_trim, label_of, silhouette1d, trim
@@ -176,7 +176,7 @@ def pairwise_pressure(environment: DataFrame) -> DataFrame:
 
 def floor_group_diff(differences: DataFrame, groups: DataFrame) -> DataFrame:
     """Median wearable−beacon difference per window and floor group."""
-    return differences.join(small(groups), [c for c in ("session_id", "sensor") if c in groups.columns]).groupBy("session_id", "w", "floor").agg(
+    return differences.join(groups, [c for c in ("session_id", "sensor") if c in groups.columns]).groupBy("session_id", "w", "floor").agg(
         F.percentile("diff", F.lit(0.5)).alias("group_diff")
     )
 
@@ -198,7 +198,7 @@ def same_floor_baseline(group_diffs: DataFrame, replicates: int = 1000) -> DataF
     q = nearest.groupBy(*key).agg(
         F.percentile("v", F.array(*[F.lit(x) for x in (0.5, 0.05, 0.25, 0.75, 0.95)])).alias("_q"), F.avg("v").alias("nearest_mean"), F.count("*").alias("nearest_samples")
     )
-    mad = nearest.join(small(q.select("session_id", F.col("_q")[0].alias("_m"))), key).groupBy(*key).agg(F.percentile(F.abs(F.col("v") - F.col("_m")), F.lit(0.5)).alias("nearest_mad"))
+    mad = nearest.join(q.select("session_id", F.col("_q")[0].alias("_m")), key).groupBy(*key).agg(F.percentile(F.abs(F.col("v") - F.col("_m")), F.lit(0.5)).alias("nearest_mad"))
     two = g.groupBy("session_id", "w").agg(F.count("*").alias("c"), (F.max("group_diff") - F.min("group_diff")).alias("gap")).filter("c = 2")
     gap = trim(two, key, "gap").groupBy(*key).agg(F.percentile("gap", F.lit(0.5)).alias("floor_gap_hpa"))
     ci = bootstrap_median_ci(nearest, key, "v", replicates)
@@ -215,7 +215,7 @@ def same_floor_baseline(group_diffs: DataFrame, replicates: int = 1000) -> DataF
 
 def baseline_adjust(differences: DataFrame, baseline: DataFrame) -> DataFrame:
     """Per window: closest beacon after subtracting the baseline, signed sum and mean."""
-    d = differences.join(small(baseline.select("session_id", "same_floor_baseline")), "session_id").withColumn(
+    d = differences.join(baseline.select("session_id", "same_floor_baseline"), "session_id").withColumn(
         "_adj", F.abs(F.col("diff") - F.col("same_floor_baseline"))
     )
     return d.groupBy("session_id", "w").agg(
@@ -231,7 +231,7 @@ def floor_timeline(availability: DataFrame, group_diffs: DataFrame, baseline: Da
     ``availability(session_id, w, available)``."""
     from .runs import smooth_short_runs
 
-    d = group_diffs.join(small(baseline.select("session_id", "same_floor_baseline")), "session_id").withColumn(
+    d = group_diffs.join(baseline.select("session_id", "same_floor_baseline"), "session_id").withColumn(
         "distance", F.round(F.abs(F.col("group_diff") - F.col("same_floor_baseline")), 12)
     )
     top = top_two(d, ["session_id", "w"], "floor", "distance", descending=False)
@@ -316,15 +316,15 @@ def pressure_constraint(
     key = ["session_id", "w"]
     several = groups.groupBy("session_id").agg(F.count_distinct("floor").alias("_f")).filter("_f >= 2").select("session_id")
     groups = durable(groups.join(several, "session_id", "left_semi"))
-    gp = durable(environment.filter("hpa is not null").join(small(groups), ["session_id", "sensor"]).groupBy(*key, "floor").agg(F.percentile("hpa", F.lit(0.5)).alias("gp")))
+    gp = durable(environment.filter("hpa is not null").join(groups, ["session_id", "sensor"]).groupBy(*key, "floor").agg(F.percentile("hpa", F.lit(0.5)).alias("gp")))
     beacon_floor = groups.withColumnRenamed("sensor", "beacon")
     best = rssi.filter("rssi_mean is not null").groupBy(*key).agg(F.min_by("beacon", F.struct((-F.col("rssi_mean")).alias("a"), F.col("beacon").alias("b"))).alias("beacon"))
     cal = (
-        best.join(small(beacon_floor), ["session_id", "beacon"]).join(gp, [*key, "floor"]).join(wearable.filter("hpa is not null"), key)
+        best.join(beacon_floor, ["session_id", "beacon"]).join(gp, [*key, "floor"]).join(wearable.filter("hpa is not null"), key)
         .groupBy("session_id").agg(F.percentile(F.col("hpa") - F.col("gp"), F.lit(0.5)).alias("offset"), F.count("*").alias("pairs"))
     )
     enabled = durable(cal.filter(F.col("pairs") >= min_pairs))
-    d = gp.join(wearable.filter("hpa is not null"), key).join(small(enabled.select("session_id", "offset")), "session_id").withColumn(
+    d = gp.join(wearable.filter("hpa is not null"), key).join(enabled.select("session_id", "offset"), "session_id").withColumn(
         "distance", F.round(F.abs(F.col("gp") - (F.col("hpa") - F.col("offset"))), 12)
     )
     top = top_two(d, key, "floor", "distance", descending=False)
@@ -340,19 +340,19 @@ def pressure_constraint(
     near = F.max("_mv").over(order.rowsBetween(-1, 1))
     shift = F.coalesce(F.col("floor") != F.lag("floor").over(order), F.lit(False))
     trusted = F.coalesce(F.round("confidence", 12) >= min_confidence, F.lit(False)) & (~shift | near)
-    info = info.withColumn("trusted", trusted).join(small(enabled.select("session_id", F.lit(True).alias("_on"))), "session_id", "left")
+    info = info.withColumn("trusted", trusted).join(enabled.select("session_id", F.lit(True).alias("_on")), "session_id", "left")
     status = (
         F.when(F.col("_on").isNull(), "inactive").when(F.col("trusted"), "trusted_same_floor_constraint").when(F.col("confidence").isNotNull(), "low_confidence_kept_raw")
         .when(F.col("_env"), "environmental_pressure_only").otherwise("inactive")
     )
     info = durable(info.select(*key, F.col("floor").alias("pressure_floor_group"), F.col("confidence").alias("pressure_floor_confidence"), F.col("trusted").alias("pressure_floor_trusted"), status.alias("pressure_status")))
     want = info.filter("pressure_floor_trusted").select(*key, F.col("pressure_floor_group").alias("_want"))
-    r = rssi.join(want, key, "left").join(small(beacon_floor), ["session_id", "beacon"], "left")
+    r = rssi.join(want, key, "left").join(beacon_floor, ["session_id", "beacon"], "left")
     mine = F.coalesce(F.col("floor") == F.col("_want"), F.lit(False))
     heard = F.max(mine & F.col("rssi_mean").isNotNull()).over(Window.partitionBy(*key))
     cut = F.col("_want").isNotNull() & heard & ~mine
     constrained = r.withColumn("_cut", cut).withColumn("rssi_mean", F.when(~F.col("_cut"), F.col("rssi_mean"))).drop("_cut", "_want", "floor")
-    audit = grid.select("session_id").distinct().join(small(cal), "session_id", "left").join(
+    audit = grid.select("session_id").distinct().join(cal, "session_id", "left").join(
         info.groupBy("session_id").agg(F.sum(F.col("pressure_floor_trusted").cast("bigint")).alias("trusted_windows")), "session_id", "left"
     ).withColumn("pressure_enabled", F.coalesce(F.col("pairs") >= min_pairs, F.lit(False)))
     return constrained, info, audit
@@ -377,7 +377,7 @@ def floor_aware_rssi(windows: DataFrame, cells: DataFrame, beacon_floors: DataFr
     confidence, near_supported_shift, near_unsupported_shift)``;
     ``cells(session_id, w, beacon, rssi_mean)``; ``beacon_floors(beacon, floor)``."""
     key = ["session_id", "w"]
-    lookup = small(beacon_floors.select([c for c in ("session_id",) if c in beacon_floors.columns] + ["beacon", "floor"]))
+    lookup = beacon_floors.select([c for c in ("session_id",) if c in beacon_floors.columns] + ["beacon", "floor"])
     on = [c for c in ("session_id", "beacon") if c in beacon_floors.columns]
     t = windows.withColumn("beacon", F.col("strongest_beacon")).join(lookup.withColumnRenamed("floor", "beacon_floor"), on, "left").drop("beacon")
     same = (

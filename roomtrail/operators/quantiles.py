@@ -15,7 +15,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..env import small
 
 SKETCH_ACCURACY = 10_000
 
@@ -63,7 +62,7 @@ def exact_quantiles(
         F.element_at("_hi", F.col("_slot") + 1).alias("_hi"),
         (F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_slot") + 1) * (F.col("_total") - 1)).alias("_rank"),
     )
-    joined = raw.select(*keys, F.col(value).alias("_v")).join(small(per_prob), keys).filter(F.col("_v") <= F.col("_hi"))
+    joined = raw.select(*keys, F.col(value).alias("_v")).join(per_prob, keys).filter(F.col("_v") <= F.col("_hi"))
     # one count stands for everything below the bracket; duplicates collapse
     # before anything is ranked
     inside = joined.groupBy(*keys, "_slot", "_rank", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_n"))

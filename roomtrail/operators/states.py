@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..env import small
+
 from ..params import InferenceParams
 from .cluster import assign_state, choose_ordered_clustering
 from .runs import boolean_runs
@@ -90,5 +90,5 @@ def session_audit(timeline: DataFrame, window_s: int, extra: list[DataFrame] | N
     out = base.join(transition_count(timeline, "raw_room", window_s, "raw_transition_count"), "session_id")
     out = out.join(transition_count(timeline, "corrected_room", window_s, "corrected_transition_count"), "session_id")
     for table in extra or []:
-        out = out.join(small(table), "session_id", "left")
+        out = out.join(table, "session_id", "left")
     return out

@@ -61,12 +61,10 @@ def strongest_beacon(windows: DataFrame, beacons: DataFrame | None = None, keys:
 
 def attach_room(df: DataFrame, beacons: DataFrame, beacon: str, room: str) -> DataFrame:
     """Room of a beacon; ``Unknown`` where unmapped, NULL where there is no beacon."""
-    from ..env import small
-
     on = [c for c in ("session_id",) if c in beacons.columns]
     lookup = beacons.select(*on, F.col("beacon").alias(beacon), F.col("room").alias("_room"))
     return (
-        df.join(small(lookup), [*on, beacon], "left")
+        df.join(lookup, [*on, beacon], "left")
         .withColumn(room, F.when(F.col(beacon).isNotNull(), F.coalesce("_room", F.lit(UNKNOWN))))
         .drop("_room")
     )

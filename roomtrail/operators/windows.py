@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..env import durable, small
+from ..env import durable
 from ..functions.signal import finite, spike_clip
 from ..functions.timefn import bins, ceil_ts, floor_ts, minutes_between, shift_ts
 from .ordered import Ordered
@@ -46,7 +46,7 @@ def rssi_quality_filter(windows: DataFrame, min_share: float = 0.20) -> DataFram
     )
     enough = F.col("rssi_cnt") >= F.greatest(F.ceil(F.col("expected") * min_share), F.lit(1))
     return (
-        windows.join(small(expected), ["session_id", "beacon"])
+        windows.join(expected, ["session_id", "beacon"])
         .withColumn("rssi_mean", F.when(enough, F.col("rssi_mean")))
         .drop("expected")
         .join(cover, ["session_id", "w"])
@@ -110,7 +110,7 @@ def acc_window_std(samples: DataFrame, window_s: int = 300, min_count: int = 10)
         F.stddev_samp("magnitude").alias("_std"), F.count("magnitude").alias("acc_count")
     )
     value = F.coalesce(finite("_std"), F.lit(0.0)) / F.col("scale")
-    return windows.join(small(scale), "session_id").select(
+    return windows.join(scale, "session_id").select(
         "session_id",
         "w",
         "acc_count",
@@ -191,7 +191,7 @@ def step_window_agg(increments: DataFrame, window_s: int = 600, ties: Sequence[s
         F.percentile("steps_in_window", F.lit(0.25)).alias("cut")
     )
     return (
-        full.join(small(cut), "session_id", "left")
+        full.join(cut, "session_id", "left")
         .withColumn("steps_per_minute", F.col("steps_in_window") / (window_s / 60.0))
         .withColumn("low_step_motion", (F.col("steps_in_window") <= F.coalesce("cut", F.lit(0.0))).cast("int"))
         .withColumn("has_step_data", (F.col("step_samples") > 0).cast("int"))
@@ -337,13 +337,13 @@ def online_any(grid: DataFrame, tables: Sequence[DataFrame]) -> DataFrame:
 
 
 def movement_source(windows: DataFrame, acc: str = "acc_std", step: str = "step_increment") -> DataFrame:
-    """Acceleration when the session has any value of it, else steps, else none."""
+    """Acceleration when the session has any value of it, else steps, else unresolved."""
     has = windows.groupBy("session_id").agg(
         F.bool_or(F.col(acc).isNotNull()).alias("_a"), F.bool_or(F.col(step).isNotNull()).alias("_s")
     )
-    source = F.when(F.col("_a"), "acc").when(F.col("_s"), "step").otherwise("none")
+    source = F.when(F.col("_a"), "acc").when(F.col("_s"), "step").otherwise("unresolved")
     return (
-        windows.join(small(has), "session_id")
+        windows.join(has, "session_id")
         .withColumn("movement_source", source)
         .withColumn(
             "movement_value",

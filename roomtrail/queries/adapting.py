@@ -280,7 +280,7 @@ cte(
 def hybrid(spark, sf):
     c, p = hourly_clusters(spark, sf)
     e = evidence(spark, sf)
-    rows = e.join(c.select("session_id", "w", "cluster"), ["session_id", "w"]).join(F.broadcast(p), ["session_id", "cluster"])
+    rows = e.join(c.select("session_id", "w", "cluster"), ["session_id", "w"]).join(p, ["session_id", "cluster"])
     room = F.when(F.col("cluster") == 1, "Out").when(F.col("cluster") == 2, "Kitchen").when(F.col("cluster") == 3, "Bathroom").otherwise("Unmapped")
     rows = rows.select(
         "session_id", "w", F.col("room").alias("base_room"), F.col("gap_db").alias("base_gap"), F.col("samples").alias("base_samples"),

@@ -163,9 +163,9 @@ def _(spark, sf):
     steps = windows.step_increments(A.step_samples(spark, sf), ["event_id"])
     w = steps.groupBy("session_id", timefn.floor_ts("ts", 3600).alias("w")).agg(F.sum("increment").alias("steps"))
     member = A.pairs(spark).select("pair_id", F.explode(F.array("left_session", "right_session")).alias("session_id"))
-    w = w.join(F.broadcast(member), "session_id")
+    w = w.join(member, "session_id")
     upper = w.groupBy("pair_id").agg(F.percentile(signal.log_steps("steps"), F.lit(0.98)).alias("upper"))
-    return w.join(F.broadcast(upper), "pair_id").select("session_id", "w", signal.step_line_width("steps", "upper").alias("width"))
+    return w.join(upper, "pair_id").select("session_id", "w", signal.step_line_width("steps", "upper").alias("width"))
 
 
 cte(

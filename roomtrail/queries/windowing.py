@@ -210,7 +210,7 @@ def _(spark, sf):
 @query(
     "movement_source",
     "session_id:i w:t movement_source:s movement_value:f",
-    with_ctes("""SELECT session_id, w, CASE WHEN ha THEN 'acc' WHEN hs THEN 'step' ELSE 'none' END AS movement_source,
+    with_ctes("""SELECT session_id, w, CASE WHEN ha THEN 'acc' WHEN hs THEN 'step' ELSE 'unresolved' END AS movement_source,
        CASE WHEN ha THEN a WHEN hs THEN s END AS movement_value
       FROM m JOIN (SELECT session_id, bool_or(a IS NOT NULL) AS ha, bool_or(s IS NOT NULL) AS hs FROM m GROUP BY 1) USING (session_id)""",
       m="""SELECT user_id AS session_id, time_bucket(INTERVAL 1 HOUR, ts) AS w, max(CASE WHEN event_type = 'error' AND value > 180 THEN value END) AS a,

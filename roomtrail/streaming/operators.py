@@ -6,6 +6,7 @@ watermark, so state does not grow with the stream."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,32 +43,47 @@ def low_motion_sessions(stream: DataFrame, window_s: int = 300, interruption_s:
     return merged.select("session_id", F.col("session_window.start").alias("start"), end.alias("end"), "low_windows")
 
 
-STEP_OUT = "session_id bigint, ts timestamp, cnt double, increment double, reset boolean"
-STEP_STATE = "cnt double, ms bigint"
+STEP_OUT = "session_id bigint, ts timestamp, event_id bigint, cnt double, increment double, reset boolean"
+STEP_STATE = "cnt double, ms array<bigint>, ties array<bigint>, counts array<double>"
 
 
 def _step_update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
+    """Rows wait in the state until the watermark has passed them, so that a late row
+    takes its place before later ones are compared with it."""
+    last, waiting = None, []
+    if state.exists:
+        last, ms, ties, counts = state.get
+        waiting = list(zip(ms, ties, counts))
+    for rows in batches:
+        micros = rows["ts"].astype("datetime64[us]").astype("int64")
+        waiting += list(zip(micros.tolist(), rows["event_id"].tolist(), rows["cnt"].tolist()))
+    mark = state.getCurrentWatermarkMs() * 1000
+    waiting.sort()
+    cut = bisect_left(waiting, (mark,))
+    ready, waiting = waiting[:cut], waiting[cut:]
+    if ready:
+        rows = pd.DataFrame(ready, columns=["ts", "event_id", "cnt"])
+        prior = rows["cnt"].shift()
+        prior.iloc[0] = float("nan") if last is None else last
+        diff = rows["cnt"] - prior
+        last = float(rows["cnt"].iloc[-1])
+        yield pd.DataFrame({
+            "session_id": key[0], "ts": pd.to_datetime(rows["ts"], unit="us"), "event_id": rows["event_id"], "cnt": rows["cnt"],
+            "increment": diff.where(diff > 0, 0.0).fillna(0.0), "reset": diff < 0,
+        })
+    if not waiting and state.hasTimedOut:  # a day of event time without rows: the recording is over
         state.remove()
         return
-    previous = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-    prior = rows["cnt"].shift()
-    prior.iloc[0] = previous if previous is not None else float("nan")
-    diff = rows["cnt"] - prior
-    out = pd.DataFrame({"session_id": key[0], "ts": rows["ts"], "cnt": rows["cnt"], "increment": diff.where(diff > 0, 0.0).fillna(0.0), "reset": (diff < 0)})
-    last = int(pd.Timestamp(rows["ts"].iloc[-1]).timestamp() * 1000)
-    state.update((float(rows["cnt"].iloc[-1]), last))
-    # state of a finished recording expires a day of event time later
-    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 86_400_000)
-    yield out
+    state.update((last, *(list(x) for x in zip(*waiting))) if waiting else (last, [], [], []))
+    # waiting rows come out when the watermark passes the first of them
+    state.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1 if waiting else 0, mark // 1000 + 1 if waiting else mark // 1000 + 86_400_000))
 
 
 def step_increments(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Counter → non-negative increments with the last count kept between
-    micro-batches per session. A micro-batch of one session is sorted in its
-    task; the batch size bounds it."""
+    """Counter (session_id, ts, event_id, cnt) → non-negative increments in event-time
+    order, ``event_id`` breaking ties. A row comes out once the watermark passes it;
+    what waits is bounded by ``delay`` and the micro-batch."""
     return (
-        stream.select("session_id", "ts", "cnt").withWatermark("ts", delay).groupBy("session_id")
+        stream.select("session_id", "ts", "event_id", "cnt").withWatermark("ts", delay).groupBy("session_id")
         .applyInPandasWithState(_step_update, STEP_OUT, STEP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
