@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..env import durable, small
+from ..env import durable
 from ..functions.timefn import bins
 from ..operators import runs, sleep, states, topk
 from ..operators.cluster import classify_movement
@@ -70,17 +70,17 @@ def run_inference(
     episodes = durable(sleep.episode_room(based, episodes, w_s, p.room_dominance_share))
     known = beacons.filter("room = 'Bedroom'")
     bedroom = durable(sleep.infer_bedroom(episodes, sessions, known.select("session_id", "beacon") if "session_id" in beacons.columns else _spread(known, sessions)))
-    inferred = small(bedroom.filter("bedroom_inferred").select("session_id", F.col("bedroom_beacons").alias("_bed")))
+    inferred = bedroom.filter("bedroom_inferred").select("session_id", F.col("bedroom_beacons").alias("_bed"))
     episodes = episodes.join(inferred, "session_id", "left").withColumn(
         "dominant_room", F.when(F.col("dominant_beacon") == F.col("_bed"), "Bedroom").otherwise(F.col("dominant_room"))
     )
-    source = small(moved.groupBy("session_id").agg(F.max("movement_source").alias("_source")))
+    source = moved.groupBy("session_id").agg(F.max("movement_source").alias("_source"))
     eligible = F.col("room_supported") & ((F.coalesce("_source", F.lit("")) != "step") | F.coalesce(F.col("dominant_room") == "Bedroom", F.lit(False)))
     episodes = durable(episodes.join(source, "session_id", "left").withColumn("room_correction_eligible", eligible).drop("_bed", "_source"))
 
     # 3. sleep lock and gap filling
     candidate = episodes.select("session_id", F.explode(bins("start", "end", w_s)).alias("w"), F.lit(True).alias("sleep_candidate"))
-    resolved = small(episodes.groupBy("session_id").agg(F.bool_or("sleep_resolved").alias("sleep_resolved")))
+    resolved = episodes.groupBy("session_id").agg(F.bool_or("sleep_resolved").alias("sleep_resolved"))
     t = t.join(candidate, key, "left").join(resolved, "session_id", "left").na.fill(False, ["sleep_candidate", "sleep_resolved"])
     t = sleep.sleep_correction(t, episodes, w_s, p)
     # an inferred Bedroom renames the base room; unlocked windows keep the name they were mapped to
@@ -93,7 +93,7 @@ def run_inference(
     out = away.filter("probable_away").select("session_id", F.explode(bins("start", "end", w_s)).alias("w"), F.lit(True).alias("probable_away"))
     t = t.join(out, key, "left").na.fill(False, ["probable_away"])
     t = t.withColumn("occupancy_state", states.occupancy_state())
-    any_resolved = small(moved.groupBy("session_id").agg(F.bool_or("movement_resolved").alias("_mr")))
+    any_resolved = moved.groupBy("session_id").agg(F.bool_or("movement_resolved").alias("_mr"))
     t = t.drop("movement_resolved").join(any_resolved, "session_id").withColumnRenamed("_mr", "movement_resolved")
     t = durable(t.withColumn("behaviour_state", states.behaviour_state()))
 
@@ -129,4 +129,4 @@ def run_inference(
 def _spread(known: DataFrame, sessions: DataFrame) -> DataFrame:
     """A session-independent beacon list for every session."""
     one = known.select("beacon").withColumn("_one", F.lit(1))
-    return sessions.select("session_id").withColumn("_one", F.lit(1)).join(small(one), "_one").drop("_one")
+    return sessions.select("session_id").withColumn("_one", F.lit(1)).join(one, "_one").drop("_one")

@@ -85,7 +85,7 @@ def packed_tags(rows: DataFrame, codes: DataFrame) -> DataFrame:
     item = rows.select("session_id", "ts", F.explode(F.split("info_other_tags", ";")).alias("item"))
     parts = item.select("session_id", "ts", F.split(F.trim("item"), r"\s+").alias("p")).filter(F.size("p") == 2)
     extra = parts.select("session_id", "ts", F.col("p")[0].try_cast("double").alias("rssi"), F.upper(F.col("p")[1]).alias("code")).filter("rssi is not null")
-    named = extra.join(small(codes), "code", "left").withColumn("beacon", F.coalesce("beacon", F.concat(F.lit("External_"), F.col("code"))))
+    named = extra.join(codes, "code", "left").withColumn("beacon", F.coalesce("beacon", F.concat(F.lit("External_"), F.col("code"))))
     return main.unionByName(named.select("session_id", "ts", "beacon", "rssi"))
 
 

@@ -25,7 +25,7 @@ def merge_partial(existing: DataFrame, current: DataFrame, selected: DataFrame,
     """A re-run of some collections keeps the other collections' rows."""
     from ..env import small
 
-    kept = existing.join(small(selected.select(key).distinct()), key, "left_anti")
+    kept = existing.join(selected.select(key).distinct(), key, "left_anti")
     return kept.unionByName(current, allowMissingColumns=True)
 
 
