@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..env import durable
 from ..functions.timefn import is_night
+from . import kmeans
 from .byvalue import pct_rank
+from .quantiles import exact_quantiles
 
 # Fixed values.
 SEDENTARY, LIGHT, VIGOROUS, SLEEP = "Sedentary", "Light activity", "Moderate to Vigorous activity", "Sleep"
@@ -51,16 +53,12 @@ def activity_from_acc(windows: DataFrame, acc: str = "acc_std") -> DataFrame:
     return out.withColumn("acc_activity", F.when(sleep, SLEEP).otherwise(_label(metric, F.col("_sed"), F.col("_light")))).drop("_sed", "_light", "_sleep")
 
 
-def activity_fused(windows: DataFrame, seed: int = 42) -> DataFrame:
-    """Four clusters of standardised (steps, acceleration, presence) features,
+def activity_fused(windows: DataFrame, least_windows: int = 4) -> DataFrame:
+    """Four clusters of a person's standardised (steps, acceleration, presence) features,
     ordered by median intensity; low combined motion at night is sleep.
 
-    One Spark ML K-means over all windows with acceleration; the order of the
-    clusters comes from an aggregate, so labels do not depend on cluster ids."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
+    Every session has a model of its own, fitted on its windows with acceleration;
+    sessions with fewer than ``least_windows`` of them are sedentary throughout."""
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     f = windows.withColumns(
         {
@@ -68,20 +66,20 @@ def activity_fused(windows: DataFrame, seed: int = 42) -> DataFrame:
             "_hs": F.coalesce(F.col("step_samples") > 0, F.lit(False)).cast("double"), "_ha": F.coalesce(F.col("acc_count") > 0, F.lit(False)).cast("double"),
         }
     )
-    valid = f.filter("_ha = 1")
-    stages = [
-        VectorAssembler(inputCols=["_steps", "_std", "_range", "_hs", "_ha"], outputCol="_x"),
-        StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True),
-        KMeans(k=4, seed=seed, featuresCol="_z", predictionCol="_cluster", maxIter=50),
-    ]
-    fitted = Pipeline(stages=stages).fit(valid).transform(valid)
+    features = ["_steps", "_std", "_range", "_hs", "_ha"]
+    keys = ["session_id"]
     intensity = F.col("_std") + 0.40 * F.col("_range") + 1.25 * F.col("_steps")
-    medians = fitted.groupBy("_cluster").agg(F.percentile_approx(intensity, 0.5, 10_000).alias("_i"))
+    valid = kmeans.standardised(f.filter("_ha = 1"), keys, features).select(*keys, "w", "z", intensity.alias("_x"))
+    valid = durable(valid)
+    enough = valid.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least_windows)
+    model = kmeans.fit(valid.join(enough, keys, "left_semi"), keys, [4], len(features), ["w"])
+    fitted = durable(valid.join(model, keys).select(*keys, "w", "_x", kmeans.nearest(F.col("z"), F.col("centers")).alias("_cluster")))
+    medians = exact_quantiles(fitted, [*keys, "_cluster"], "_x", {"_i": 0.5})
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_i", "_cluster"))  # four rows
-    names = medians.withColumn("_rank", rank).select("_cluster", F.when(F.col("_rank") <= 2, SEDENTARY).when(F.col("_rank") == 3, LIGHT).otherwise(VIGOROUS).alias("_name"))
-    labelled = fitted.join(F.broadcast(names), "_cluster").select("session_id", "w", "_name")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_i", "_cluster"))  # four rows a session
+    names = medians.withColumn("_rank", rank).select(*keys, "_cluster", F.when(F.col("_rank") <= 2, SEDENTARY).when(F.col("_rank") == 3, LIGHT).otherwise(VIGOROUS).alias("_name"))
+    labelled = fitted.join(names, [*keys, "_cluster"]).select(*keys, "w", "_name")
     metric = z("acc_std") + z("steps")
     cut = windows.groupBy("session_id").agg(F.coalesce(F.percentile(F.when(metric > 0, metric), F.lit(0.2)), F.lit(0.0)).alias("_cut"))
     out = windows.join(labelled, ["session_id", "w"], "left").join(cut, "session_id")

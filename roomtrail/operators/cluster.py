@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..env import durable
 from ..functions.signal import finite
+from . import kmeans
 from .byvalue import prefix_by_value
 
 def histogram(rows: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
@@ -291,42 +292,38 @@ def bootstrap_median_ci(rows: DataFrame, keys: Sequence[str], x: str, replicates
     return q.select(*keys, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
 
 
+# Why a candidate number of clusters was not taken.
+REASONS = ("ok", "small cluster", "not enough training windows")
+
+
 def rssi_vector_kmeans(
-    vectors: DataFrame, features: Sequence[str], ks: Sequence[int] = tuple(range(3, 9)), min_fraction: float = 0.05, seed: int = 42, training: str = "training",
+    vectors: DataFrame, features: Sequence[str], ks: Sequence[int] = tuple(range(3, 9)), min_fraction: float = 0.05, training: str = "training", keys: Sequence[str] = ("session_id",),
+    order: Sequence[str] = ("w",),
 ) -> tuple[DataFrame, DataFrame]:
-    """Standardised K-means on low-motion vectors of all people, best silhouette
-    among k whose smallest cluster is large enough; predicts every row with
-    signal. Returns (rows with ``cluster``, selection table).
-
-    The silhouette is Spark's squared-Euclidean one, which needs one pass over
-    the data instead of all pairs; the selection table says so."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    spark = vectors.sparkSession
-    data = VectorAssembler(inputCols=list(features), outputCol="_v").transform(vectors)
-    scaler = StandardScaler(inputCol="_v", outputCol="_z", withMean=True, withStd=True).fit(data.filter(training))
-    scaled = durable(scaler.transform(data))
-    train = scaled.filter(training)
-    rows_total = train.count()
-    evaluator = ClusteringEvaluator(featuresCol="_z", predictionCol="cluster", metricName="silhouette", distanceMeasure="squaredEuclidean")
-    found, table = {}, []
-    for k in ks:
-        if rows_total <= k:
-            table.append((k, False, None, None, "not enough training windows"))
-            continue
-        model = KMeans(k=k, seed=seed, featuresCol="_z", predictionCol="cluster", maxIter=40).fit(train)
-        fitted = model.transform(train)
-        smallest = min(model.summary.clusterSizes) / rows_total
-        score = float(evaluator.evaluate(fitted)) if len(model.clusterCenters()) > 1 else None
-        found[k] = model
-        table.append((k, smallest >= min_fraction, score, float(smallest), "ok" if smallest >= min_fraction else "small cluster"))
-    usable = [t for t in table if t[1]] or [t for t in table if t[2] is not None]
-    selection = spark.createDataFrame(table, "candidate_k int, valid_candidate boolean, silhouette double, min_cluster_fraction double, reason string")
-    selection = selection.withColumn("silhouette_kind", F.lit("squared_euclidean"))
-    if not usable:
-        return vectors.withColumn("cluster", F.lit(None).cast("int")), selection.withColumn("selected_k", F.lit(None).cast("int"))
-    best = sorted(usable, key=lambda t: (-t[2], t[0]))[0][0]
-    out = found[best].transform(scaled).withColumn("cluster", F.when(F.col("has_rssi"), F.col("cluster"))).drop("_v", "_z")
-    return out, selection.withColumn("selected_k", F.lit(best))
+    """K-means of each person's standardised low-motion vectors, the number of clusters
+    chosen per person; predicts every row with signal. Returns (rows with ``cluster``
+    from 0, candidates with the selected one marked).
+
+    A candidate is valid if its smallest cluster holds ``min_fraction`` of the training
+    rows. The best silhouette (squared Euclidean) among valid candidates wins, among
+    all tried ones if none is valid; ties go to fewer clusters. People without a
+    candidate have no cluster."""
+    keys, size = list(keys), len(features)
+    z = durable(kmeans.standardised(vectors, keys, features, training=F.col(training)))
+    train = durable(z.filter(training).select(*keys, *order, "z"))
+    totals = train.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    on = [*keys, "k"]
+    enough = totals.join(totals.select(*keys, F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k")), keys)
+    models = kmeans.fit(train, keys, ks, size, order).join(enough.filter(F.col("_rows") > F.col("k")).select(*on), on, "left_semi")
+    fitted = train.join(models, keys).withColumn("cluster", kmeans.nearest(F.col("z"), F.col("centers")))
+    table = enough.join(models, on, "left").join(kmeans.silhouette(fitted, on, "cluster", size), on, "left").withColumnRenamed("k", "candidate_k")
+    share = F.col("smallest") / F.col("_rows")
+    valid = F.coalesce((share >= min_fraction) & (F.col("clusters") == F.col("candidate_k")), F.lit(False))
+    reason = F.when(F.col("centers").isNull(), REASONS[2]).when(valid, REASONS[0]).otherwise(REASONS[1])
+    table = table.withColumns({"valid_candidate": valid, "min_cluster_fraction": share, "reason": reason, "silhouette_kind": F.lit("squared_euclidean")})
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("valid_candidate"), F.desc_nulls_last(F.round("silhouette", 12)), "candidate_k"))
+    table = durable(table.withColumn("selected", (rank == 1) & F.col("centers").isNotNull()))
+    best = table.filter("selected").select(*keys, "centers")
+    cluster = F.when(F.col("has_rssi"), kmeans.nearest(F.col("z"), F.col("centers")) - 1)
+    out = z.join(best, keys, "left").withColumn("cluster", cluster).drop("z", "centers")
+    return out, table.drop("_rows", "smallest", "clusters", "centers")

@@ -6,12 +6,13 @@ residual filter keeps exact bounds where points are not on the grid."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import insort
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 from ..functions.timefn import bins, ceil_ts, floor_ts, seconds_between, shift_ts
 from .ordered import Ordered
 
@@ -70,21 +71,74 @@ def join_grid_interval(grid: DataFrame, intervals: DataFrame, window_s: int, seq
     return grid.join(last, ["session_id", "w"], "left").withColumn("label", F.col("_l.label")).drop("_l")
 
 
+def _winning(rows: list[tuple]) -> list[tuple]:
+    """Sweep over one bin's clipped intervals (a, b, seq, label) in order of ``a``:
+    (t, label) wherever the last interval (by ``seq``, then label) that covers the
+    time changes or may change; None in gaps."""
+    held: list[tuple] = []  # kept sorted by (seq, label, end)
+    out, k = [], 0
+    for t in sorted({x for a, b, _, _ in rows for x in (a, b)}):
+        while k < len(rows) and rows[k][0] <= t:
+            _, b, seq, label = rows[k]
+            insort(held, (seq, label, b))
+            k += 1
+        while held and held[-1][2] <= t:  # an ended one below the top is dropped when it surfaces
+            held.pop()
+        out.append((t, held[-1][1] if held else None))
+    return out
+
+
+def _sweep(batches: Iterator[pd.DataFrame], named: list[str]) -> Iterator[pd.DataFrame]:
+    """Segments of all bins of a partition whose rows are sorted by (named, a)."""
+    key, rows = None, []
+
+    def made(done: list) -> pd.DataFrame:
+        return pd.DataFrame([(*k, *x) for k, own in done for x in _winning(own)], columns=[*named, "t", "label"])
+
+    for batch in batches:
+        done = []
+        for new, row in zip(zip(*(batch[c] for c in named)), zip(batch["a"], batch["b"], batch["seq"], batch["label"])):
+            if new != key:
+                if rows:
+                    done.append((key, rows))
+                key, rows = new, []
+            rows.append(row)
+        yield made(done)
+    yield made([(key, rows)] if rows else [])
+
+
+def label_points(points: DataFrame, intervals: DataFrame, keys: Sequence[str], bin_s: int) -> DataFrame:
+    """``points(keys, _t, ...)`` with ``label`` of the last interval that holds each.
+
+    ``intervals(keys, start, end, seq, label)`` are clipped to bins and turned into
+    segments that do not overlap, two per interval and bin at most; one ordered pass
+    per bin carries a segment's label to its points. No pairs are made, so the work
+    grows with points plus intervals however densely they lie."""
+    keys, width = list(keys), bin_s * 1_000_000
+    at = F.unix_micros("_bin")
+    clipped = (
+        intervals.withColumn("_bin", F.explode(bins("start", "end", bin_s)))
+        .select(*keys, "_bin", F.greatest(F.unix_micros("start"), at).alias("a"), F.least(F.unix_micros("end"), at + width).alias("b"), "seq", "label")
+    )
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clipped.select(*keys, "_bin").schema)
+    named = [*keys, "_bin"]
+    dealt = clipped.repartition(*named).sortWithinPartitions(*named, "a")
+    segments = dealt.mapInPandas(lambda batches: _sweep(batches, named), f"{fields}, t bigint, label string")
+    probe = points.withColumn("_bin", floor_ts("_t", bin_s)).withColumn("_us", F.unix_micros("_t"))
+    marks = segments.select(*named, F.col("t").alias("_us"), F.struct(F.col("label").alias("v")).alias("_seg"))
+    both = probe.withColumn("_seg", F.lit(None).cast(marks.schema["_seg"].dataType)).unionByName(marks, allowMissingColumns=True)
+    both = both.withColumn("_point", F.col("_seg").isNull())
+    upto = Window.partitionBy(*named).orderBy("_us", "_point").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("label", F.last("_seg", ignorenulls=True).over(upto)["v"])
+    return found.filter("_point").drop("_bin", "_us", "_seg", "_point")
+
+
 def join_point_interval(
     points: DataFrame, intervals: DataFrame, point_key: Sequence[str], bin_s: int = 3600, sequence: str = "seq", ts: str = "ts"
 ) -> DataFrame:
-    """Label of the last interval holding each point, ``[start, end)``."""
-    binned = intervals.select(
-        "session_id", "start", "end", F.struct(sequence, "label").alias("_l"), F.explode(bins("start", "end", bin_s)).alias("_bin")
-    )
-    probe = points.select("session_id", *point_key, F.col(ts).alias("_t"), floor_ts(ts, bin_s).alias("_bin"))
-    hit = (
-        probe.join(binned, ["session_id", "_bin"])
-        .filter((F.col("_t") >= F.col("start")) & (F.col("_t") < F.col("end")))
-        .groupBy("session_id", *point_key)
-        .agg(F.max("_l").alias("_l"))
-    )
-    return points.join(hit, ["session_id", *point_key], "left").withColumn("label", F.col("_l.label")).drop("_l")
+    """Label of the last interval (by ``sequence``) holding each point, ``[start, end)``."""
+    rows = intervals.select("session_id", "start", "end", F.col(sequence).alias("seq"), "label")
+    return label_points(points.withColumn("_t", F.col(ts)), rows, ["session_id"], bin_s).drop("_t")
 
 
 def join_scd_room(
@@ -100,23 +154,12 @@ def join_scd_room(
     span = windows.filter(F.col(beacon).isNotNull()).groupBy(*on).agg(F.min("w").alias("_a"), F.max("w").alias("_b"))
     end = F.coalesce("valid_to", shift_ts("_b", 1))
     rows = (
-        validity.select("session_id", F.col("beacon").alias(beacon), F.col("room").alias("_room"), F.col(sequence).alias("_seq"), "valid_from", "valid_to")
+        validity.select("session_id", F.col("beacon").alias(beacon), F.col("room").alias("label"), F.col(sequence).alias("seq"), "valid_from", "valid_to")
         .join(span, on)
-        .withColumns({"_from": F.greatest("valid_from", "_a"), "_to": F.least(end, shift_ts("_b", 1))})
-    )
-    binned = rows.select(
-        *on, "valid_from", "valid_to", F.struct("_seq", "_room").alias("_r"), F.explode(bins("_from", "_to", bin_s)).alias("_bin")
-    )
-    probe = windows.filter(F.col(beacon).isNotNull()).select("session_id", "w", beacon, floor_ts("w", bin_s).alias("_bin")).distinct()
-    hit = (
-        probe.join(binned, [*on, "_bin"])
-        .filter((F.col("valid_from") <= F.col("w")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("w"))))
-        .groupBy("session_id", "w", beacon)
-        .agg(F.max("_r").alias("_r"))
+        .select(*on, F.greatest("valid_from", "_a").alias("start"), F.least(end, shift_ts("_b", 1)).alias("end"), "seq", "label")
     )
-    return windows.join(hit, ["session_id", "w", beacon], "left").withColumn(
-        output, F.coalesce(F.col("_r._room"), F.lit(unmapped))
-    ).drop("_r")
+    out = label_points(windows.withColumn("_t", F.col("w")), rows, on, bin_s).drop("_t")
+    return out.withColumn(output, F.coalesce("label", F.lit(unmapped))).drop("label")
 
 
 def join_asof_nearest(

@@ -93,7 +93,7 @@ def _(spark, sf):
 
 @query("rssi_vector_kmeans", "session_id:i w:t cluster:i training:b")
 def _(spark, sf):
-    return cl.rssi_vector_kmeans(vectors(spark, sf), ["rssi_click", "rssi_purchase", "rssi_signup", "rssi_view"])[0]
+    return cl.rssi_vector_kmeans(vectors(spark, sf), ["rssi_click", "rssi_error", "rssi_purchase", "rssi_signup", "rssi_view"])[0]
 
 
 # -- sleep -----------------------------------------------------------------------
