@@ -8,6 +8,7 @@ nested best cuts and take Lloyd steps until no value changes its cluster."""
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -26,6 +27,10 @@ def histogram(rows: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
 
 
 STEPS_PER_JOB = 6
+#: Starts of more than two clusters: every choice of cuts among these shares of the rows, ...
+START_CUTS = tuple(i / 8 for i in range(1, 8))
+#: ... of which this many per key and k go on after the first steps.
+KEPT_STARTS = 6
 
 
 def kmeans1d_ordered(hist: DataFrame, keys: Sequence[str], ks: Sequence[int], rounds: int = 600) -> DataFrame:
@@ -33,8 +38,9 @@ def kmeans1d_ordered(hist: DataFrame, keys: Sequence[str], ks: Sequence[int], ro
     and ``centers``, both ascending, and whether it ``converged``. Keys with fewer
     than k distinct values get no model. ``hist`` comes from :func:`histogram`.
 
-    k = 2 is the exact optimum (ties: the smallest cut); larger k are fixed points of
-    Lloyd steps from nested best cuts. ``rounds`` only bounds a run that never ends."""
+    k = 2 is the exact optimum (ties: the smallest cut). Larger k are the best of many
+    Lloyd runs, from nested best cuts and from all cuts at eighths of the rows.
+    ``rounds`` only bounds a run that never ends."""
     keys, ks = list(keys), sorted(ks)
     centred = hist.join(hist.groupBy(*keys).agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("_mean")), keys)
     centred = centred.withColumn("_s", (F.col("x") - F.col("_mean")) * F.col("n"))
@@ -45,12 +51,18 @@ def kmeans1d_ordered(hist: DataFrame, keys: Sequence[str], ks: Sequence[int], ro
     for k in range(2, max(ks) + 1):
         cuts = durable(_cut_again(pre, cuts, keys))
         if k in ks:
-            found.append(cuts.withColumn("k", F.lit(k)))
-    exact = [_as_model(c, keys).withColumn("converged", F.lit(True)) for c, k in zip(found, ks) if k == 2]
-    more = [_as_model(c, keys) for c, k in zip(found, ks) if k > 2]
+            found.append((k, _as_model(cuts.withColumn("k", F.lit(k)), keys)))
+    done = [m.withColumn("converged", F.lit(True)) for k, m in found if k == 2]
+    more = [k for k, _ in found if k > 2]
     if more:
-        exact.append(_lloyd(pre.select(*keys, "x", "n"), functools.reduce(DataFrame.unionByName, more), keys, rounds))
-    return functools.reduce(DataFrame.unionByName, exact)
+        shares = F.percentile("x", F.array(*[F.lit(p) for p in START_CUTS]), F.col("n").cast("bigint"))
+        quantiles = pre.groupBy(*keys).agg(shares.alias("_q"))
+        choices = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(i) for i in c]).alias("c")) for k in more for c in itertools.combinations(range(len(START_CUTS)), k - 1)])
+        grid = quantiles.select(*keys, "_q", F.inline(choices)).select(*keys, "k", F.transform("c", lambda i: F.get("_q", i)).alias("uppers"))
+        nested = [m.select(*keys, "k", "uppers") for k, m in found if k > 2]
+        starts = functools.reduce(DataFrame.unionByName, nested, grid).distinct()
+        done.append(_lloyd(pre.select(*keys, "x", "n", "_s"), starts.join(functools.reduce(DataFrame.unionByName, nested).select(*keys, "k"), [*keys, "k"], "left_semi"), keys, rounds))
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def _cut_again(pre: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,28 +85,34 @@ def _as_model(cuts: DataFrame, keys: list[str]) -> DataFrame:
     return cuts.select(*keys, "k", F.expr("slice(_cuts.x, 1, size(_cuts) - 1)").alias("uppers"), centers.alias("centers"))
 
 
-def _lloyd(hist: DataFrame, model: DataFrame, keys: list[str], rounds: int) -> DataFrame:
-    """Lloyd steps for all keys and k at once until no upper changes. Several steps
-    are chained per job; the driver sees only whether a model still moves."""
-    model = model.withColumn("converged", F.lit(False))
-    for _ in range(0, rounds, STEPS_PER_JOB):
+def _lloyd(hist: DataFrame, starts: DataFrame, keys: list[str], rounds: int) -> DataFrame:
+    """Lloyd steps from all ``starts(keys, k, uppers)`` at once until no upper changes; the
+    best converged run per (keys, k). Several steps are chained per job; the driver sees
+    only whether a run still moves. A run that empties a cluster is given up."""
+    on, run = [*keys, "k"], [*keys, "k", "start"]
+    model = starts.withColumn("start", F.col("uppers")).withColumns({"mids": F.col("uppers"), "centers": F.lit(None).cast("array<double>"), "gain": F.lit(None).cast("double"), "converged": F.lit(False)})
+    better = Window.partitionBy(*on).orderBy(F.desc(F.round("gain", 9)), "uppers")
+    for job in range(0, rounds, STEPS_PER_JOB):
         for _ in range(STEPS_PER_JOB):
-            mids = F.expr("transform(sequence(1, size(centers) - 1), i -> (centers[i - 1] + centers[i]) / 2)")
-            seen = hist.join(model.filter("not converged").select(*keys, "k", mids.alias("_mid")), keys)
-            seen = seen.withColumn("_l", F.size(F.filter("_mid", lambda c: c < F.col("x"))))
-            per = seen.groupBy(*keys, "k", "_l").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("c"), F.max("x").alias("hi"))
-            new = per.groupBy(*keys, "k").agg(F.array_sort(F.collect_list(F.struct("_l", "c", "hi"))).alias("_p"))
-            new = new.select(*keys, "k", F.col("_p.c").alias("_c"), F.expr("slice(_p.hi, 1, size(_p) - 1)").alias("_u"))
-            joined = model.join(new, [*keys, "k"], "left")
-            ok = F.col("_c").isNotNull() & (F.size("_c") == F.size("centers"))  # an emptied cluster ends the run as it was
-            model = joined.select(
-                *keys, "k", F.when(ok, F.col("_u")).otherwise(F.col("uppers")).alias("uppers"), F.when(ok, F.col("_c")).otherwise(F.col("centers")).alias("centers"),
-                (F.col("converged") | ~ok | (F.col("_u") == F.col("uppers"))).alias("converged"),
+            seen = hist.join(model.filter("not converged").select(*run, "mids"), keys).withColumn("_l", F.size(F.filter("mids", lambda c: c < F.col("x"))))
+            per = seen.groupBy(*run, "_l").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("c"), F.max("x").alias("hi"), (F.sum("_s") * F.sum("_s") / F.sum("n")).alias("e"))
+            new = per.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct("_l", "c", "hi"))).alias("_p"), F.sum("e").alias("_e"))
+            new = new.select(*run, F.col("_p.c").alias("_c"), F.expr("slice(_p.hi, 1, size(_p) - 1)").alias("_u"), "_e")
+            joined = model.join(new, run, "left")
+            ran = F.col("_c").isNotNull()
+            mids = F.expr("transform(sequence(1, size(_c) - 1), i -> (_c[i - 1] + _c[i]) / 2)")
+            pick = lambda a, b: F.when(ran, a).otherwise(F.col(b)).alias(b)
+            model = joined.filter(~ran | (F.size("_c") == F.col("k"))).select(
+                *run, pick(F.when(F.size("_c") > 1, mids), "mids"), pick(F.col("_c"), "centers"), pick(F.col("_e"), "gain"),
+                (F.col("converged") | (F.col("_u") == F.col("uppers"))).alias("converged"), pick(F.col("_u"), "uppers"),
             )
+        # equal uppers are one run from here on
+        model = model.dropDuplicates([*on, "uppers"]) if job else model.withColumn("_r", F.row_number().over(better)).filter(F.col("_r") <= KEPT_STARTS).drop("_r")
         model = durable(model)
         if model.filter("not converged").isEmpty():
             break
-    return model
+    best = model.withColumn("_r", F.row_number().over(better)).filter("_r = 1")
+    return best.select(*on, "uppers", "centers", "converged")
 
 
 def label_of(x: Column, uppers: Column) -> Column:

@@ -87,16 +87,12 @@ def test_kmeans_is_optimal(spark, k):
     assert total == pytest.approx(brute_sse(xs, k), rel=1e-9)
 
 
-def test_refinement_beyond_bins(spark, monkeypatch):
+def test_many_distinct_values(spark):
     rng = random.Random(3)
     xs = [rng.gauss(c, 1.0) for c in (0, 6, 12) for _ in range(60)]
-    df = values(spark, xs)
-    hist = cluster.histogram(df, ["session_id"], "x").cache()
-    exact = cluster.kmeans1d_ordered(hist, ["session_id"], [2, 3]).orderBy("k").collect()
-    monkeypatch.setattr(cluster, "BINS", 16)
-    coarse = cluster.kmeans1d_ordered(hist, ["session_id"], [2, 3]).orderBy("k").collect()
-    for a, b in zip(exact, coarse):
-        assert a.centers == pytest.approx(b.centers, abs=1e-9)
+    hist = cluster.histogram(values(spark, xs), ["session_id"], "x")
+    for r in cluster.kmeans1d_ordered(hist, ["session_id"], [2, 3]).collect():
+        assert r.converged and sum(min((x - c) ** 2 for c in r.centers) for x in xs) == pytest.approx(brute_sse(xs, r.k), rel=1e-9)
 
 
 def test_silhouette_matches_brute_force(spark):
