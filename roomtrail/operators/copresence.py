@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..env import durable
 from ..functions.timefn import bins
-from .intervals import join_pair_inner
+from .intervals import join_pair_inner, segments
 from .windows import grid_common
 
 # Co-presence states in report order with their labels.
@@ -152,38 +152,82 @@ def label_grid(intervals: DataFrame, pairs: DataFrame, step_s: int = 10, default
     )
 
 
+def _hour_parts(rows: DataFrame, named: Sequence[str], step_s: int) -> DataFrame:
+    """Intervals as ranges of grid numbers (closed bounds), cut at full hours."""
+    us, per = step_s * 1_000_000, 3600 // step_s
+    a, b = F.ceil(F.unix_micros("start") / us), F.floor(F.unix_micros("end") / us) + 1
+    cut = rows.select(*named, "seq", "label", a.alias("_a"), b.alias("_b")).filter("_a < _b")
+    hours = F.sequence(F.floor(F.col("_a") / per), F.floor((F.col("_b") - 1) / per))
+    cut = cut.withColumn("h", F.explode(hours))
+    return cut.select(*named, "h", F.greatest("_a", F.col("h") * per).alias("a"), F.least("_b", (F.col("h") + 1) * per).alias("b"), "seq", "label")
+
+
+def _hour_start(h: str) -> Column:
+    return F.timestamp_micros(F.col(h) * 3_600_000_000)
+
+
+def label_segments(intervals: DataFrame, pairs: DataFrame, step_s: int = 10, default: str = "Unknown") -> tuple[DataFrame, DataFrame]:
+    """What :func:`label_grid` says, without its rows: (pair_id, h, n, left_label,
+    right_label) for the ``n`` grid points of each stretch of hour ``h`` that either
+    person's intervals cover, and (pair_id, h, points) for all hours of the common span."""
+    us, per = step_s * 1_000_000, 3600 // step_s
+    span = intervals.groupBy("session_id").agg(F.min("start").alias("a"), F.max("end").alias("b"))
+    l = span.select(F.col("session_id").alias("left_session"), F.col("a").alias("la"), F.col("b").alias("lb"))
+    r = span.select(F.col("session_id").alias("right_session"), F.col("a").alias("ra"), F.col("b").alias("rb"))
+    lo, hi = F.floor(F.unix_micros(F.greatest("la", "ra")) / us), F.ceil(F.unix_micros(F.least("lb", "rb")) / us)
+    common = pairs.join(l, "left_session").join(r, "right_session").select("pair_id", "left_session", "right_session", lo.alias("lo"), hi.alias("hi")).filter("lo <= hi")
+    hours = common.withColumn("h", F.explode(F.sequence(F.floor(F.col("lo") / per), F.floor(F.col("hi") / per))))
+    hours = hours.select("pair_id", "h", (F.least("hi", (F.col("h") + 1) * per - 1) - F.greatest("lo", F.col("h") * per) + 1).alias("points"))
+    member = common.select("pair_id", "lo", "hi", F.inline(F.array(
+        F.struct(F.col("left_session").alias("session_id"), F.lit("left").alias("side")),
+        F.struct(F.col("right_session").alias("session_id"), F.lit("right").alias("side")),
+    )))
+    inside = intervals.join(member, "session_id").select(
+        "pair_id", "side", "seq", "label", F.greatest("start", F.timestamp_micros(F.col("lo") * us)).alias("start"), F.least("end", F.timestamp_micros(F.col("hi") * us)).alias("end")
+    )
+    cut = segments(_hour_parts(inside, ["pair_id", "side"], step_s), ["pair_id", "side", "h"])
+    said = {side: F.max(F.when(F.col("side") == side, F.struct("t", F.col("label").alias("v")))).alias(side) for side in ("left", "right")}
+    events = cut.groupBy("pair_id", "h", "t").agg(*said.values())
+    order = Window.partitionBy("pair_id", "h").orderBy("t")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    lasting = events.withColumns({side: F.last(side, ignorenulls=True).over(upto) for side in said} | {"n": F.lead("t").over(order) - F.col("t")})
+    out = lasting.filter("n > 0").select("pair_id", "h", "n", *[F.coalesce(F.col(f"{side}.v"), F.lit(default)).alias(f"{side}_label") for side in said])
+    return out, hours
+
+
 def _together(excluded: Sequence[str]):
     return (F.col("left_label") == F.col("right_label")) & ~F.col("left_label").isin(*excluded)
 
 
-def copresence_heatmap(grid: DataFrame, excluded: Sequence[str] = ("Out", "Unknown")) -> DataFrame:
+def copresence_heatmap(intervals: DataFrame, pairs: DataFrame, excluded: Sequence[str] = ("Out", "Unknown"), step_s: int = 10) -> DataFrame:
     """Day × hour share of time together."""
-    per = grid.withColumns({"day": F.to_date("t"), "hour": F.hour("t")}).withColumn("c", _together(excluded).cast("double"))
-    return (
-        per.groupBy("pair_id", "day").pivot("hour", list(range(24))).agg(F.avg("c")).withColumnsRenamed({str(h): f"h{h:02d}" for h in range(24)})
-    )
+    parts, hours = label_segments(intervals, pairs, step_s)
+    met = parts.filter(_together(excluded)).groupBy("pair_id", "h").agg(F.sum("n").alias("_n"))
+    per = hours.join(met, ["pair_id", "h"], "left").withColumn("c", F.coalesce("_n", F.lit(0)) / F.col("points"))
+    per = per.select("pair_id", F.to_date(_hour_start("h")).alias("day"), F.hour(_hour_start("h")).alias("hour"), "c")
+    return per.groupBy("pair_id", "day").pivot("hour", list(range(24))).agg(F.first("c")).withColumnsRenamed({str(h): f"h{h:02d}" for h in range(24)})
 
 
-def copresence_daily_ratio(grid: DataFrame, excluded: Sequence[str] = ("Out", "Unknown"), min_hours: int = 20) -> DataFrame:
+def copresence_daily_ratio(intervals: DataFrame, pairs: DataFrame, excluded: Sequence[str] = ("Out", "Unknown"), min_hours: int = 20, step_s: int = 10) -> DataFrame:
     """Share of valid time together on days that cover enough hours."""
-    valid = grid.filter((F.col("left_label") != "Unknown") & (F.col("right_label") != "Unknown"))
+    parts, _ = label_segments(intervals, pairs, step_s)
+    valid = parts.filter((F.col("left_label") != "Unknown") & (F.col("right_label") != "Unknown"))
+    met = F.sum(F.when(_together(excluded), F.col("n")).otherwise(0))
     return (
-        valid.withColumn("day", F.to_date("t"))
+        valid.withColumn("day", F.to_date(_hour_start("h")))
         .groupBy("pair_id", "day")
-        .agg(F.count_distinct(F.hour("t")).alias("hours"), F.avg(_together(excluded).cast("double")).alias("ratio"))
+        .agg(F.count_distinct("h").alias("hours"), (met / F.sum("n")).alias("ratio"))
         .filter(F.col("hours") >= min_hours)
     )
 
 
 def hourly_room(intervals: DataFrame, step_s: int = 10, default: str = "Unknown") -> DataFrame:
     """Modal label per hour on the fine grid (ties to the smallest label)."""
-    from ..functions.timefn import ceil_ts, floor_ts
     from .topk import mode_label
 
-    pts = intervals.select("session_id", F.struct("seq", "label").alias("_l"), F.explode(bins(ceil_ts("start", step_s), F.col("end"), step_s, closed=True)).alias("t"))
-    last = pts.groupBy("session_id", "t").agg(F.max("_l").alias("_l"))
-    per = last.groupBy("session_id", floor_ts("t", 3600).alias("w"), F.col("_l.label").alias("label")).agg(F.count("*").alias("n"))
-    # time points no interval covers are 'Unknown'
+    cut = segments(_hour_parts(intervals, ["session_id"], step_s), ["session_id", "h"]).filter("label is not null")
+    per = cut.groupBy("session_id", _hour_start("h").alias("w"), "label").agg(F.sum(F.col("until") - F.col("t")).alias("n"))
+    # grid points no interval covers are 'Unknown'
     known = per.groupBy("session_id", "w").agg(F.sum("n").alias("k"))
     span = known.groupBy("session_id").agg(F.min("w").alias("a"), F.max("w").alias("b"))
     hours = span.select("session_id", F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("w"))

@@ -73,18 +73,19 @@ def join_grid_interval(grid: DataFrame, intervals: DataFrame, window_s: int, seq
 
 def _winning(rows: list[tuple]) -> list[tuple]:
     """Sweep over one bin's clipped intervals (a, b, seq, label) in order of ``a``:
-    (t, label) wherever the last interval (by ``seq``, then label) that covers the
-    time changes or may change; None in gaps."""
+    (t, until, label) of segments that the same interval (the last by ``seq``, then
+    label) covers throughout; label None in gaps, and one empty segment at the end."""
     held: list[tuple] = []  # kept sorted by (seq, label, end)
     out, k = [], 0
-    for t in sorted({x for a, b, _, _ in rows for x in (a, b)}):
+    times = sorted({x for a, b, _, _ in rows for x in (a, b)})
+    for t, until in zip(times, [*times[1:], times[-1]]):
         while k < len(rows) and rows[k][0] <= t:
             _, b, seq, label = rows[k]
             insort(held, (seq, label, b))
             k += 1
         while held and held[-1][2] <= t:  # an ended one below the top is dropped when it surfaces
             held.pop()
-        out.append((t, held[-1][1] if held else None))
+        out.append((t, until, held[-1][1] if held else None))
     return out
 
 
@@ -93,7 +94,7 @@ def _sweep(batches: Iterator[pd.DataFrame], named: list[str]) -> Iterator[pd.Dat
     key, rows = None, []
 
     def made(done: list) -> pd.DataFrame:
-        return pd.DataFrame([(*k, *x) for k, own in done for x in _winning(own)], columns=[*named, "t", "label"])
+        return pd.DataFrame([(*k, *x) for k, own in done for x in _winning(own)], columns=[*named, "t", "until", "label"])
 
     for batch in batches:
         done = []
@@ -107,6 +108,15 @@ def _sweep(batches: Iterator[pd.DataFrame], named: list[str]) -> Iterator[pd.Dat
     yield made([(key, rows)] if rows else [])
 
 
+def segments(clipped: DataFrame, named: Sequence[str]) -> DataFrame:
+    """``clipped(named, a, b, seq, label)`` (numbers, a < b) as segments (named, t, until,
+    label) without overlap, at most two per row of ``clipped``."""
+    named = list(named)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in clipped.select(*named).schema)
+    dealt = clipped.select(*named, "a", "b", "seq", "label").repartition(*named).sortWithinPartitions(*named, "a")
+    return dealt.mapInPandas(lambda batches: _sweep(batches, named), f"{fields}t bigint, until bigint, label string")
+
+
 def label_points(points: DataFrame, intervals: DataFrame, keys: Sequence[str], bin_s: int) -> DataFrame:
     """``points(keys, _t, ...)`` with ``label`` of the last interval that holds each.
 
@@ -120,12 +130,9 @@ def label_points(points: DataFrame, intervals: DataFrame, keys: Sequence[str], b
         intervals.withColumn("_bin", F.explode(bins("start", "end", bin_s)))
         .select(*keys, "_bin", F.greatest(F.unix_micros("start"), at).alias("a"), F.least(F.unix_micros("end"), at + width).alias("b"), "seq", "label")
     )
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clipped.select(*keys, "_bin").schema)
     named = [*keys, "_bin"]
-    dealt = clipped.repartition(*named).sortWithinPartitions(*named, "a")
-    segments = dealt.mapInPandas(lambda batches: _sweep(batches, named), f"{fields}, t bigint, label string")
+    marks = segments(clipped, named).select(*named, F.col("t").alias("_us"), F.struct(F.col("label").alias("v")).alias("_seg"))
     probe = points.withColumn("_bin", floor_ts("_t", bin_s)).withColumn("_us", F.unix_micros("_t"))
-    marks = segments.select(*named, F.col("t").alias("_us"), F.struct(F.col("label").alias("v")).alias("_seg"))
     both = probe.withColumn("_seg", F.lit(None).cast(marks.schema["_seg"].dataType)).unionByName(marks, allowMissingColumns=True)
     both = both.withColumn("_point", F.col("_seg").isNull())
     upto = Window.partitionBy(*named).orderBy("_us", "_point").rowsBetween(Window.unboundedPreceding, 0)

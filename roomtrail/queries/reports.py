@@ -289,14 +289,14 @@ _HO = " ".join(f"h{h:02d}:f" for h in range(24))
 
 @query("copresence_heatmap", f"pair_id:i day:d {_HO}", with_ctes(f"SELECT pair_id, CAST(t AS DATE) AS day, {_H} FROM fine GROUP BY 1, 2"))
 def _(spark, sf):
-    return co.copresence_heatmap(co.label_grid(diary_labels(spark, sf), A.pairs(spark)))
+    return co.copresence_heatmap(diary_labels(spark, sf), A.pairs(spark))
 
 
 @query("copresence_daily_ratio", "pair_id:i day:d hours:i ratio:f",
        with_ctes("""SELECT pair_id, CAST(t AS DATE) AS day, count(DISTINCT hour(t)) AS hours, avg(CAST(ll = rl AND ll <> 'Out' AS INT)) AS ratio FROM fine
          WHERE ll <> 'Unknown' AND rl <> 'Unknown' GROUP BY 1, 2 HAVING count(DISTINCT hour(t)) >= 20"""))
 def _(spark, sf):
-    return co.copresence_daily_ratio(co.label_grid(diary_labels(spark, sf), A.pairs(spark)))
+    return co.copresence_daily_ratio(diary_labels(spark, sf), A.pairs(spark))
 
 
 @query("hourly_room", "session_id:i w:t label:s",
