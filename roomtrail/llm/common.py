@@ -40,6 +40,14 @@ def plain(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns
 
 
+def some(df: DataFrame, most: int, seed: int = 11) -> DataFrame:
+    """All rows of ``df``, or a sample of about ``most`` where it has more: each row is
+    kept with the same chance, so that what reaches the driver stays as small however
+    many partitions there are."""
+    total = df.count()
+    return df if total <= most else df.sample(False, most / total, seed)
+
+
 def arrow_map(df: DataFrame, columns: list[str], schema: str, rows: Callable[[pa.RecordBatch], dict[str, list]], by: str | None = None) -> DataFrame:
     """``mapInArrow`` of ``rows`` over ``columns``; ``rows`` gives lists by output column.
 

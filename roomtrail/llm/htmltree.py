@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, some
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never rendered as text.
@@ -243,10 +243,10 @@ def main_text(html: str | None, m: Model) -> str:
     return "\n".join(t for b in blocks if (t := " ".join("".join(b).split())))
 
 
-def sample(pages: DataFrame, most: int = 300, html_col: str = "html") -> list[str]:
-    """At most ``most`` pages, those of the smallest hashes, for training."""
-    h = F.xxhash64(F.col(html_col))
-    return [r[0] for r in pages.filter(F.col(html_col).isNotNull()).select(html_col, h.alias("h")).orderBy("h", html_col).limit(most).collect()]
+def sample(pages: DataFrame, most: int = 300, most_chars: int = 1 << 18, html_col: str = "html") -> list[str]:
+    """About ``most`` pages of up to ``most_chars`` characters, for training."""
+    known = pages.filter(F.col(html_col).isNotNull() & (F.char_length(html_col) <= most_chars)).select(html_col)
+    return sorted(r[0] for r in some(known, most).collect())
 
 
 def extract(pages: DataFrame, m: Model, html_col: str = "html") -> DataFrame:
