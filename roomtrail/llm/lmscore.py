@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, some
 
 ENDINGS, PER_ENDING = 32, 2048
 VOCABULARY = ENDINGS * PER_ENDING
@@ -131,11 +131,11 @@ def texts_to_kinds(texts: list, v: Vocabulary) -> tuple[np.ndarray, np.ndarray,
 
 def fit(docs: DataFrame, v: Vocabulary, sample_texts: int = 1000, sample_chars: int = 2000, rate: float = 0.1, text_col: str = "text") -> list[np.ndarray]:
     """Weights after the bounded start and one averaged pass over every document."""
-    h = F.xxhash64(F.col(text_col))
-    at = F.pmod(F.shiftright(h, 7), F.greatest(F.char_length(text_col) - sample_chars, F.lit(0)) + 1).cast("int") + 1
-    chosen = docs.filter(F.col(text_col).isNotNull()).select(h.alias("h"), F.substring(F.col(text_col), at, F.lit(sample_chars)).alias("t")).orderBy("h", "t").limit(sample_texts).collect()
+    at = F.pmod(F.xxhash64(text_col), F.greatest(F.char_length(text_col) - sample_chars, F.lit(0)) + 1).cast("int") + 1
+    known = some(docs.filter(F.col(text_col).isNotNull()).select(text_col), sample_texts)
+    chosen = sorted(r[0] for r in known.select(F.substring(F.col(text_col), at, F.lit(sample_chars))).collect())
     w = start()
-    kinds, _, _ = texts_to_kinds([r[1] for r in chosen], v)
+    kinds, _, _ = texts_to_kinds(chosen, v)
     near, at = windows(kinds)
     target = kinds[at]
     state = [np.zeros_like(x) for x in w]
