@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut
+from .common import arrow_map, cut, some
 
 
 @dataclass
@@ -127,18 +127,17 @@ def search(rows: DataFrame, query_every: int, k: int = 20, id_col: str = "vec_id
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each row whose id
     ``query_every`` divides, among all rows but those with its own id.
 
-    At most ``sample_rows`` distinct vectors, those of the smallest hashes, fit the
-    codebooks. Repeated rows count once; an id with several vectors is a candidate with
+    About ``sample_rows`` distinct vectors fit the codebooks. Repeated rows count once; an id with several vectors is a candidate with
     each and a query with the least. Null or unusable vectors take no part; an empty
     table gives an empty result.
     """
     spark = rows.sparkSession
     own = valid(rows, id_col, vector_col)
     entries = cut(classes(own, k + 1))
-    chosen = entries.select("vec", F.xxhash64("vec").alias("h")).orderBy("h").limit(sample_rows).collect()
+    chosen = sorted(r[0] for r in some(entries.select("vec"), sample_rows).collect())
     if not chosen:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = np.array([r[0] for r in chosen], dtype=np.float64)
+    sample = np.array(chosen, dtype=np.float64)
     size = sample.shape[1]
     index = fit(sample, centroids, k, target)
     books = index.books
