@@ -252,7 +252,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     return arrow_map(base, base.columns, f"{kept}{names[0]} string, {names[1]} double, {names[2]} double", rows, by="_text")
 
 
-def known_language(docs: DataFrame, model: Model | None, least_score: float = 0.4, text_col: str = "text") -> DataFrame:
+def known_language(docs: DataFrame, model: Model | None, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose language the model tells: not ``und`` and of ``least_score`` or more."""
     own, columns = plain(docs)
     keep = tuple(own.columns)
