@@ -20,11 +20,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map
-from .tokens import ChunkCache, id_lists
+from .tokens import id_lists, packed
 
 NONE = np.int64(1) << 62
 #: Pieces up to this many bytes advance side by side; BLOCK of them at a time.
 SHORT, BLOCK = 64, 8192
+#: The cache of encoded chunks starts anew beyond this many.
+CACHE_CHUNKS = 350_000
+
+
+@functools.cache
+def vocabulary(path: str) -> list[bytes]:
+    """Tokens by rank; ranks without a token are empty."""
+    with open(path, "rb") as f:
+        ranks = {int(b): base64.b64decode(a) for a, b in (line.split() for line in f if line.strip())}
+    return [ranks.get(i, b"") for i in range(max(ranks) + 1)]
 
 
 class Ranks:
@@ -33,9 +43,7 @@ class Ranks:
     def __init__(self, path: str, pattern: str):
         import regex
 
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.vocabulary = {r: b for b, r in self.ranks.items()}
+        self.ranks = {token: rank for rank, token in enumerate(vocabulary(path)) if token}
         self.find = regex.compile(pattern).findall
         self.pairs = {}
         for token, rank in self.ranks.items():
@@ -45,7 +53,7 @@ class Ranks:
         self.keys = np.array(sorted(self.pairs), dtype=np.int64)
         self.values = np.array([self.pairs[k] for k in self.keys.tolist()], dtype=np.int64)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
-        self.cache = ChunkCache(self._chunks)
+        self.cache: dict[str, bytes] = {}
 
     def _pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
@@ -175,21 +183,32 @@ class Ranks:
         """Chunks split by the pattern, each piece of them encoded."""
         found = [[p.encode() for p in self.find(c)] for c in chunks]
         distinct = list({p for f in found for p in f})
-        ids = {p: np.array(x, "<i4").tobytes() for p, x in zip(distinct, self.encode_pieces(distinct), strict=True)}
+        ids = {p: packed(x) for p, x in zip(distinct, self.encode_pieces(distinct), strict=True)}
         return [b"".join([ids[p] for p in f]) for f in found]
 
     # White space before a single space that does not begin a word: a run crosses the cut.
     _crosses = re.compile(r"\s (?=\s|\Z)").search
 
-    def encode(self, text: str | None) -> bytes:
-        """Packed ids of one text. Every match of the pattern that follows a space
-        which begins a word starts at that space, so texts are cut there."""
-        if not text:
-            return b""
-        if self._crosses(text):
-            return self._chunks([text])[0]
-        first, *others = text.split(" ")
-        return self.cache.packed([first, *[" " + c for c in others]])
+    def encode(self, texts: list) -> list[bytes]:
+        """Packed ids of each text (null: none). Every match of the pattern that follows
+        a space which begins a word starts at that space, so texts are cut there; the
+        chunks that the cache lacks are encoded together."""
+        cut = []
+        for text in texts:
+            if not text:
+                cut.append([])
+            elif self._crosses(text):
+                cut.append([text])
+            else:
+                first, *others = text.split(" ")
+                cut.append([first, *[" " + c for c in others]])
+        cache = self.cache
+        new = list({c for chunks in cut for c in chunks if c not in cache})
+        if len(cache) + len(new) > CACHE_CHUNKS:
+            cache.clear()
+            new = list({c for chunks in cut for c in chunks})
+        cache.update(zip(new, self._chunks(new), strict=True))
+        return [b"".join([cache[c] for c in chunks]) for chunks in cut]
 
 
 @functools.cache
@@ -202,22 +221,23 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def rows(batch: pa.RecordBatch) -> dict:
         own = ranks(path, pattern)
-        return {"doc_id": batch.column(0), "ids": id_lists([own.encode(t) for t in batch.column(1).to_pylist()])}
+        return {"doc_id": batch.column(0), "ids": id_lists(own.encode(batch.column(1).to_pylist()))}
 
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id", "text"], "doc_id long, ids array<int>", rows, by="text")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded(doc_id, ids, ...)`` with ``bytes``, the ids' concatenated bytes."""
     names = [c for c in encoded.columns if c not in ("doc_id", "ids")]
     if names:
         raise ValueError(f"unexpected columns {names}")
 
     def rows(batch: pa.RecordBatch) -> dict:
-        own = ranks(path, pattern).vocabulary
+        own = vocabulary(path)
         lists = batch.column(1)
-        flat, ends = lists.flatten().to_pylist(), np.cumsum(np.diff(lists.offsets.to_numpy())).tolist()
+        flat, ends = lists.flatten().to_numpy(), np.cumsum(np.diff(lists.offsets.to_numpy())).tolist()
         starts = [0, *ends[:-1]] if ends else []
-        return {"doc_id": batch.column(0), "ids": lists, "bytes": [b"".join([own[i] for i in flat[s:e]]) for s, e in zip(starts, ends, strict=True)]}
+        # one text's ids at a time as Python numbers, which take nine times their bytes
+        return {"doc_id": batch.column(0), "ids": lists, "bytes": [b"".join([own[i] for i in flat[s:e].tolist()]) for s, e in zip(starts, ends, strict=True)]}
 
     return arrow_map(encoded, ["doc_id", "ids"], "doc_id long, ids array<int>, bytes binary", rows)

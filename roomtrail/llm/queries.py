@@ -20,7 +20,7 @@ def op2(spark, sf_dir):
     import public_tokenizers as P
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
-    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, P.PATTERN), path, P.PATTERN)
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, P.PATTERN), path)
     joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 

@@ -133,8 +133,16 @@ def odd_texts(n, seed, more=""):
 def test_byte_bpe_equals_the_library(byte_bpe):
     path, library = byte_bpe
     own = bpe.ranks(path, P.PATTERN)
-    for text in [*odd_texts(400, 1), "a" * 5000, "abc" * 400 + "é" * 300, "x" * 65, " " * 300, *filter(None, TEXTS)]:
-        assert np.frombuffer(own.encode(text), "<i4").tolist() == library.encode_ordinary(text)
+    texts = [*odd_texts(400, 1), "a" * 5000, "abc" * 400 + "é" * 300, "x" * 65, " " * 300, *TEXTS]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<i4").tolist() == library.encode_ordinary(text or "")
+
+
+def test_cache_starts_anew(byte_bpe, monkeypatch):
+    own = bpe.Ranks(byte_bpe[0], P.PATTERN)
+    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 5)
+    for text in odd_texts(50, 9):
+        assert np.frombuffer(own.encode([text])[0], "<i4").tolist() == byte_bpe[1].encode_ordinary(text)
 
 
 def test_short_and_long_trees_agree(byte_bpe):
