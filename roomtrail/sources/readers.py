@@ -79,7 +79,6 @@ def matrix_windows(long: DataFrame, window_s: int = 300) -> DataFrame:
 def packed_tags(rows: DataFrame, codes: DataFrame) -> DataFrame:
     """Main readings plus the extra ones packed as ``"rssi code;rssi code"``.
     ``codes(code, beacon)`` translates; an unknown code keeps ``External_<code>``."""
-    from ..env import small
 
     main = rows.select("session_id", "ts", F.upper("uuid").alias("beacon"), "rssi")
     item = rows.select("session_id", "ts", F.explode(F.split("info_other_tags", ";")).alias("item"))

@@ -23,7 +23,6 @@ def write_tables(tables: dict[str, DataFrame], root: str, partition_by: Sequence
 
 def merge_partial(existing: DataFrame, current: DataFrame, selected: DataFrame, key: str = "collection") -> DataFrame:
     """A re-run of some collections keeps the other collections' rows."""
-    from ..env import small
 
     kept = existing.join(selected.select(key).distinct(), key, "left_anti")
     return kept.unionByName(current, allowMissingColumns=True)
