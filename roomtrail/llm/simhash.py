@@ -150,6 +150,8 @@ def components(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str =
 LANES, LANE_SHINGLES = 18, 3
 #: Bits in which fingerprints of five-word shingles of similarity 0.8 may differ (over six deviations).
 WIDE = 18
+#: Counters of a text's shingle hashes; their overlap bounds the similarity of two texts from above.
+BINS = 256
 
 
 def _sketch(words: list[bytes], size: int) -> tuple[int, list[int]]:
@@ -171,6 +173,32 @@ def _sketch(words: list[bytes], size: int) -> tuple[int, list[int]]:
     return fp, lanes
 
 
+def _profile(text: str | None, size: int) -> tuple[int, bytes]:
+    """Number of distinct shingles, and how many fall into each of BINS counters
+    (nothing if one counter passes 255)."""
+    h = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(words_of(text), size)]))
+    bins = np.bincount((h >> np.uint64(17)).astype(np.int64) % BINS, minlength=BINS)
+    return len(h), bins.astype(np.uint8).tobytes() if bins.max() < 256 else b""
+
+
+def _open_pairs(left: list[dict], right: list[dict], similarity: float) -> set[tuple[str, str]]:
+    """Pairs of different groups whose sizes and counters allow ``similarity``; a pair
+    that reaches it is never left out."""
+    group = np.array([m["root"] for m in right], dtype=object)
+    size = np.array([m["size"] for m in right], dtype=np.int64)
+    known = np.array([bool(m["bins"]) for m in right], dtype=bool)
+    bins = np.frombuffer(b"".join(m["bins"] or bytes(BINS) for m in right), np.uint8).reshape(-1, BINS)
+    out = set()
+    for m in left:
+        need = similarity / (1 + similarity) * (size + m["size"]) - 1e-6
+        at = np.flatnonzero((group != m["root"]) & (np.minimum(size, m["size"]) >= need))
+        if m["bins"] and len(at):
+            shared = np.minimum(bins[at], np.frombuffer(m["bins"], np.uint8)).sum(axis=1, dtype=np.int64)
+            at = at[~known[at] | (shared >= need[at])]
+        out.update((min(m["node"], x), max(m["node"], x)) for x in (right[j]["node"] for j in at))
+    return out
+
+
 def _jaccard(a: str, b: str, size: int) -> float:
     x, y = (set(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(words_of(t), size)]).tolist()) for t in (a, b))
     return len(x & y) / max(1, len(x | y))
@@ -183,9 +211,11 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
 
     Whole-document fingerprints meet under the covering masks (radius 2), and the
     SimHash of each of LANES shingle samples under the mask of radius 0, since
-    documents of similarity 0.8 differ in about seven bits as a whole. In a bucket
-    each text is paired with the leaders it lies within WIDE bits of; pairs link
-    if the Jaccard similarity of their shingle sets is ``similarity`` or more.
+    documents of similarity 0.8 differ in about seven bits as a whole. Pairs link if
+    the Jaccard similarity of their shingle sets is ``similarity`` or more. First each
+    text of a bucket is compared with the leaders it lies within WIDE bits of, middle
+    of the bucket first; then all texts of a bucket that are still in different groups
+    are compared with each other, whatever their fingerprints.
     Null texts count as empty; wordless texts are copies of each other only if equal.
     """
 
@@ -212,20 +242,23 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     def lead(batch: pa.RecordBatch) -> dict:
         pairs = set()
         for members in batch.column(0).to_pylist():
-            members = sorted((m["node"], m["fp"]) for m in members)
-            fps = np.array([m[1] for m in members], dtype=np.int64).view(np.uint64)
+            fps = np.array([m["fp"] for m in members], dtype=np.int64).view(np.uint64)
+            ones = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            middle = np.packbits(2 * ones > len(fps)).view(np.uint64)[0]
+            away = np.bitwise_count(fps ^ middle)
+            order = sorted(range(len(fps)), key=lambda i: (away[i], members[i]["node"]))
             led: list[int] = []
-            for i, f in enumerate(fps):
-                close = np.flatnonzero(np.bitwise_count(fps[led] ^ f) <= WIDE) if led else []
-                pairs.update((members[led[j]][0], members[i][0]) for j in close)
+            for i in order:
+                close = np.flatnonzero(np.bitwise_count(fps[led] ^ fps[i]) <= WIDE) if led else []
+                own = members[i]["node"]
+                pairs.update((min(own, x), max(own, x)) for x in (members[led[j]]["node"] for j in close))
                 if not len(close):
                     led.append(i)
         return {"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}
 
-    pairs = cut(arrow_map(met, ["members"], "a string, b string", lead).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = base.withColumn("node", F.md5(F.coalesce("text", F.lit("")))).join(wanted, "node", "left_semi")
-    texts = _first_rows(texts, nodes).select("node", "text")
+    def texts(wanted: DataFrame) -> DataFrame:
+        own = base.withColumn("node", F.md5(F.coalesce("text", F.lit("")))).join(wanted, "node", "left_semi")
+        return _first_rows(own, nodes).select("node", "text")
 
     def verify(batch: pa.RecordBatch) -> dict:
         out: dict = {"a": [], "b": []}
@@ -237,8 +270,38 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
                     out["b"].append(y)
         return out
 
-    full = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    roots = star_edges(arrow_map(full, ["a", "b", "ta", "tb"], "a string, b string", verify))
+    def verified(pairs: DataFrame) -> DataFrame:
+        known = texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        full = pairs.join(known.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(known.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        return arrow_map(full, ["a", "b", "ta", "tb"], "a string, b string", verify)
+
+    pairs = cut(arrow_map(met, ["members"], "a string, b string", lead).distinct())
+    roots = star_edges(verified(pairs))
+    # What is still in different groups of a bucket; members of its largest group need not meet each other.
+    labelled = places.select("node", "v", "key").join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = labelled.groupBy("v", "key", "root").agg(F.count("*").alias("own")).groupBy("v", "key")
+    mixed = mixed.agg(F.sum("own").alias("n"), F.max(F.struct("own", "root")).alias("main")).filter("n > main.own")
+    members = cut(labelled.join(mixed, ["v", "key"]).select("node", "v", "key", "root", "n", F.col("main.own").alias("largest"), (F.col("root") != F.col("main.root")).alias("other")))
+
+    def profile(batch: pa.RecordBatch) -> dict:
+        made = [_profile(t, shingle) for t in batch.column(1).to_pylist()]
+        return {"node": batch.column(0), "size": [m[0] for m in made], "bins": [m[1] for m in made]}
+
+    profiles = arrow_map(texts(members.select("node").distinct()), ["node", "text"], "node string, size long, bins binary", profile)
+    members = members.join(cut(profiles), "node")
+    dealt = members.withColumn("i", part).withColumn("j", F.lit(0))
+    sides = dealt.filter("other").withColumn("first", F.lit(True)).union(dealt.withColumn("first", F.lit(False)))
+    blocks = sides.groupBy("v", "key", "i", "j").agg(F.collect_list(F.struct("first", "node", "root", "size", "bins")).alias("members"))
+
+    def meet(batch: pa.RecordBatch) -> dict:
+        found = set()
+        for i in range(batch.num_rows):
+            both = batch.column(0).slice(i, 1).to_pylist()[0]
+            found |= _open_pairs([m for m in both if m["first"]], [m for m in both if not m["first"]], similarity)
+        return {"a": [p[0] for p in found], "b": [p[1] for p in found]}
+
+    left = cut(arrow_map(blocks, ["members"], "a string, b string", meet).distinct().join(pairs, ["a", "b"], "left_anti"))
+    roots = star_edges(roots.union(verified(left)))
     placed = nodes.join(roots.select(F.col("a").alias("node"), F.col("b").alias("group")), "node", "left").withColumn("group", F.coalesce("group", "node"))
     # The group's row with the smallest id stays (ids before nulls, then by digest).
     best = placed.groupBy("group").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("best"))

@@ -323,6 +323,50 @@ def test_near_copies_leave_one_of_each_group(spark):
     assert sorted(r.doc_id for r in got) == [*range(8), 90, 92]
 
 
+def brute_groups(texts, similarity=0.8):
+    """Sets of places of ``texts`` that links of ``similarity`` join."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if root[i] != root[j] and both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                root = [root[j] if r == root[i] else r for r in root]
+    return {frozenset(k for k in range(len(texts)) if root[k] == r) for r in root}
+
+
+def found_groups(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {}
+    for r in simhash.near_groups(docs).collect():
+        out.setdefault(r.group, set()).add(r.first)
+    return {frozenset(g) for g in out.values()}
+
+
+def test_near_copies_follow_stars_and_chains(spark):
+    """Copies that are near the original only, and texts that are near their neighbours only."""
+    rng = random.Random(9)
+    vocabulary = ["w%d" % i for i in range(900)]
+    texts = []
+    for copies in (10, 40, 40):
+        base = [rng.choice(vocabulary) for _ in range(300)]
+        texts.append(" ".join(base))
+        for c in range(copies):
+            copy = list(base)
+            for k in range(4):
+                copy[10 + 70 * k + rng.randrange(60)] = f"changed{c}x{k}"
+            texts.append(" ".join(copy))
+    for _ in range(3):
+        link = [rng.choice(vocabulary) for _ in range(300)]
+        for c in range(12):
+            texts.append(" ".join(link))
+            for k in range(4):
+                link[10 + 70 * k + rng.randrange(60)] = f"link{c}x{k}"
+    want = brute_groups(texts)
+    assert sorted(map(len, want))[-6:] == [11, 12, 12, 12, 41, 41]
+    assert found_groups(spark, texts) == want
+
+
 def test_star_edges_join_long_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {tuple(r) for r in star_edges(spark.createDataFrame(edges, "a long, b long")).collect()}
