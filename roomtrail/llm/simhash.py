@@ -289,9 +289,13 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
 
     profiles = arrow_map(texts(members.select("node").distinct()), ["node", "text"], "node string, size long, bins binary", profile)
     members = members.join(cut(profiles), "node")
-    dealt = members.withColumn("i", part).withColumn("j", F.lit(0))
-    sides = dealt.filter("other").withColumn("first", F.lit(True)).union(dealt.withColumn("first", F.lit(False)))
-    blocks = sides.groupBy("v", "key", "i", "j").agg(F.collect_list(F.struct("first", "node", "root", "size", "bins")).alias("members"))
+    # Every part of the others meets every part of the bucket.
+    others, whole = F.ceil((F.col("n") - F.col("largest")) / SMALL).cast("int"), F.ceil(F.col("n") / SMALL).cast("int")
+    place = F.xxhash64("node", "v")
+    rows_of = [F.col(c) for c in ("v", "key", "node", "root", "size", "bins")]
+    ours = members.filter("other").select(*rows_of, F.lit(True).alias("first"), F.pmod(place, others).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), whole - 1)).alias("j"))
+    theirs = members.select(*rows_of, F.lit(False).alias("first"), F.pmod(place, whole).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), others - 1)).alias("i"))
+    blocks = ours.unionByName(theirs).groupBy("v", "key", "i", "j").agg(F.collect_list(F.struct("first", "node", "root", "size", "bins")).alias("members"))
 
     def meet(batch: pa.RecordBatch) -> dict:
         found = set()

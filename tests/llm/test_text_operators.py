@@ -367,6 +367,26 @@ def test_near_copies_follow_stars_and_chains(spark):
     assert found_groups(spark, texts) == want
 
 
+def test_large_buckets_lose_no_pair(spark, monkeypatch):
+    """Pairs among many texts over one template that stay under 0.8 to all others, where all meet in one large bucket only."""
+    rng = random.Random(12)
+    template = [f"t{k}" for k in range(300)]
+    texts = []
+    for c in range(60):
+        own = list(template)
+        for k in range(5):
+            own[10 + 58 * k + rng.randrange(40)] = f"own{c}x{k}"
+        texts.append(" ".join(own))
+        if c % 10 == 0:
+            own[5] = "again"
+            texts.append(" ".join(own))
+    want = brute_groups(texts)
+    assert sorted(map(len, want)) == [1] * 54 + [2] * 6
+    monkeypatch.setattr(simhash, "_sketch", lambda words, size: (zlib.crc32(b" ".join(words)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1, [7]))
+    monkeypatch.setattr(simhash, "SMALL", 4)
+    assert found_groups(spark, texts) == want
+
+
 def test_star_edges_join_long_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {tuple(r) for r in star_edges(spark.createDataFrame(edges, "a long, b long")).collect()}
