@@ -1,8 +1,9 @@
 """License scans by conditional compression.
 
-A candidate block is compressed alone and with each template as a zstandard raw
-dictionary; the template that saves most wins, and its exact wording is compared
-with the block's, word by word, before the license is reported.
+Words around a cue are searched for every template, over white space of any kind. A
+window of the template's length is compressed alone and with the template as a zstandard
+raw dictionary; if that saves enough of the template's own compressed size, the exact
+wording is compared, word by word, before the license is reported.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import difflib
 import functools
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +32,7 @@ TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"],
 }
 CUE = r"(?i)licen[cs]|redistribut|permission is hereby|public domain"
-#: Words kept on each side of a cue where a line is longer than a notice.
+#: Words searched on each side of a cue, at least.
 REACH = 48
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
@@ -38,83 +41,120 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def candidates(text: str | None) -> list[tuple[int, int]]:
-    """Code point spans of lines with a cue, cut to REACH words around their cues;
-    overlapping spans of a line are joined."""
-    out: list[tuple[int, int]] = []
-    at = 0
-    for line in (text or "").split("\n"):
-        cues = [m.start() for m in re.finditer(CUE, line)]
-        if cues:
-            spots = [(m.start(), m.end()) for m in re.finditer(r"\S+", line)]
-            starts = [s for s, _ in spots]
-            last = -1
-            for c in cues:
-                k = max(0, _at(starts, c))
-                lo, hi = spots[max(0, k - REACH)][0] + at, spots[min(len(spots) - 1, k + REACH)][1] + at
-                if out and last >= lo:
-                    out[-1] = (out[-1][0], max(hi, out[-1][1]))
-                else:
-                    out.append((lo, hi))
-                last = out[-1][1]
-        at += len(line) + 1
-    return out
-
-
-def _at(starts: list[int], place: int) -> int:
-    from bisect import bisect_right
-
-    return bisect_right(starts, place) - 1
-
-
 @functools.cache
-def _packers(templates: tuple) -> list[tuple]:
+def _packers(templates: tuple) -> tuple:
+    """The plain compressor, the longest template's words, each template with its words,
+    compressor and own compressed size, and the templates' places of each word pair."""
     import zstandard as z
 
-    made = []
-    for name, text in templates:
-        known = z.ZstdCompressionDict(text.lower().encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
-        made.append((name, text, words(text), z.ZstdCompressor(level=9, dict_data=known, write_content_size=False, write_dict_id=False)))
-    return [z.ZstdCompressor(level=9, write_content_size=False), made]
+    alone = z.ZstdCompressor(level=9, write_content_size=False)
+    made, pairs = [], {}
+    for i, (name, text) in enumerate(templates):
+        data, own = text.lower().encode(), words(text)
+        known = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
+        made.append((name, text, own, z.ZstdCompressor(level=9, dict_data=known, write_content_size=False, write_dict_id=False), len(alone.compress(data))))
+        for k, pair in enumerate(zip(own, own[1:], strict=False)):
+            pairs.setdefault(pair, []).append((i, k))
+    return alone, max((len(m[2]) for m in made), default=0), made, pairs
+
+
+def candidates(text: str, found: list[re.Match], reach: int) -> list[tuple[int, int]]:
+    """Ranges of the words ``found`` within ``reach`` words of a cue; overlapping ones are joined."""
+    starts = [m.start() for m in found]
+    out: list[tuple[int, int]] = []
+    for m in re.finditer(CUE, text):
+        k = max(0, bisect_right(starts, m.start()) - 1)
+        lo, hi = max(0, k - reach), min(len(found), k + reach + 1)
+        if out and out[-1][1] >= lo:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
 
 
-def differences(block: list[str], template: list[str]) -> tuple[list[str], list[str]]:
-    """Template words that the block lacks, and block words between its first and last
-    shared word that the template lacks, in order."""
-    steps = [o for o in difflib.SequenceMatcher(None, template, block, autojunk=False).get_opcodes()]
-    shared = [o for o in steps if o[0] == "equal"]
-    if not shared:
-        return list(template), []
-    lo, hi = shared[0][3], shared[-1][4]
-    missing = [w for o, i, j, _, _ in steps if o in ("delete", "replace") for w in template[i:j]]
-    extra = [w for o, _, _, a, b in steps if o in ("insert", "replace") for w in block[max(a, lo) : min(b, hi)]]
-    return missing, extra
+def differences(block: list[str], template: list[str]) -> tuple[list[str], list[str], int, int]:
+    """Template words that the block lacks, block words between its first and last shared
+    word that the template lacks, both in order, and that range of the block. Shared words
+    at the ends that are farther off than they are many do not count as shared."""
+    steps = difflib.SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks()[:-1]
+    while len(steps) > 1:
+        (_, b, n), (_, b2, _) = steps[0], steps[1]
+        (_, y, m), (_, z, k) = steps[-2], steps[-1]
+        if b2 - b - n > n:
+            steps = steps[1:]
+        elif z - y - m > k:
+            steps = steps[:-1]
+        else:
+            break
+    if not steps:
+        return list(template), [], 0, 0
+    lo, hi = steps[0].b, steps[-1].b + steps[-1].size
+    had, ours = {i for s in steps for i in range(s.a, s.a + s.size)}, {i for s in steps for i in range(s.b, s.b + s.size)}
+    return [w for i, w in enumerate(template) if i not in had], [block[i] for i in range(lo, hi) if i not in ours], lo, hi
+
+
+def judge_all(text: str, templates: tuple, most_missing: float, least_saving: float) -> list[tuple]:
+    """(start, end, license, saving, missing, extra) of every confirmed notice, in order.
+
+    Of overlapping ones that with most shared words less differing ones stays; then the
+    longer template, then the name that sorts first.
+    """
+    alone, longest, made, pairs = _packers(templates)
+    found = list(_WORD.finditer(text))
+    own = [m.group().lower() for m in found]
+    confirmed = []
+    for lo, hi in candidates(text, found, max(REACH, longest)):
+        hits: dict[int, Counter] = {}
+        for k in range(lo, hi - 1):
+            for i, at in pairs.get((own[k], own[k + 1]), ()):
+                hits.setdefault(i, Counter())[k - at] += 1
+        for i, begins in hits.items():
+            name, template, theirs, packer, size = made[i]
+            # As many words may differ; each leaves two word pairs fewer.
+            slack = int(most_missing * len(theirs))
+            need = max(1, len(theirs) - 1 - 2 * slack)
+            places = sorted(begins)
+            near = [sum(begins[p] for p in places[bisect_left(places, b - slack) : bisect_right(places, b + slack)]) for b in places]
+            tried: list[int] = []
+            for n, b in sorted(zip(near, places, strict=True), key=lambda x: (-x[0], x[1])):
+                if n < need or any(abs(b - t) <= slack // 2 for t in tried):
+                    continue
+                tried.append(b)
+                first, last = max(lo, b - slack), min(hi, b + len(theirs) + slack)
+                data = text[found[first].start() : found[last - 1].end()].lower().encode()
+                saving = (len(alone.compress(data)) - len(packer.compress(data))) / size
+                if saving < least_saving:
+                    continue
+                missing, extra, x, y = differences(own[first:last], theirs)
+                if y > x and len(missing) + len(extra) <= most_missing * len(theirs):
+                    score = len(theirs) - 2 * len(missing) - len(extra) if missing or extra else len(theirs)
+                    confirmed.append((-score, -len(template), name, first + x, first + y, saving, tuple(missing), tuple(extra)))
+    out: list[tuple] = []
+    taken: set[int] = set()
+    for _, _, name, x, y, saving, missing, extra in sorted(confirmed):
+        if taken.isdisjoint(range(x, y)):
+            taken.update(range(x, y))
+            start, end = found[x].start(), found[y - 1].end()
+            while start and not text[start - 1].isspace():
+                start -= 1
+            while end < len(text) and not text[end].isspace():
+                end += 1
+            out.append((start, end, name, saving, missing, extra))
+    return sorted(out)
 
 
-@functools.lru_cache(1 << 14)
 def judge(block: str, templates: tuple, most_missing: float, least_saving: float) -> tuple | None:
-    """(license, saving, missing, extra) of the winner, or None. Ties in saved bytes go
-    to the longer template, then to the name that sorts first."""
-    alone, made = _packers(templates)
-    data = block.lower().encode()
-    size = len(alone.compress(data))
-    ranked = sorted((len(c.compress(data)) - size, -len(t), name, i) for i, (name, t, _, c) in enumerate(made))
-    own = words(block)
-    for saved, _, name, i in ranked[:3]:
-        if -saved / size < least_saving:
-            return None
-        missing, extra = differences(own, made[i][2])
-        if len(missing) + len(extra) <= most_missing * len(made[i][2]):
-            return name, -saved / size, tuple(missing), tuple(extra)
-    return None
+    """(license, saving, missing, extra) of the longest confirmed notice of a block."""
+    found = judge_all(block, templates, most_missing, least_saving)
+    return max(found, key=lambda f: f[1] - f[0])[2:] if found else None
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, most_missing: float = 0.25, least_saving: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, license, start, end, exact, saving, missing, extra)``: one row per block
-    whose winning template is confirmed; spans are code points, end exclusive.
+    """``(doc_id, license, start, end, exact, saving, missing, extra)``: one row per
+    confirmed notice; spans are code points, end exclusive, and run over line feeds.
 
-    A winner is confirmed if the words it lacks and adds are at most ``most_missing`` of
-    the template's; if the best saver differs too much, the next two are compared.
+    A template is compared where it saves ``least_saving`` of its own compressed size, and
+    confirmed if the words missing and added are at most ``most_missing`` of its words.
     Null texts have none; repeated rows give repeated results.
     """
     fixed = tuple((k, t) for k, own in sorted((templates or TEMPLATES).items()) for t in own)
@@ -123,11 +163,9 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, most_mi
         names = ("doc_id", "license", "start", "end", "exact", "saving", "missing", "extra")
         out: dict = {n: [] for n in names}
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for lo, hi in candidates(text):
-                if found := judge(text[lo:hi], fixed, most_missing, least_saving):
-                    name, saving, missing, extra = found
-                    for n, v in zip(names, (doc, name, lo, hi, not (missing or extra), saving, missing, extra), strict=True):
-                        out[n].append(v)
+            for lo, hi, name, saving, missing, extra in judge_all(text, fixed, most_missing, least_saving):
+                for n, v in zip(names, (doc, name, lo, hi, not (missing or extra), saving, missing, extra), strict=True):
+                    out[n].append(v)
         return out
 
     base = docs.filter(F.col(text_col).rlike(CUE)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

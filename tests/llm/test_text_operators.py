@@ -415,6 +415,16 @@ def test_winner_saves_most_and_brute_force_agrees():
         assert found[0] == name and found[2:] == ((), ())
 
 
+def test_exact_notices_inside_long_prose():
+    fixed = tuple((k, t) for k, own in sorted(licenses.TEMPLATES.items()) for t in own)
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    for name, notice in fixed:
+        text = f"{prose(300)} {notice} {prose(300)}"
+        found = [f for f in licenses.judge_all(text, fixed, 0.25, 0.1) if f[2] == name]
+        assert [(text[f[0] : f[1]], f[4:]) for f in found] == [(notice, ((), ()))]
+
+
 def test_pseudo_likelihood_equals_a_plain_loop():
     v = lmscore.vocabulary(np.bincount(lmscore.word_ids("a b a c d"), minlength=lmscore.VOCABULARY))
     w, texts = lmscore.start(), [None, "", "a", "a b c unknown a b", "d"]
