@@ -425,6 +425,15 @@ def test_exact_notices_inside_long_prose():
         assert [(text[f[0] : f[1]], f[4:]) for f in found] == [(notice, ((), ()))]
 
 
+def test_wrapped_and_double_notices():
+    fixed = tuple((k, t) for k, own in sorted(licenses.TEMPLATES.items()) for t in own)
+    wrapped = "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are\n * met:\n */"
+    header = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    both = "Released under the MIT License. You may choose instead: Licensed under the Apache License, Version 2.0. Released under the MIT License."
+    names = [[f[2] for f in licenses.judge_all(t, fixed, 0.25, 0.1)] for t in (wrapped, header, both)]
+    assert names == [["BSD-3-Clause"], ["GPL-3.0"], ["MIT", "Apache-2.0", "MIT"]]
+
+
 def test_pseudo_likelihood_equals_a_plain_loop():
     v = lmscore.vocabulary(np.bincount(lmscore.word_ids("a b a c d"), minlength=lmscore.VOCABULARY))
     w, texts = lmscore.start(), [None, "", "a", "a b c unknown a b", "d"]
