@@ -1,17 +1,18 @@
 """Masked pseudo-likelihood scores by a bidirectional window network.
 
-Every word of a text is predicted from the two words on each side. Words are ids of a
-hashed vocabulary; an id's probability is that of its class, given by the network, by
-the id's share of its class, given by counts over the whole corpus. Frequent ids have
-classes of their own, the others share one per word ending. The network is one hidden
-layer over the classes of the four neighbours, trained in NumPy: first on a bounded
-sample, then in one pass over all documents, each partition on its own from the same
-start, with the weights averaged by numbers of words.
+Every word of a text is predicted from the two words on each side. Its probability is
+that of its class, given by the network, by the word's share of its class, given by
+counts of every distinct word over the whole corpus. Classes come from hashed ids:
+frequent ids have classes of their own, the others share one per word ending. The
+network is one hidden layer over the classes of the four neighbours, trained in NumPy:
+first on a bounded sample, then in one pass over all documents, each partition on its own
+from the same start, with the weights averaged by numbers of words.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, some
+from .common import arrow_map, cut, some
 
 ENDINGS, PER_ENDING = 32, 2048
 VOCABULARY = ENDINGS * PER_ENDING
@@ -29,6 +30,10 @@ CLASSES = OWN + ENDINGS
 EDGE = CLASSES  # the class of places beyond a text's ends
 WINDOW = (-2, -1, 1, 2)
 HIDDEN, BATCH = 24, 4096
+#: Most words, of at most SHORT bytes each, whose shares every task holds; the others' shares are joined.
+HELD, SHORT = 1 << 16, 64
+#: Distinct words that a task counts before it hands the counts on.
+COUNTED = 1 << 17
 
 
 @dataclass
@@ -39,11 +44,74 @@ class Vocabulary:
 
 def word_ids(text: str | None) -> np.ndarray:
     """Ids of the words of one text; words are parted by ASCII white space."""
+    return word_ids_of((text or "").encode().split())
+
+
+def word_ids_of(words: list[bytes]) -> np.ndarray:
     crc = zlib.crc32
-    words = (text or "").encode().split()
     return np.fromiter(((crc(w[-2:]) % ENDINGS) * PER_ENDING + (crc(w) >> 8) % PER_ENDING for w in words), np.int32, len(words))
 
 
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(word, id, n)``: how often each distinct word occurs in all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            made = list(seen)
+            ids, counts = word_ids_of(made), pa.array(seen.values(), pa.int64())
+            seen.clear()
+            return pa.RecordBatch.from_pydict({"word": pa.array(made, pa.binary()), "id": pa.array(ids), "n": counts})
+
+        for b in batches:
+            for t in b.column(0):
+                seen.update((t.as_py() or "").encode().split())
+                if len(seen) > COUNTED:
+                    yield out()
+        yield out()
+
+    own = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, id int, n long")
+    return own.groupBy("word").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
+
+
+def id_counts(words: DataFrame) -> np.ndarray:
+    """Counts of the ids of ``words(word, id, n)``, as ``count`` gives them."""
+    out = np.zeros(VOCABULARY, np.int64)
+    for i, n in words.groupBy("id").agg(F.sum("n")).collect():
+        out[i] = n
+    return out
+
+
+def shares(words: DataFrame, v: Vocabulary) -> tuple[DataFrame, np.ndarray]:
+    """``(word, n, share)``: log share of each word in its class, and that of an unseen
+    word in each class; every word counts once more, all unseen ones of a class as one."""
+    sums = words.groupBy("id").agg(F.sum(F.col("n") + 1).alias("n"))
+    whole = np.ones(CLASSES)
+    for i, n in sums.collect():
+        whole[v.kind[i]] += n
+    logs = np.log(whole)
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        kinds = v.kind[np.asarray(batch.column(1))]
+        return {"word": batch.column(0), "n": batch.column(2), "share": np.log(np.asarray(batch.column(2)) + 1.0) - logs[kinds]}
+
+    return arrow_map(words, ["word", "id", "n"], "word binary, n long, share double", rows), -logs
+
+
+def held(shared: DataFrame) -> dict[bytes, float]:
+    """Shares of the most frequent short words, HELD at most."""
+    short = shared.filter(F.octet_length("word") <= SHORT).withColumn("step", F.floor(8 * F.log2("n")))
+    steps = sorted(((r[0], r[1]) for r in short.groupBy("step").agg(F.count("*")).collect()), reverse=True)
+    least, total = None, 0
+    for step, n in steps:
+        total += n
+        if total > HELD:
+            break
+        least = step
+    return {bytes(r[0]): r[1] for r in short.filter(F.col("step") >= least).select("word", "share").collect()} if least is not None else {}
+
+
 def count(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """How often each id occurs in all texts; at most VOCABULARY sums reach the driver."""
 
@@ -167,12 +235,13 @@ def fit(docs: DataFrame, v: Vocabulary, sample_texts: int = 1000, sample_chars:
     return [p.reshape(s).astype(np.float32) for p, s in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
 
 
-def log_probabilities(texts: list, w: list[np.ndarray], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probability of every word of ``texts``, and each text's number of words."""
+def log_probabilities(texts: list, w: list[np.ndarray], v: Vocabulary, share: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability of every word of ``texts``, and each text's number of words; the
+    words' log shares of their classes are ``share``, or else those of their ids."""
     kinds, ids, lengths = texts_to_kinds(texts, v)
     near, at = windows(kinds)
     target = kinds[at]
-    out = v.share[ids]
+    out = v.share[ids] if share is None else share.copy()
     for i in range(0, len(at), BATCH):
         _, z = _forward(w, near[:, i : i + BATCH])
         own = z[np.arange(len(z)), target[i : i + BATCH]]
@@ -181,14 +250,33 @@ def log_probabilities(texts: list, w: list[np.ndarray], v: Vocabulary) -> tuple[
     return out, lengths
 
 
-def score(docs: DataFrame, w: list[np.ndarray], v: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, w: list[np.ndarray], v: Vocabulary, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_words, pseudo_loglik, per_word)`` for every row; ``per_word`` is 0 for
-    texts without words (null texts are empty)."""
+    texts without words (null texts are empty). ``words`` are the corpus's ``word_counts``.
+
+    Shares of frequent words are held by every task; the other words of a text are
+    joined with theirs.
+    """
+    shared, unseen = shares(words, v)
+    shared = cut(shared)
+    known = held(shared)
 
     def rows(batch: pa.RecordBatch) -> dict:
-        logp, lengths = log_probabilities(batch.column(1).to_pylist(), w, v)
+        texts = batch.column(1).to_pylist()
+        split = [(t or "").encode().split() for t in texts]
+        share = np.fromiter((known.get(x, 0.0) for own in split for x in own), np.float64, sum(map(len, split)))
+        logp, lengths = log_probabilities(texts, w, v, share)
         sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), logp, minlength=len(lengths))
-        return {"doc_id": batch.column(0), "n_words": lengths, "pseudo_loglik": sums, "per_word": sums / np.maximum(lengths, 1)}
+        rare = [[x for x in own if x not in known] for own in split]
+        kinds = [v.kind[word_ids_of(r)].tolist() for r in rare]
+        return {"doc_id": batch.column(0), "n_words": lengths, "sum": sums, "rare": [[{"word": x, "kind": k} for x, k in zip(r, ks, strict=True)] for r, ks in zip(rare, kinds, strict=True)]}
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return arrow_map(base, ["doc_id", "text"], "doc_id long, n_words long, pseudo_loglik double, per_word double", rows, by="text")
+    schema = "doc_id long, n_words long, sum double, rare array<struct<word: binary, kind: int>>"
+    made = cut(arrow_map(base, ["doc_id", "text"], schema, rows, by="text").withColumn("row", F.monotonically_increasing_id()))
+    rare = made.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.kind")
+    named = rare.join(shared.select("word", "share"), "word", "left")
+    none = F.element_at(F.array(*[F.lit(float(x)) for x in unseen]), F.col("kind") + 1)
+    more = named.groupBy("row").agg(F.sum(F.coalesce("share", none)).alias("more"))
+    whole = made.drop("rare").join(more, "row", "left").withColumn("pseudo_loglik", F.col("sum") + F.coalesce("more", F.lit(0.0)))
+    return whole.select("doc_id", "n_words", "pseudo_loglik", (F.col("pseudo_loglik") / F.greatest("n_words", F.lit(1))).alias("per_word"))

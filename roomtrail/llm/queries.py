@@ -88,5 +88,6 @@ def op7(spark, sf_dir):
 @operation("op8_pseudo_likelihood")
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    words = lmscore.vocabulary(lmscore.count(docs))
-    return lmscore.score(docs, lmscore.fit(docs, words), words)
+    words = cut(lmscore.word_counts(docs))
+    known = lmscore.vocabulary(lmscore.id_counts(words))
+    return lmscore.score(docs, lmscore.fit(docs, known), known, words)

@@ -469,6 +469,40 @@ def test_counts_cover_every_word(spark, docs):
     assert (lmscore.count(docs) == want).all()
 
 
+def test_words_of_one_id_have_their_own_shares(spark, monkeypatch):
+    """Also where no, some or all shares are held by the tasks."""
+    first, seen = None, {}
+    for k in range(10**6):
+        word = b"%dab" % k
+        first = seen.setdefault(int(lmscore.word_ids_of([word])[0]), word)
+        if first != word:
+            break
+    often, junk = first.decode(), word.decode()
+    rows = [(i, f"{often} and {often} or") for i in range(50)] + [(50, f"{junk} and {often} or"), (50, None), (None, often), (51, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = lmscore.word_counts(docs)
+    counts = Counter(w for _, t in rows for w in (t or "").split())
+    assert {bytes(r.word).decode(): r.n for r in words.collect()} == counts
+    assert (lmscore.id_counts(words) == lmscore.count(docs)).all()
+    v = lmscore.vocabulary(lmscore.count(docs))
+    w = lmscore.start()
+    kind = {x: v.kind[lmscore.word_ids(x)[0]] for x in [*counts, "new"]}
+    whole = Counter()
+    for x, n in counts.items():
+        whole[kind[x]] += n + 1
+    share = lambda x: np.log((counts[x] + 1) / (whole[kind[x]] + 1))
+    more = [*rows, (60, f"{often} new")]
+    want = Counter()
+    for i, t in more:
+        own = np.array([share(x) for x in (t or "").split()], np.float64)
+        want[i, len(own), round(float(lmscore.log_probabilities([t], w, v, own)[0].sum()), 3)] += 1
+    assert share(often) > share(junk) + 3
+    for most in (0, 2, 1 << 16):
+        monkeypatch.setattr(lmscore, "HELD", most)
+        got = lmscore.score(spark.createDataFrame(more, "doc_id long, text string"), w, v, words).collect()
+        assert Counter((r.doc_id, r.n_words, round(r.pseudo_loglik, 3)) for r in got) == want
+
+
 def test_media_round_trip(spark, folders, docs):
     want = Counter()
     for r in docs.collect():
