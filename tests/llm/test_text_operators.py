@@ -393,6 +393,12 @@ def test_star_edges_join_long_chains(spark):
     assert got == {(i, 0) for i in range(1, 41)} | {(101, 100)}
 
 
+def test_document_and_attention_capacities_bind():
+    fit = lambda lengths, docs, attention: len(set(packing.best_fit(np.array(lengths), 100, docs, attention, (1.0, 1e-3, 1e-3), "norm")[0].tolist()))
+    assert fit([10] * 6, 100, 10000) == 1 and fit([10] * 6, 2, 10000) == 3
+    assert fit([50, 50], 100, 10000) == 1 and fit([50, 50], 100, 4000) == 2
+
+
 # --- licenses, language model, media ------------------------------------------------------
 
 
