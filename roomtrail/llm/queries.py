@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, htmltree, langid, licenses, lmscore, media, packing, secretscan, simhash
+from . import ann, bpe, exactdedup, htmltree, langid, licenses, lmscore, media, packing, resample, secretscan, simhash
 from .common import cut, table
 from .registry import operation
 
@@ -91,3 +91,15 @@ def op8(spark, sf_dir):
     words = cut(lmscore.word_counts(docs))
     known = lmscore.vocabulary(lmscore.id_counts(words))
     return lmscore.score(docs, lmscore.fit(docs, known), known, words)
+
+
+@operation("op12_importance_resampling")
+def op12(spark, sf_dir):
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@operation("op13_exact_dedup", exactdedup.oracle())
+def op13(spark, sf_dir):
+    found = exactdedup.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
