@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exactdedup, htmltree, langid, licenses, lmscore, media, packing, resample, secretscan, simhash
+from . import ann, bpe, exactdedup, htmltree, langid, licenses, lmscore, media, packing, repair, resample, secretscan, simhash
 from .common import cut, table
 from .registry import operation
 
@@ -93,6 +93,19 @@ def op8(spark, sf_dir):
     return lmscore.score(docs, lmscore.fit(docs, known), known, words)
 
 
+@operation("op11_conversation_repair")
+def op11(spark, sf_dir):
+    rows = repair.normal(table(spark, sf_dir, "conversations"))
+    broken = repair.damaged(rows)
+    found = repair.repair(broken, F.col("copies"))
+    every = rows.select("conv_id").distinct()
+    known = repair.audit(found).withColumnRenamed("conv_id", "_a")
+    texts = repair.repaired_digests(broken, found).withColumnRenamed("conv_id", "_b")
+    out = every.join(known, F.col("conv_id").eqNullSafe(F.col("_a")), "left").join(texts, F.col("conv_id").eqNullSafe(F.col("_b")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 @operation("op12_importance_resampling")
 def op12(spark, sf_dir):
     found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
