@@ -2,19 +2,19 @@
 
 In one dimension clusters are contiguous in sorted order, so everything is said by
 running counts and sums of a session's distinct values. Two clusters are the best
-cut of all, found in one pass over those sums at any size. More clusters start from
-nested best cuts and take Lloyd steps until no value changes its cluster."""
+cut of all, found in one pass over those sums at any size. More clusters are found by
+dynamic programming over places that close in on the cuts."""
 
 from __future__ import annotations
 
 import functools
-import itertools
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..env import durable
 from ..functions.signal import finite
@@ -27,48 +27,37 @@ def histogram(rows: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
 
 
 STEPS_PER_JOB = 6
-#: Starts of more than two clusters: every choice of cuts among these shares of the rows, ...
-START_CUTS = tuple(i / 8 for i in range(1, 8))
-#: ... of which this many per key and k go on after the first steps.
-KEPT_STARTS = 6
+#: Places of a key's sorted values at which cuts are first tried, and new places on either
+#: side of a cut that is looked at more closely.
+PLACES, CLOSER = 1024, 128
 
 
-def kmeans1d_ordered(hist: DataFrame, keys: Sequence[str], ks: Sequence[int], rounds: int = 600) -> DataFrame:
+def kmeans1d_ordered(hist: DataFrame, keys: Sequence[str], ks: Sequence[int]) -> DataFrame:
     """Model per (keys, k): ``uppers`` (largest value of every cluster but the last)
     and ``centers``, both ascending, and whether it ``converged``. Keys with fewer
     than k distinct values get no model. ``hist`` comes from :func:`histogram`.
 
-    k = 2 is the exact optimum (ties: the smallest cut). Larger k are the best of many
-    Lloyd runs, from nested best cuts and from all cuts at eighths of the rows.
-    ``rounds`` only bounds a run that never ends."""
+    k = 2 is the exact optimum (ties: the smallest cut). Larger k are the exact optimum
+    for keys of up to PLACES distinct values; see :func:`_best_cuts` for longer ones."""
     keys, ks = list(keys), sorted(ks)
     centred = hist.join(hist.groupBy(*keys).agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("_mean")), keys)
-    centred = centred.withColumn("_s", (F.col("x") - F.col("_mean")) * F.col("n"))
-    pre = durable(prefix_by_value(centred, keys, "x", {"cn": "n", "cs": "_s"}).select(*keys, "x", F.col("n").cast("double").alias("n"), "_s", F.col("cn").cast("double").alias("cn"), "cs"))
-    ends = centred.groupBy(*keys).agg(F.max("x").alias("x"), F.sum("n").cast("double").alias("cn"), F.sum("_s").alias("cs"), F.first("_mean").alias("_mean"))
-    cuts = ends.select(*keys, "_mean", F.array(F.struct("x", "cn", "cs")).alias("_cuts"))
-    found = []
-    for k in range(2, max(ks) + 1):
-        cuts = durable(_cut_again(pre, cuts, keys))
-        if k in ks:
-            found.append((k, _as_model(cuts.withColumn("k", F.lit(k)), keys)))
-    done = [m.withColumn("converged", F.lit(True)) for k, m in found if k == 2]
-    more = [k for k, _ in found if k > 2]
+    centred = centred.withColumns({"_s": (F.col("x") - F.col("_mean")) * F.col("n"), "_one": F.lit(1)})
+    sums = prefix_by_value(centred, keys, "x", {"cn": "n", "cs": "_s", "rank": "_one"})
+    pre = durable(sums.select(*keys, "x", "_mean", "rank", F.col("cn").cast("double").alias("cn"), "cs"))
+    done = []
+    if 2 in ks:
+        ends = centred.groupBy(*keys).agg(F.max("x").alias("x"), F.sum("n").cast("double").alias("cn"), F.sum("_s").alias("cs"), F.first("_mean").alias("_mean"))
+        cuts = _cut_again(pre, ends.select(*keys, "_mean", F.array(F.struct("x", "cn", "cs")).alias("_cuts")), keys)
+        done.append(_as_model(cuts.withColumn("k", F.lit(2)), keys).withColumn("converged", F.lit(True)))
+    more = [k for k in ks if k > 2]
     if more:
-        shares = F.percentile("x", F.array(*[F.lit(p) for p in START_CUTS]), F.col("n").cast("bigint"))
-        quantiles = pre.groupBy(*keys).agg(shares.alias("_q"))
-        choices = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(i) for i in c]).alias("c")) for k in more for c in itertools.combinations(range(len(START_CUTS)), k - 1)])
-        grid = quantiles.select(*keys, "_q", F.inline(choices)).select(*keys, "k", F.transform("c", lambda i: F.get("_q", i)).alias("uppers"))
-        nested = [m.select(*keys, "k", "uppers") for k, m in found if k > 2]
-        starts = functools.reduce(DataFrame.unionByName, nested, grid).distinct()
-        done.append(_lloyd(pre.select(*keys, "x", "n", "_s"), starts.join(functools.reduce(DataFrame.unionByName, nested).select(*keys, "k"), [*keys, "k"], "left_semi"), keys, rounds))
+        done.append(_best_cuts(pre, keys, more))
     return functools.reduce(DataFrame.unionByName, done)
 
 
 def _cut_again(pre: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
     """One more cut per key, where the squared error falls most; keys without one go."""
-    at = F.size(F.filter("_cuts", lambda c: c["x"] < F.col("x")))  # the segment a value lies in
-    rows = pre.join(cuts, keys).withColumn("_at", at)
+    rows = pre.drop("_mean").join(cuts, keys).withColumn("_at", F.size(F.filter("_cuts", lambda c: c["x"] < F.col("x"))))  # the segment a value lies in
     on = F.when(F.col("_at") > 0, F.col("_cuts")[F.col("_at") - 1]["cn"]).otherwise(0.0)
     os = F.when(F.col("_at") > 0, F.col("_cuts")[F.col("_at") - 1]["cs"]).otherwise(0.0)
     end = F.col("_cuts")[F.col("_at")]
@@ -85,34 +74,71 @@ def _as_model(cuts: DataFrame, keys: list[str]) -> DataFrame:
     return cuts.select(*keys, "k", F.expr("slice(_cuts.x, 1, size(_cuts) - 1)").alias("uppers"), centers.alias("centers"))
 
 
-def _lloyd(hist: DataFrame, starts: DataFrame, keys: list[str], rounds: int) -> DataFrame:
-    """Lloyd steps from all ``starts(keys, k, uppers)`` at once until no upper changes; the
-    best converged run per (keys, k). Several steps are chained per job; the driver sees
-    only whether a run still moves. A run that empties a cluster is given up."""
-    on, run = [*keys, "k"], [*keys, "k", "start"]
-    model = starts.withColumn("start", F.col("uppers")).withColumns({"mids": F.col("uppers"), "centers": F.lit(None).cast("array<double>"), "gain": F.lit(None).cast("double"), "converged": F.lit(False)})
-    better = Window.partitionBy(*on).orderBy(F.desc(F.round("gain", 9)), "uppers")
-    for job in range(0, rounds, STEPS_PER_JOB):
-        for _ in range(STEPS_PER_JOB):
-            seen = hist.join(model.filter("not converged").select(*run, "mids"), keys).withColumn("_l", F.size(F.filter("mids", lambda c: c < F.col("x"))))
-            per = seen.groupBy(*run, "_l").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("c"), F.max("x").alias("hi"), (F.sum("_s") * F.sum("_s") / F.sum("n")).alias("e"))
-            new = per.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct("_l", "c", "hi"))).alias("_p"), F.sum("e").alias("_e"))
-            new = new.select(*run, F.col("_p.c").alias("_c"), F.expr("slice(_p.hi, 1, size(_p) - 1)").alias("_u"), "_e")
-            joined = model.join(new, run, "left")
-            ran = F.col("_c").isNotNull()
-            mids = F.expr("transform(sequence(1, size(_c) - 1), i -> (_c[i - 1] + _c[i]) / 2)")
-            pick = lambda a, b: F.when(ran, a).otherwise(F.col(b)).alias(b)
-            model = joined.filter(~ran | (F.size("_c") == F.col("k"))).select(
-                *run, pick(F.when(F.size("_c") > 1, mids), "mids"), pick(F.col("_c"), "centers"), pick(F.col("_e"), "gain"),
-                (F.col("converged") | (F.col("_u") == F.col("uppers"))).alias("converged"), pick(F.col("_u"), "uppers"),
-            )
-        # equal uppers are one run from here on
-        model = model.dropDuplicates([*on, "uppers"]) if job else model.withColumn("_r", F.row_number().over(better)).filter(F.col("_r") <= KEPT_STARTS).drop("_r")
-        model = durable(model)
-        if model.filter("not converged").isEmpty():
+def optimal_cuts(cn: np.ndarray, cs: np.ndarray, k: int) -> list[int]:
+    """Places of the k - 1 cuts that leave the least squared error, given running counts and
+    sums at all places where one may cut (the last place is the end). Ties: smaller places."""
+    n, s = np.concatenate([[0.0], cn]), np.concatenate([[0.0], cs])
+    m = len(cn)
+    best = np.full(m + 1, -np.inf)
+    best[1:] = s[1:] ** 2 / n[1:]
+    chosen = []
+    for j in range(2, k + 1):
+        new, at = np.full(m + 1, -np.inf), np.zeros(m + 1, np.int64)
+        for lo in range(j, m + 1, 256):  # a strip of ends at a time
+            ends = np.arange(lo, min(lo + 256, m + 1))
+            cut = np.arange(j - 1, ends[-1])
+            size = n[ends][None, :] - n[cut][:, None]
+            total = s[ends][None, :] - s[cut][:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where(size > 0, best[cut][:, None] + total * total / size, -np.inf)
+            pick = gain.argmax(axis=0)
+            new[ends], at[ends] = gain[pick, np.arange(len(ends))], cut[pick]
+        chosen.append(at)
+        best = new
+    cuts, end = [], m
+    for at in reversed(chosen):
+        end = int(at[end])
+        cuts.append(end - 1)
+    return cuts[::-1]
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _cuts_of(cn: pd.Series, cs: pd.Series, k: pd.Series) -> pd.Series:
+    return pd.Series([optimal_cuts(np.asarray(a), np.asarray(b), int(c)) for a, b, c in zip(cn, cs, k)])
+
+
+def _spread(rank: str, low: str, width: str, places: int) -> str:
+    """Whether a rank is one of about ``places`` evenly spread ones of the ``width`` after ``low``."""
+    return f"(({rank} - {low}) * {places}) div {width} <> (({rank} - {low} - 1) * {places}) div {width}"
+
+
+def _best_cuts(pre: DataFrame, keys: list[str], ks: Sequence[int], rounds: int = 12) -> DataFrame:
+    """The best k - 1 cuts per (keys, k) by dynamic programming over running sums.
+
+    Cuts may fall at PLACES evenly spread ranks of a key's distinct values, which are all of
+    them for most keys. Where a cut has values between its place and the places beside it,
+    CLOSER places on either side join in and the program runs again, until every cut has its
+    neighbouring values for places: no value then lies on the wrong side of a cut. A task
+    sees a key's places, never its values; the work grows with the logarithm of their number."""
+    on = [*keys, "k"]
+    place = F.struct("rank", "x", "cn", "cs")
+    total = pre.groupBy(*keys).agg(F.max("rank").alias("_d"))
+    first = pre.join(total, keys).filter(F.expr(_spread("rank", "0", "_d", PLACES)))
+    runs = first.groupBy(*keys).agg(F.first("_mean").alias("_mean"), F.array_sort(F.collect_list(place)).alias("_p"))
+    runs = runs.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks]))).filter(F.size("_p") >= F.col("k"))
+    sides = "flatten(transform(_c, i -> array(struct(if(i = 0, 0L, _p[i - 1].rank) AS lo, _p[i].rank AS hi), struct(_p[i].rank AS lo, _p[i + 1].rank AS hi))))"
+    for _ in range(rounds):
+        runs = durable(runs.withColumn("_c", _cuts_of("_p.cn", "_p.cs", "k")).withColumn("_w", F.expr(f"array_distinct(filter({sides}, w -> w.hi - w.lo > 1))")))
+        open_ = runs.filter(F.size("_w") > 0)
+        if open_.isEmpty():
             break
-    best = model.withColumn("_r", F.row_number().over(better)).filter("_r = 1")
-    return best.select(*on, "uppers", "centers", "converged")
+        inside = f"exists(_w, w -> rank > w.lo AND rank < w.hi AND {_spread('rank', 'w.lo', '(w.hi - w.lo)', CLOSER)})"
+        extra = pre.drop("_mean").join(open_.select(*on, "_w"), keys).filter(F.expr(inside)).groupBy(*on).agg(F.collect_list(place).alias("_more"))
+        nearer = F.when(F.col("_more").isNull(), F.col("_p")).otherwise(F.array_sort(F.array_union("_p", "_more")))
+        runs = runs.drop("_c", "_w").join(extra, on, "left").withColumn("_p", nearer).drop("_more")
+    ends = F.expr("concat(transform(_c, i -> _p[i]), array(_p[size(_p) - 1]))")
+    model = runs.select(*on, "_mean", F.transform(ends, lambda p: F.struct(p["x"].alias("x"), p["cn"].alias("cn"), p["cs"].alias("cs"))).alias("_cuts"), (F.size("_w") == 0).alias("converged"))
+    return _as_model(model, keys).join(model.select(*on, "converged"), on)
 
 
 def label_of(x: Column, uppers: Column) -> Column:

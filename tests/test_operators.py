@@ -1,6 +1,7 @@
 """Operators against brute force on small inputs."""
 
 import datetime as dt
+import itertools
 import random
 
 import numpy as np
@@ -35,14 +36,31 @@ def test_two_clusters_are_optimal_at_any_size(spark):
 
 def test_more_clusters_are_fixed_points(spark):
     rng = np.random.default_rng(2)
-    x = np.concatenate([rng.normal(m, 0.5, 400) for m in (0, 2, 5, 6)])
-    rows = spark.createDataFrame([(0, float(v)) for v in x], "session_id int, x double")
-    for r in cluster.kmeans1d_ordered(cluster.histogram(rows, ["session_id"], "x"), ["session_id"], [3, 4]).collect():
-        c = np.array(r.centers)
+    data = {0: np.concatenate([rng.normal(m, 0.5, 700) for m in (0, 2, 5, 6)]), 1: rng.gamma(1, 1, 300), 2: np.array([1.0, 1.0, 2.0]), 3: np.array([1.0, 2.0, 4.0])}
+    rows = spark.createDataFrame([(k, float(v)) for k, own in data.items() for v in own], "session_id int, x double")
+    got = cluster.kmeans1d_ordered(cluster.histogram(rows, ["session_id"], "x"), ["session_id"], [3, 4]).collect()
+    assert {(r.session_id, r.k) for r in got} == {(0, 3), (0, 4), (1, 3), (1, 4), (3, 3)}  # a cluster needs a value of its own
+    for r in got:
+        x, c = data[r.session_id], np.array(r.centers)
         label = np.abs(x[:, None] - c[None, :]).argmin(axis=1)
         assert r.converged and len(c) == r.k
         assert np.allclose([x[label == i].mean() for i in range(r.k)], c, atol=1e-9)
         assert r.uppers == [x[label == i].max() for i in range(r.k - 1)]
+        # the optimum over all values, not only over the places that were looked at
+        values = np.sort(x) - x.mean()
+        cuts = cluster.optimal_cuts(np.arange(1.0, len(x) + 1), np.cumsum(values), r.k)
+        error = lambda at: sum(((v - v.mean()) ** 2).sum() for v in np.split(values, [i + 1 for i in at]))
+        assert np.isclose(error(cuts), error([int((x <= u).sum()) - 1 for u in r.uppers]))
+
+
+def test_optimal_cuts_equal_all_choices():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        x = np.sort(rng.normal(0, 1, 11))
+        x -= x.mean()
+        for k in (2, 3, 4):
+            choices = {c: sum(((v - v.mean()) ** 2).sum() for v in np.split(x, [i + 1 for i in c])) for c in itertools.combinations(range(10), k - 1)}
+            assert tuple(cluster.optimal_cuts(np.arange(1.0, 12), np.cumsum(x), k)) == min(choices, key=choices.get)
 
 
 def test_vector_clusters_of_a_key_depend_on_it_alone(spark):
