@@ -36,12 +36,10 @@ def frequent(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
     ``digests(digest)``, with every item in more than about 7 / ``counters`` of all
     rows among them. Sketches are merged FAN_IN at a time, so that no task meets more
     than that many, however many partitions there are."""
-    width = F.spark_partition_id()
-    level = digests.select(_item(F.col("digest")).alias("_item"), width.alias("_part")).groupBy("_part").agg(F.expr(f"approx_top_k_accumulate(_item, {counters})").alias("_sketch"))
-    for _ in range(3):  # 64^4 partitions
+    level = digests.select(_item(F.col("digest")).alias("_item"), F.spark_partition_id().alias("_part")).groupBy("_part").agg(F.expr(f"approx_top_k_accumulate(_item, {counters})").alias("_sketch"))
+    for _ in range(4):  # one sketch is left of up to FAN_IN ** 4 partitions
         level = level.groupBy(F.floor(F.col("_part") / FAN_IN).alias("_part")).agg(F.expr(f"approx_top_k_combine(_sketch, {counters})").alias("_sketch"))
-    whole = level.agg(F.expr(f"approx_top_k_combine(_sketch, {counters})").alias("_sketch"))
-    return whole.select(F.explode(F.expr(f"approx_top_k_estimate(_sketch, {counters}).item")).alias("_item")).filter("_item IS NOT NULL")
+    return level.select(F.explode(F.expr(f"approx_top_k_estimate(_sketch, {counters}).item")).alias("_item")).filter("_item IS NOT NULL")
 
 
 def _judged(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:

@@ -62,6 +62,18 @@ def test_frequent_texts_are_found_by_the_sketch(spark):
     assert rows.filter("digest = unhex(sha2('1', 256))").select(exactdedup._item(rows.digest)).first()[0] in found
 
 
+def test_sketches_with_more_partitions_than_rows(spark):
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = spark.range(60).selectExpr("unhex(sha2(cast(id % 3 as string), 256)) AS digest").repartition(30)
+        assert exactdedup.frequent(rows, 64).count() == 3
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def test_exact_dedup_uses_no_python(spark, docs):
     plan = exactdedup.classes(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "MapIn" not in plan
