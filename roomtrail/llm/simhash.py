@@ -12,7 +12,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, cut, plain, slices, star_edges
@@ -181,10 +181,10 @@ def _profile(text: str | None, size: int) -> tuple[int, bytes]:
     return len(h), bins.astype(np.uint8).tobytes() if bins.max() < 256 else b""
 
 
-def _open_pairs(left: list[dict], right: list[dict], similarity: float) -> set[tuple[str, str]]:
+def _open_pairs(left: list[dict], right: list[dict], similarity: float) -> set[tuple[int, int]]:
     """Pairs of different groups whose sizes and counters allow ``similarity``; a pair
     that reaches it is never left out."""
-    group = np.array([m["root"] for m in right], dtype=object)
+    group = np.array([m["root"] for m in right], dtype=np.int64)
     size = np.array([m["size"] for m in right], dtype=np.int64)
     known = np.array([bool(m["bins"]) for m in right], dtype=bool)
     bins = np.frombuffer(b"".join(m["bins"] or bytes(BINS) for m in right), np.uint8).reshape(-1, BINS)
@@ -205,9 +205,9 @@ def _jaccard(a: str, b: str, size: int) -> float:
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(node, group, first, rows, keep)``: one row per distinct text (``node`` is
-    its MD5) with its group of near-copies, its smallest id, the number of rows
-    with that id and text, and whether it is the one that stays.
+    """``(node, digest, group, first, rows, keep)``: one row per distinct text (``digest``
+    is its MD5, ``node`` a number) with its group of near-copies, its smallest id, the
+    number of rows with that id and text, and whether it is the one that stays.
 
     Whole-document fingerprints meet under the covering masks (radius 2), and the
     SimHash of each of LANES shingle samples under the mask of radius 0, since
@@ -217,27 +217,36 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     of the bucket first; then all texts of a bucket that are still in different groups
     are compared with each other, whatever their fingerprints.
     Null texts count as empty; wordless texts are copies of each other only if equal.
+
+    Only numbers meet in buckets. The texts of nodes that share a bucket with another one
+    are fetched once and kept; all further steps read those.
     """
 
     def sketch(batch: pa.RecordBatch) -> dict:
-        out: dict = {"node": [], "doc_id": batch.column(0), "fp": [], "keys": []}
+        out: dict = {"digest": [], "doc_id": batch.column(0), "fp": [], "keys": []}
         for t in batch.column(1).to_pylist():
             fp, lanes = _sketch(words_of(t), shingle)
-            out["node"].append(hashlib.md5((t or "").encode()).hexdigest())
+            out["digest"].append(hashlib.md5((t or "").encode()).digest())
             out["fp"].append(_signed(fp))
             out["keys"].append([_signed(fp & m) for m in covering_masks(2)] + lanes if lanes else [])
         return out
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = cut(arrow_map(base, ["doc_id", "text"], "node string, doc_id long, fp long, keys array<long>", sketch))
-    rows = sketches.groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
-    nodes = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rows")).alias("own"))
-    nodes = nodes.select("node", F.col("own.doc_id").alias("first"), F.col("own.rows").alias("rows"))
-    places = sketches.select("node", "fp", F.posexplode("keys").alias("v", "key")).distinct()
-    sizes = places.groupBy("v", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    sketches = cut(arrow_map(base, ["doc_id", "text"], "digest binary, doc_id long, fp long, keys array<long>", sketch))
+    rows = sketches.groupBy("digest", "doc_id").agg(F.count("*").alias("rows"))
+    firsts = rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rows")).alias("own"))
+    firsts = firsts.select("digest", F.col("own.doc_id").alias("first"), F.col("own.rows").alias("rows"))
+    # Equal texts have equal sketches.
+    nodes = cut(firsts.join(sketches.select("digest", "fp", "keys").dropDuplicates(["digest"]), "digest").withColumn("node", F.monotonically_increasing_id()))
+    places = nodes.select("node", F.posexplode("keys").alias("v", "k")).select("node", F.xxhash64("v", "k").alias("key"))
+    sizes = places.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = cut(places.join(sizes, "key"))
+    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "digest", "first", "rows")
+    texts = cut(_first_rows(base.withColumn("digest", _digest(F.col("text"))), wanted).join(wanted.select("node", "digest"), "digest").select("node", "text"))
     # Large buckets are dealt out at random, in another way in each table.
-    part = F.pmod(F.xxhash64("node", "v"), F.ceil(F.col("n") / SMALL))
-    met = places.join(sizes, ["v", "key"]).groupBy("v", "key", part.alias("part")).agg(F.collect_list(F.struct("node", "fp")).alias("members"))
+    place = F.xxhash64("node", "key")
+    part = F.pmod(place, F.ceil(F.col("n") / SMALL))
+    buckets = met.join(nodes.select("node", "fp"), "node").groupBy("key", part.alias("part")).agg(F.collect_list(F.struct("node", "fp")).alias("members"))
 
     def lead(batch: pa.RecordBatch) -> dict:
         pairs = set()
@@ -256,10 +265,6 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
                     led.append(i)
         return {"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}
 
-    def texts(wanted: DataFrame) -> DataFrame:
-        own = base.withColumn("node", F.md5(F.coalesce("text", F.lit("")))).join(wanted, "node", "left_semi")
-        return _first_rows(own, nodes).select("node", "text")
-
     def verify(batch: pa.RecordBatch) -> dict:
         out: dict = {"a": [], "b": []}
         for piece in slices(batch, "ta"):
@@ -271,31 +276,30 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
         return out
 
     def verified(pairs: DataFrame) -> DataFrame:
-        known = texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        full = pairs.join(known.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(known.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return arrow_map(full, ["a", "b", "ta", "tb"], "a string, b string", verify)
+        left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        full = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        return arrow_map(full, ["a", "b", "ta", "tb"], "a long, b long", verify)
 
-    pairs = cut(arrow_map(met, ["members"], "a string, b string", lead).distinct())
+    pairs = cut(arrow_map(buckets, ["members"], "a long, b long", lead).distinct())
     roots = star_edges(verified(pairs))
     # What is still in different groups of a bucket; members of its largest group need not meet each other.
-    labelled = places.select("node", "v", "key").join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("v", "key", "root").agg(F.count("*").alias("own")).groupBy("v", "key")
-    mixed = mixed.agg(F.sum("own").alias("n"), F.max(F.struct("own", "root")).alias("main")).filter("n > main.own")
-    members = cut(labelled.join(mixed, ["v", "key"]).select("node", "v", "key", "root", "n", F.col("main.own").alias("largest"), (F.col("root") != F.col("main.root")).alias("other")))
+    labelled = met.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = labelled.groupBy("key", "root").agg(F.count("*").alias("own")).groupBy("key")
+    mixed = mixed.agg(F.max(F.struct("own", "root")).alias("main"), F.sum("own").alias("all")).filter("`all` > main.own")
+    members = cut(labelled.join(mixed, "key").select("node", "key", "root", "n", F.col("main.own").alias("largest"), (F.col("root") != F.col("main.root")).alias("other")))
 
     def profile(batch: pa.RecordBatch) -> dict:
         made = [_profile(t, shingle) for t in batch.column(1).to_pylist()]
         return {"node": batch.column(0), "size": [m[0] for m in made], "bins": [m[1] for m in made]}
 
-    profiles = arrow_map(texts(members.select("node").distinct()), ["node", "text"], "node string, size long, bins binary", profile)
+    profiles = arrow_map(texts.join(members.select("node").distinct(), "node", "left_semi"), ["node", "text"], "node long, size long, bins binary", profile)
     members = members.join(cut(profiles), "node")
     # Every part of the others meets every part of the bucket.
     others, whole = F.ceil((F.col("n") - F.col("largest")) / SMALL).cast("int"), F.ceil(F.col("n") / SMALL).cast("int")
-    place = F.xxhash64("node", "v")
-    rows_of = [F.col(c) for c in ("v", "key", "node", "root", "size", "bins")]
+    rows_of = [F.col(c) for c in ("key", "node", "root", "size", "bins")]
     ours = members.filter("other").select(*rows_of, F.lit(True).alias("first"), F.pmod(place, others).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), whole - 1)).alias("j"))
     theirs = members.select(*rows_of, F.lit(False).alias("first"), F.pmod(place, whole).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), others - 1)).alias("i"))
-    blocks = ours.unionByName(theirs).groupBy("v", "key", "i", "j").agg(F.collect_list(F.struct("first", "node", "root", "size", "bins")).alias("members"))
+    blocks = ours.unionByName(theirs).groupBy("key", "i", "j").agg(F.collect_list(F.struct("first", "node", "root", "size", "bins")).alias("members"))
 
     def meet(batch: pa.RecordBatch) -> dict:
         found = set()
@@ -304,19 +308,23 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
             found |= _open_pairs([m for m in both if m["first"]], [m for m in both if not m["first"]], similarity)
         return {"a": [p[0] for p in found], "b": [p[1] for p in found]}
 
-    left = cut(arrow_map(blocks, ["members"], "a string, b string", meet).distinct().join(pairs, ["a", "b"], "left_anti"))
+    left = cut(arrow_map(blocks, ["members"], "a long, b long", meet).distinct().join(pairs, ["a", "b"], "left_anti"))
     roots = star_edges(roots.union(verified(left)))
-    placed = nodes.join(roots.select(F.col("a").alias("node"), F.col("b").alias("group")), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    placed = nodes.drop("fp", "keys").join(roots.select(F.col("a").alias("node"), F.col("b").alias("group")), "node", "left").withColumn("group", F.coalesce("group", "node"))
     # The group's row with the smallest id stays (ids before nulls, then by digest).
-    best = placed.groupBy("group").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("best"))
-    return placed.join(best, "group").select("node", "group", "first", "rows", (F.col("best.node") == F.col("node")).alias("keep"))
+    best = placed.groupBy("group").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest")).alias("best"))
+    return placed.join(best, "group").select("node", "digest", "group", "first", "rows", (F.col("best.digest") == F.col("digest")).alias("keep"))
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def _first_rows(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs(node, ...)`` that ``nodes(node, first, rows)`` names, one per node."""
-    named = nodes.select(F.col("node").alias("_node"), "first", "rows")
-    own = docs.join(named, (F.col("node") == F.col("_node")) & F.col(id_col).cast("long").eqNullSafe(F.col("first")))
-    repeated = own.filter("rows > 1").dropDuplicates(["node"])
+    """The rows of ``docs(digest, ...)`` that ``nodes(digest, first, rows)`` names, one per digest."""
+    named = nodes.select(F.col("digest").alias("_digest"), "first", "rows")
+    own = docs.join(named, (F.col("digest") == F.col("_digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("first")))
+    repeated = own.filter("rows > 1").dropDuplicates(["digest"])
     return own.filter("rows = 1").union(repeated).select(*docs.columns)
 
 
@@ -325,5 +333,5 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     own, columns = plain(docs)
     own_id, own_text = (own.columns[columns.index(c)] for c in (id_col, text_col))
     keep = near_groups(docs, shingle, similarity, id_col, text_col).filter("keep")
-    marked = own.withColumn("node", F.md5(F.coalesce(F.col(own_text), F.lit(""))))
+    marked = own.withColumn("digest", _digest(F.col(own_text)))
     return _first_rows(marked, keep, own_id).select(*own.columns).toDF(*columns)
