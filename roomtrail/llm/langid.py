@@ -162,7 +162,7 @@ class Reader:
         steps, width = x.shape
         e = self.m.embedding
         h = np.zeros((size, width), np.float32)
-        out = np.empty((steps, size, width), np.float32)
+        out = np.zeros((steps, size, width), np.float32)  # also places after a window's end
         for t in range(steps) if k == 0 else range(steps - 1, -1, -1):
             n = counts[t]
             a = w @ e[x[t, :n]].T
@@ -252,9 +252,25 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     return arrow_map(base, base.columns, f"{kept}{names[0]} string, {names[1]} double, {names[2]} double", rows, by="_text")
 
 
+def calibrated(model: Model | None, rows: list[tuple[str, str]], margin: float = 0.9) -> float:
+    """A score that no labelled text falls below: ``margin`` times the lowest score of those
+    of the (label, text) pairs that have a letter; 0 without any."""
+    texts = [t.encode() for _, t in rows if any(map(str.isalpha, t))]
+    if model is None or not texts:
+        return 0.0
+    data, size = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    ends = np.cumsum(size)
+    prob, _ = Reader(model).pool(data, ends - size, ends)
+    return float(margin * (prob.max(axis=1) / size).min())
+
+
 def known_language(docs: DataFrame, model: Model | None, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose language the model tells: not ``und`` and of ``least_score`` or more."""
+    """Rows of ``docs`` whose language the model tells: not ``und`` and of ``least_score`` or
+    more. Without a model all texts with a letter stay."""
     own, columns = plain(docs)
     keep = tuple(own.columns)
-    found = predict(own, model, own.columns[columns.index(text_col)], keep, ("_lang", "_score", "_agreement"))
+    text = own.columns[columns.index(text_col)]
+    if model is None:
+        return own.filter(F.col(text).rlike(r"\p{L}")).toDF(*columns)
+    found = predict(own, model, text, keep, ("_lang", "_score", "_agreement"))
     return found.filter((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least_score)).select(*keep).toDF(*columns)

@@ -112,6 +112,28 @@ def test_windows_side_by_side_equal_one_text_alone():
             assert np.allclose(alone[0], together[i], atol=1e-3)
 
 
+def test_places_after_a_window_count_for_nothing():
+    model = langid.train([("a", "abc abd " * 40), ("b", "xyz xyy " * 40)], langid.Training(steps=20))
+    reader = langid.Reader(model)
+    empty = np.empty
+    try:  # fresh memory may hold anything
+        np.empty = lambda *a, **k: np.full(a[0], np.nan, *a[1:])
+        prob, _ = reader.pool(np.frombuffer(b"abc" + b"x" * 100, np.uint8), np.array([0, 3]), np.array([3, 103]))
+    finally:
+        np.empty = empty
+    assert np.isfinite(prob).all() and np.allclose(prob.sum(axis=1), [3, 100], atol=1e-3)
+
+
+def test_calibration_keeps_labelled_texts(spark):
+    rows = [("a", "abc abd " * 40), ("b", "xyz xyy " * 40), ("b", "xyz"), ("a", "12")]
+    model = langid.train(rows, langid.Training(steps=60))
+    least = langid.calibrated(model, rows)
+    assert 0 < least < 1 and langid.calibrated(None, rows) == 0 == langid.calibrated(model, [("a", "1")])
+    docs = spark.createDataFrame([*rows, (None, "99"), (None, None)], "lang string, text string")
+    assert sorted(r.text for r in langid.known_language(docs, model, least).collect()) == sorted(t for _, t in rows if t != "12")
+    assert langid.known_language(docs, None).count() == 3  # no model: all with letters
+
+
 # --- tokens ----------------------------------------------------------------------------
 
 
