@@ -11,7 +11,7 @@ from the same start, with the weights averaged by numbers of words.
 
 from __future__ import annotations
 
-import zlib
+import functools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string  # noqa: PLC2701
 
 from .common import arrow_map, cut, some
 
@@ -33,7 +35,11 @@ HIDDEN, BATCH = 24, 4096
 #: Most words, of at most SHORT bytes each, whose shares every task holds; the others' shares are joined.
 HELD, SHORT = 1 << 16, 64
 #: Distinct words that a task counts before it hands the counts on.
-COUNTED = 1 << 17
+COUNTED = 1 << 19
+#: Bytes whose words are given ids at a time.
+HASHED = 1 << 19
+_SPACES = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_BASE = 0x9E3779B97F4A7C15
 
 
 @dataclass
@@ -42,14 +48,56 @@ class Vocabulary:
     share: np.ndarray  # log share of every id in its class
 
 
+@functools.lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE to the powers 0 to n, and to 0 to -n, modulo 2^64."""
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        out = np.full(n + 1, base, np.uint64)
+        out[0] = 1
+        made.append(np.multiply.accumulate(out))
+    return made[0], made[1]
+
+
+def _block_ids(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and first places of the words in some bytes: their last two bytes give the ending,
+    a polynomial of all bytes the place within it."""
+    edge = np.diff(np.concatenate([[True], _SPACES[data], [True]]).astype(np.int8))
+    first, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    power, inverse = _powers(max(HASHED, 1 << int(len(data)).bit_length()))
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * power[: len(data)], dtype=np.uint64)])
+    h = (upto[end] - upto[first]) * inverse[first]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    last = data[end - 1].astype(np.int64) * 37 + data[np.maximum(end - 2, first)]
+    return (last % ENDINGS * PER_ENDING + (h % np.uint64(PER_ENDING)).astype(np.int64)).astype(np.int32), first
+
+
+def _ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and first places of the words of ``data``, a block at a time."""
+    whole, at, ids, places = np.frombuffer(data, np.uint8), 0, [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    while at < len(data):
+        stop = len(data)
+        if at + HASHED < stop:  # a block ends before a space
+            further = np.flatnonzero(_SPACES[whole[at + HASHED : at + 2 * HASHED]])
+            if not len(further):
+                further = np.flatnonzero(_SPACES[whole[at + HASHED :]])
+            stop = at + HASHED + int(further[0]) if len(further) else stop
+        found, first = _block_ids(whole[at:stop])
+        ids.append(found)
+        places.append(first + at)
+        at = stop
+    return np.concatenate(ids), np.concatenate(places)
+
+
 def word_ids(text: str | None) -> np.ndarray:
     """Ids of the words of one text; words are parted by ASCII white space."""
-    return word_ids_of((text or "").encode().split())
+    return _ids((text or "").encode())[0]
 
 
 def word_ids_of(words: list[bytes]) -> np.ndarray:
-    crc = zlib.crc32
-    return np.fromiter(((crc(w[-2:]) % ENDINGS) * PER_ENDING + (crc(w) >> 8) % PER_ENDING for w in words), np.int32, len(words))
+    return _ids(b" ".join(words))[0]
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -154,30 +202,45 @@ def windows(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([kinds[at + d] for d in WINDOW]) if len(at) else np.zeros((len(WINDOW), 0), kinds.dtype), at
 
 
-def _forward(w: list[np.ndarray], near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = w[0][0][near[0]]
-    for k in range(1, len(WINDOW)):
-        h += w[0][k][near[k]]
+def _bounded(w: list[np.ndarray]) -> bool:
+    """Whether no logit's exponential can overflow, as hidden values lie within -1 and 1."""
+    return bool((np.abs(w[2]).sum(axis=0) + np.abs(w[3])).max() < 80)
+
+
+def _logits(w: list[np.ndarray], h: np.ndarray, bounded: bool) -> np.ndarray:
     h += w[1]
     np.tanh(h, out=h)
     logits = h @ w[2]
     logits += w[3]
-    logits -= logits.max(axis=1, keepdims=True)
-    return h, logits
+    if not bounded:
+        logits -= logits.max(axis=1, keepdims=True)
+    return logits
+
+
+def _forward(w: list[np.ndarray], near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = np.take(w[0][0], near[0], axis=0)
+    for k in range(1, len(WINDOW)):
+        h += np.take(w[0][k], near[k], axis=0)
+    return h, _logits(w, h, _bounded(w))
+
+
+@functools.cache
+def _marks() -> np.ndarray:
+    """Zeros in which the neighbours of a batch are marked for a while."""
+    return np.zeros((BATCH, CLASSES + 1), np.float32)
 
 
 def learn(w: list[np.ndarray], near: np.ndarray, target: np.ndarray, state: list[np.ndarray], rate: float) -> None:
-    """One step of AdaGrad on a batch, in place."""
+    """One step of AdaGrad on a batch of at most BATCH words, in place."""
     n = len(target)
     h, p = _forward(w, near)
     np.exp(p, out=p)
-    p /= p.sum(axis=1, keepdims=True)
-    p[np.arange(n), target] -= 1
-    p /= n
-    dh = (p @ w[2].T) * (1 - h * h)
-    tables = np.zeros_like(w[0])
-    hot = np.zeros((n, CLASSES + 1), np.float32)
+    p *= (1 / (n * p.sum(axis=1, keepdims=True))).astype(np.float32)
     rows = np.arange(n)
+    p[rows, target] -= np.float32(1 / n)
+    dh = p @ w[2].T
+    dh *= 1 - h * h
+    tables, hot = np.empty_like(w[0]), _marks()[:n]
     for k in range(len(WINDOW)):
         hot[rows, near[k]] = 1
         tables[k] = hot.T @ dh
@@ -189,12 +252,13 @@ def learn(w: list[np.ndarray], near: np.ndarray, target: np.ndarray, state: list
 
 def texts_to_kinds(texts: list, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes with EDGE places around each text, all ids, and each text's number of words."""
-    ids = [word_ids(t) for t in texts]
-    edge = np.full(2, EDGE, np.int16)
-    parts = [edge]
-    for x in ids:
-        parts += [v.kind[x], edge]
-    return np.concatenate(parts), np.concatenate([np.zeros(0, np.int32), *ids]), np.array([len(x) for x in ids], np.int64)
+    parts = [(t or "").encode() for t in texts]
+    ids, places = _ids(b"\n".join(parts))
+    ends = np.cumsum([len(x) + 1 for x in parts], dtype=np.int64)
+    lengths = np.diff(np.searchsorted(places, ends), prepend=0).astype(np.int64)
+    kinds = np.full(len(ids) + 2 * (len(texts) + 1), EDGE, np.int16)
+    kinds[np.arange(len(ids)) + 2 * (np.repeat(np.arange(len(texts)), lengths) + 1)] = v.kind[ids]
+    return kinds, ids, lengths
 
 
 def fit(docs: DataFrame, v: Vocabulary, sample_texts: int = 1000, sample_chars: int = 2000, rate: float = 0.1, text_col: str = "text") -> list[np.ndarray]:
@@ -242,8 +306,14 @@ def log_probabilities(texts: list, w: list[np.ndarray], v: Vocabulary, share: np
     near, at = windows(kinds)
     target = kinds[at]
     out = v.share[ids] if share is None else share.copy()
+    # Two neighbours at a time: the sums of their rows for all pairs of classes.
+    before, after = ((w[0][a][:, None] + w[0][b][None]).reshape(-1, HIDDEN) for a, b in ((0, 1), (2, 3)))
+    first, second = (near[a].astype(np.int32) * (CLASSES + 1) + near[b] for a, b in ((0, 1), (2, 3)))
+    bounded = _bounded(w)
     for i in range(0, len(at), BATCH):
-        _, z = _forward(w, near[:, i : i + BATCH])
+        h = np.take(before, first[i : i + BATCH], axis=0)
+        h += np.take(after, second[i : i + BATCH], axis=0)
+        z = _logits(w, h, bounded)
         own = z[np.arange(len(z)), target[i : i + BATCH]]
         np.exp(z, out=z)
         out[i : i + BATCH] += own - np.log(z.sum(axis=1))
@@ -261,18 +331,23 @@ def score(docs: DataFrame, w: list[np.ndarray], v: Vocabulary, words: DataFrame,
     shared = cut(shared)
     known = held(shared)
 
+    schema = "doc_id long, n_words long, sum double, rare array<struct<word: binary, kind: int>>"
+    target = to_arrow_schema(_parse_datatype_string(schema)).field("rare").type
+
     def rows(batch: pa.RecordBatch) -> dict:
         texts = batch.column(1).to_pylist()
         split = [(t or "").encode().split() for t in texts]
         share = np.fromiter((known.get(x, 0.0) for own in split for x in own), np.float64, sum(map(len, split)))
         logp, lengths = log_probabilities(texts, w, v, share)
         sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), logp, minlength=len(lengths))
-        rare = [[x for x in own if x not in known] for own in split]
-        kinds = [v.kind[word_ids_of(r)].tolist() for r in rare]
-        return {"doc_id": batch.column(0), "n_words": lengths, "sum": sums, "rare": [[{"word": x, "kind": k} for x, k in zip(r, ks, strict=True)] for r, ks in zip(rare, kinds, strict=True)]}
+        words = [x for own in split for x in own]
+        away = np.fromiter((x not in known for x in words), bool, len(words))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(lengths)), lengths), away, minlength=len(lengths)))]).astype(np.int32)
+        rare = [x for x, o in zip(words, away.tolist(), strict=True) if o]
+        pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(v.kind[word_ids_of(rare)], pa.int32())], fields=list(target.value_type))
+        return {"doc_id": batch.column(0), "n_words": lengths, "sum": sums, "rare": pa.ListArray.from_arrays(pa.array(ends), pairs, type=target)}
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n_words long, sum double, rare array<struct<word: binary, kind: int>>"
     made = cut(arrow_map(base, ["doc_id", "text"], schema, rows, by="text").withColumn("row", F.monotonically_increasing_id()))
     rare = made.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.kind")
     named = rare.join(shared.select("word", "share"), "word", "left")

@@ -490,6 +490,16 @@ def test_language_model_prefers_the_language_it_saw(spark):
     assert ordered > mixed + 0.5 and ordered > unigram + 0.5
 
 
+def test_word_ids_do_not_depend_on_their_surroundings(monkeypatch):
+    words = [w.encode() for t in odd_texts(60, 5) for w in t.split()] + [b"x" * 500, b"y", b"end"]
+    alone = [int(lmscore.word_ids_of([w])[0]) for w in words]
+    assert lmscore.word_ids_of(words).tolist() == alone
+    assert lmscore.word_ids(" \n".join(w.decode() for w in words)).tolist() == alone
+    monkeypatch.setattr(lmscore, "HASHED", 32)  # many blocks, some shorter than a word
+    assert lmscore.word_ids_of(words).tolist() == alone
+    assert len(set(alone)) > 0.9 * len(set(words)) and lmscore.word_ids(None).tolist() == [] == lmscore.word_ids(" \t").tolist()
+
+
 def test_counts_cover_every_word(spark, docs):
     want = np.zeros(lmscore.VOCABULARY, np.int64)
     for r in docs.collect():
