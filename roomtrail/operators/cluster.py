@@ -227,9 +227,10 @@ def assign_state(rows: DataFrame, models: DataFrame, keys: Sequence[str], x: str
 
 def classify_movement(windows: DataFrame, params, value: str = "movement_value", source: str = "movement_source") -> tuple[DataFrame, DataFrame]:
     """Movement states 1..K per session from acceleration or steps; low motion is
-    state 1. Returns (windows with movement_* columns, diagnostics)."""
+    state 1; windows without a value have none. Returns (windows with movement_* columns, diagnostics)."""
     x = F.when(F.col(source) == "acc", F.log(F.greatest(F.col(value), F.lit(1e-6)))).when(F.col(source) == "step", F.log1p(F.greatest(F.col(value), F.lit(0.0))))
-    rows = windows.withColumn("_x", x)
+    # greatest() passes over nulls: a window without a value has no state
+    rows = windows.withColumn("_x", F.when(F.col(value).isNotNull(), x))
     models, diag = choose_ordered_clustering(
         rows, ["session_id"], "_x", params.movement_candidates, params.min_movement_cluster_windows, params.min_cluster_fraction,
         params.movement_silhouette_min, params.near_best_silhouette,

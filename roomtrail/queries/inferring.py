@@ -13,6 +13,7 @@ from ..params import LOOKBACK_MINUTES, InferenceParams
 from ..plans.inference import run_inference
 from ..registry import query
 from .adapting import vectors
+from .clustering_sql import clustering_ctes
 from .ctes import cte, with_ctes
 from .ordering import Q, timeline, timeline_rssi
 
@@ -40,7 +41,12 @@ def _(spark, sf):
     return m.select("session_id", "k", F.col("uppers")[0].alias("upper"), F.round(F.col("centers")[0], 4).alias("center_1"), F.round(F.col("centers")[1], 4).alias("center_2"))
 
 
-@query("kmeans1d_ordered_k34", "session_id:i k:i center_1:f center_2:f center_3:f")
+clustering_ctes("hour", "SELECT session_id, x FROM hx", (3, 4))
+clustering_ctes("hlog", "SELECT session_id, ln(x) AS x FROM hx WHERE x > 0", (2, 3, 4), 20, 0.05, 0.25, 0.02)
+
+
+@query("kmeans1d_ordered_k34", "session_id:i k:i center_1:f center_2:f center_3:f",
+       with_ctes("SELECT session_id, k, max(CASE WHEN label = 1 THEN c END) AS center_1, max(CASE WHEN label = 2 THEN c END) AS center_2, max(CASE WHEN label = 3 THEN c END) AS center_3 FROM hour_cen GROUP BY 1, 2"))
 def _(spark, sf):
     m = cl.kmeans1d_ordered(durable(cl.histogram(hourly_values(spark, sf), ["session_id"], "x")), ["session_id"], [3, 4])
     return m.select("session_id", "k", *[F.col("centers")[i].alias(f"center_{i + 1}") for i in range(3)])
@@ -70,7 +76,8 @@ def _(spark, sf):
     return m.select("session_id", F.col("centers")[0].alias("center_1"), F.col("centers")[1].alias("center_2"))
 
 
-@query("choose_ordered_clustering", "session_id:i k:i silhouette:f minimum_cluster_count:i required_cluster_count:i accepted:b separation_tier:s minimum_center_ratio:f selected:b")
+@query("choose_ordered_clustering", "session_id:i k:i silhouette:f minimum_cluster_count:i required_cluster_count:i accepted:b separation_tier:s minimum_center_ratio:f selected:b",
+       with_ctes("SELECT session_id, k, silhouette, coalesce(least_n, 0) AS minimum_cluster_count, required AS required_cluster_count, accepted, tier AS separation_tier, ratio AS minimum_center_ratio, selected FROM hlog_dia"))
 def _(spark, sf):
     v = hourly_values(spark, sf).withColumn("lx", F.log("x"))
     return cl.choose_ordered_clustering(v, ["session_id"], "lx", (2, 3, 4), 20, 0.05, 0.25, 0.02)[1]
@@ -81,7 +88,13 @@ def movement15(spark, sf):
     return t.select("session_id", "w", F.col("av").alias("movement_value"), F.lit("acc").alias("movement_source"))
 
 
-@query("classify_movement", "session_id:i w:t movement_state:i movement_k:i movement_resolved:b low_motion:b low_motion_threshold:f")
+clustering_ctes("move", "SELECT session_id, ln(greatest(av, 1e-6)) AS x FROM tl WHERE av IS NOT NULL", (2, 3, 4), 20, 0.05, 0.25, 0.02)
+
+
+@query("classify_movement", "session_id:i w:t movement_state:i movement_k:i movement_resolved:b low_motion:b low_motion_threshold:f",
+       with_ctes("""SELECT t.session_id, t.w, l.label AS movement_state, d.k AS movement_k, d.k IS NOT NULL AS movement_resolved, coalesce(l.label = 1, false) AS low_motion, exp((a.c + b.c) / 2) AS low_motion_threshold FROM tl t
+         LEFT JOIN (SELECT session_id, k FROM move_dia WHERE selected) d USING (session_id) LEFT JOIN move_lab l ON l.session_id = t.session_id AND l.k = d.k AND l.x = ln(greatest(t.av, 1e-6)) AND t.av IS NOT NULL
+         LEFT JOIN move_cen a ON a.session_id = t.session_id AND a.k = d.k AND a.label = 1 LEFT JOIN move_cen b ON b.session_id = t.session_id AND b.k = d.k AND b.label = 2"""))
 def _(spark, sf):
     return cl.classify_movement(movement15(spark, sf), P15)[0]
 
@@ -117,7 +130,12 @@ def _(spark, sf):
     return rule_episodes(durable(timeline(spark, sf)))
 
 
-@query("main_sleep", "session_id:i episode_id:i start:t duration_minutes:f duration_cluster:i main_sleep:b sleep_resolved:b")
+clustering_ctes("slp", "SELECT session_id, ln(duration_minutes) AS x FROM bouts", P15.sleep_candidates, P15.sleep_min_per_cluster, 0.0, P15.sleep_silhouette_min, P15.near_best_silhouette, P15.sleep_silhouette_borderline_min, P15.sleep_borderline_center_ratio)
+
+
+@query("main_sleep", "session_id:i episode_id:i start:t duration_minutes:f duration_cluster:i main_sleep:b sleep_resolved:b",
+       with_ctes("""SELECT e.session_id, e.candidate_id AS episode_id, e."start", e.duration_minutes, l.label AS duration_cluster, coalesce(l.label = d.k, false) AS main_sleep, d.k IS NOT NULL AS sleep_resolved FROM bouts e
+         LEFT JOIN (SELECT session_id, k FROM slp_dia WHERE selected) d USING (session_id) LEFT JOIN slp_lab l ON l.session_id = e.session_id AND l.k = d.k AND l.x = ln(e.duration_minutes)"""))
 def _(spark, sf):
     b = runs.bridged_bouts(durable(timeline(spark, sf)), "low_motion", Q, 900)
     return states.main_sleep(b.withColumnRenamed("candidate_id", "episode_id"), P15)[0]
@@ -170,7 +188,16 @@ def _(spark, sf):
     return sleep.gap_support(gaps, t, Q, 5400, 2 / 3)
 
 
-@query("away_runs", "session_id:i start:t end:t duration_minutes:f duration_cluster:i probable_away:b away_resolved:b")
+cte(
+    gone="""SELECT *, count(*) OVER (PARTITION BY session_id) AS runs FROM (SELECT session_id, min(w) AS "start", max(w) + INTERVAL 15 MINUTE AS "end", count(*) * 15.0 AS duration_minutes FROM (
+      SELECT session_id, w, w - INTERVAL 15 MINUTE * row_number() OVER (PARTITION BY session_id ORDER BY w) AS isl FROM tl WHERE NOT observed) GROUP BY session_id, isl)""",
+)
+clustering_ctes("away", f"SELECT session_id, ln(duration_minutes) AS x FROM gone WHERE runs >= {P15.away_min_runs}", (2,), P15.away_min_per_cluster, 0.0, P15.away_silhouette_min, 0.0, P15.away_silhouette_borderline_min, P15.away_center_ratio)
+
+
+@query("away_runs", "session_id:i start:t end:t duration_minutes:f duration_cluster:i probable_away:b away_resolved:b",
+       with_ctes(f"""SELECT e.session_id, e."start", e."end", e.duration_minutes, l.label AS duration_cluster, coalesce(l.label = 2, false) AS probable_away, d.k IS NOT NULL AS away_resolved FROM gone e
+         LEFT JOIN (SELECT session_id, k FROM away_dia WHERE selected AND ratio >= {P15.away_center_ratio}) d USING (session_id) LEFT JOIN away_lab l ON l.session_id = e.session_id AND l.k = d.k AND l.x = ln(e.duration_minutes)"""))
 def _(spark, sf):
     t = durable(timeline(spark, sf)).withColumns({"rssi_observed": F.col("observed"), "wearable_online": F.lit(True), "main_sleep": F.lit(False)})
     return states.away_runs(t, P15)[0]

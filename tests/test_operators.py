@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roomtrail.operators import cluster, intervals, kmeans, metrics, sleep
+from roomtrail.params import InferenceParams
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -63,6 +64,15 @@ def test_optimal_cuts_equal_all_choices():
             assert tuple(cluster.optimal_cuts(np.arange(1.0, 12), np.cumsum(x), k)) == min(choices, key=choices.get)
 
 
+def test_windows_without_a_value_have_no_movement_state(spark):
+    rows = [(0, minutes(5 * i), None if i % 4 == 0 else 0.004 if i % 2 else 0.08, "acc") for i in range(200)]
+    out, _ = cluster.classify_movement(spark.createDataFrame(rows, "session_id int, w timestamp, movement_value double, movement_source string"), InferenceParams())
+    got = {r.w: r for r in out.collect()}
+    for _, w, value, _ in rows:
+        assert got[w].movement_state == (None if value is None else 1 if value < 0.01 else 2)
+        assert got[w].low_motion == (value == 0.004)
+
+
 def test_vector_clusters_of_a_key_depend_on_it_alone(spark):
     rng = np.random.default_rng(3)
     spots = np.array([[0, 0], [6, 0], [0, 6]])
