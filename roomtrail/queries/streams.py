@@ -21,23 +21,23 @@ SLICE_DAYS = 5
 def replay(spark, rows, op, time: str = "ts"):
     """Replay ``rows`` as a file stream and read its sink.
 
-    Files hold five days each, and every 20th row of a slice's last twelve hours comes
-    late, with the next file; one file is one micro-batch. A last row far in the
-    future lets the watermark pass everything."""
+    A slice holds five days, in as many files as the rows have partitions, and every
+    20th row of its last twelve hours comes late, with the next slice. The stream is run
+    to the end of its input after each slice, from where its checkpoint left off, so that
+    a slice is one micro-batch, spread over all tasks. A last row far in the future lets
+    the watermark pass everything."""
     src, out, ck = (scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-ck"))
     hours = F.floor(F.unix_micros(time) / 3_600_000_000)
     late = (F.pmod(F.xxhash64(*rows.columns), F.lit(20)) == 0) & (hours % (24 * SLICE_DAYS) >= 24 * SLICE_DAYS - 12)
     sliced = durable(rows.withColumn("_slice", F.floor(hours / (24 * SLICE_DAYS)) + late.cast("int")))
     slices = sorted(r[0] for r in sliced.select("_slice").distinct().collect())
-    for k in slices:  # file by file, so that modification times order them
-        sliced.filter(F.col("_slice") == k).drop("_slice").coalesce(1).write.mode("append").parquet(src)
     end = rows.agg(F.max(time).alias("m")).select(*[
         (F.expr("m + interval 400 days") if c == time else F.lit(-1 if c == "session_id" else None)).cast(t).alias(c) for c, t in rows.dtypes
     ])
-    end.write.mode("append").parquet(src)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = op(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    for part in [*[sliced.filter(F.col("_slice") == k).drop("_slice") for k in slices], end]:
+        part.write.mode("append").parquet(src)
+        stream = op(spark.readStream.schema(rows.schema).parquet(src))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).filter("session_id >= 0")
 
 
