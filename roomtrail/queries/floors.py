@@ -28,13 +28,21 @@ def interp_sql(src: str, keys: str, a: str, maxr: int, v: str = "hpa") -> str:
       FROM (SELECT *, rn - row_number() OVER (PARTITION BY {keys}, {a} ORDER BY rn) AS g FROM {src}))"""
 
 
+def spike_ctes(name: str) -> dict[str, str]:
+    """Spike correction of ``{name}0`` (session_id, sensor, rn, hpa, r: out of range) as ``{name}3`` (oracle side)."""
+    keys = "session_id, sensor"
+    return {
+        f"{name}1": interp_sql(f"{name}0", keys, "r", 2),
+        f"{name}2": f"""SELECT *, hpa BETWEEN 950 AND 1050 AND round(abs(hpa - md), 9) > 1.5 AND NOT r_short AND NOT r_long AS j FROM (SELECT *, quantile_cont(hpa, 0.5) OVER (PARTITION BY {keys} ORDER BY rn ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS md FROM {name}1)""",
+        f"{name}3": interp_sql(f"{name}2", keys, "j", 2),
+    }
+
+
 cte(
     pn="""SELECT *, row_number() OVER (PARTITION BY session_id, sensor ORDER BY ts, event_id) AS rn, hpa > 1008 AS an FROM press""",
     ps0="""SELECT session_id, sensor, ts, event_id, h AS hpa, h AS raw_hpa, row_number() OVER (PARTITION BY session_id, sensor ORDER BY ts, event_id) AS rn, h NOT BETWEEN 950 AND 1050 AS r FROM (
       SELECT session_id, event_type AS sensor, ts, event_id, 1000 + value % 10 + CASE WHEN value > 150 THEN 100 ELSE 0 END AS h FROM ev)""",
-    ps1=interp_sql("ps0", "session_id, sensor", "r", 2),
-    ps2="""SELECT *, hpa BETWEEN 950 AND 1050 AND round(abs(hpa - md), 9) > 1.5 AND NOT r_short AND NOT r_long AS j FROM (SELECT *, quantile_cont(hpa, 0.5) OVER (PARTITION BY session_id, sensor ORDER BY rn ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS md FROM ps1)""",
-    ps3=interp_sql("ps2", "session_id, sensor", "j", 2),
+    **spike_ctes("ps"),
     psp="SELECT session_id, sensor, event_id, raw_hpa, hpa, r_short OR j_short AS short_spike, r_long OR j_long AS long_spike FROM ps3",
 )
 
@@ -64,11 +72,16 @@ def _(spark, sf):
     return pr.cleaning_summary(pr.spike_correct(spiky(spark, sf), ties=["event_id"]))
 
 
-cte(
-    benv="""SELECT session_id, time_bucket(INTERVAL 30 SECOND, ts) AS ts, avg(h) AS v FROM (SELECT session_id, ts, quantile_cont(hpa, 0.5) AS h FROM press WHERE sensor <> 'error' GROUP BY 1, 2) GROUP BY 1, 2""",
-    wbase="""SELECT w.session_id, w.ts, w.event_id, w.hpa, CASE WHEN a.ts IS NULL THEN b.v WHEN b.ts IS NULL OR a.ts = b.ts THEN a.v ELSE a.v + (b.v - a.v) * ((epoch_us(w.ts) - epoch_us(a.ts)) / (epoch_us(b.ts) - epoch_us(a.ts))) END AS baseline
-      FROM (SELECT * FROM press WHERE sensor = 'error') w ASOF LEFT JOIN benv a ON a.session_id = w.session_id AND w.ts >= a.ts ASOF LEFT JOIN benv b ON b.session_id = w.session_id AND w.ts <= b.ts""",
-)
+def baseline_ctes(env: str, wear: str, src: str) -> dict[str, str]:
+    """Beacon baseline ``env`` of ``src(session_id, sensor, ts, hpa)`` and the wearable's rows with it, ``wear`` (oracle side)."""
+    return {
+        env: f"""SELECT session_id, time_bucket(INTERVAL 30 SECOND, ts) AS ts, avg(h) AS v FROM (SELECT session_id, ts, quantile_cont(hpa, 0.5) AS h FROM {src} WHERE sensor <> 'error' GROUP BY 1, 2) GROUP BY 1, 2""",
+        wear: f"""SELECT w.session_id, w.ts, w.event_id, w.hpa, CASE WHEN a.ts IS NULL THEN b.v WHEN b.ts IS NULL OR a.ts = b.ts THEN a.v ELSE a.v + (b.v - a.v) * ((epoch_us(w.ts) - epoch_us(a.ts)) / (epoch_us(b.ts) - epoch_us(a.ts))) END AS baseline
+          FROM (SELECT * FROM press WHERE sensor = 'error') w ASOF LEFT JOIN {env} a ON a.session_id = w.session_id AND w.ts >= a.ts ASOF LEFT JOIN {env} b ON b.session_id = w.session_id AND w.ts <= b.ts""",
+    }
+
+
+cte(**baseline_ctes("benv", "wbase", "press"))
 
 
 @query("time_interp_baseline", "session_id:i ts:t baseline:f", with_ctes("SELECT DISTINCT session_id, ts, baseline FROM wbase"))
@@ -77,14 +90,17 @@ def _(spark, sf):
     return pr.beacon_baseline(env, wear)
 
 
-def blend_sql(threshold: float, context: int, fits: str) -> str:
-    """Offset-run correction of ``wbase`` (oracle side)."""
-    return with_ctes(f"""SELECT d.session_id, d.event_id, CASE WHEN c.bo IS NOT NULL THEN baseline + bo + (ao - bo) * ((d.rn - c.fst + 1) / (c.len + 1)) ELSE hpa END AS hpa, c.bo IS NOT NULL AS corrected
-      FROM bd d LEFT JOIN (SELECT session_id, fst, len, coalesce(b, a) AS bo, coalesce(a, b) AS ao FROM bc) c ON d.mask AND c.session_id = d.session_id AND d.rn >= c.fst AND d.rn < c.fst + c.len""",
-      bo0=f"SELECT *, hpa - baseline AS off, coalesce(round(abs(hpa - baseline), 9) > {threshold}, false) AS mask, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS rn FROM wbase",
-      bd="SELECT *, count(*) OVER (PARTITION BY session_id, mask, g) AS len, min(rn) OVER (PARTITION BY session_id, mask, g) AS fst FROM (SELECT *, rn - row_number() OVER (PARTITION BY session_id, mask ORDER BY rn) AS g FROM bo0)",
-      bc=f"""SELECT r.session_id, r.fst, r.len, (SELECT quantile_cont(off, 0.5) FROM bo0 x WHERE x.session_id = r.session_id AND NOT x.mask AND x.rn BETWEEN r.fst - {context} AND r.fst - 1) AS b,
-        (SELECT quantile_cont(off, 0.5) FROM bo0 x WHERE x.session_id = r.session_id AND NOT x.mask AND x.rn BETWEEN r.fst + r.len AND r.fst + r.len + {context} - 1) AS a FROM (SELECT DISTINCT session_id, fst, len FROM bd WHERE mask AND {fits}) r""")
+def blend_ctes(name: str, src: str, threshold: float, context: int, fits: str) -> dict[str, str]:
+    """Offset-run correction of ``src(session_id, ts, event_id, hpa, baseline)`` as the
+    building block ``name`` and what it needs (oracle side)."""
+    around = lambda lo, hi: f"(SELECT quantile_cont(off, 0.5) FROM {name}_off x WHERE x.session_id = r.session_id AND NOT x.mask AND x.rn BETWEEN {lo} AND {hi})"
+    return {
+        f"{name}_off": f"SELECT *, hpa - baseline AS off, coalesce(round(abs(hpa - baseline), 9) > {threshold}, false) AS mask, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS rn FROM {src}",
+        f"{name}_run": f"SELECT *, count(*) OVER (PARTITION BY session_id, mask, g) AS len, min(rn) OVER (PARTITION BY session_id, mask, g) AS fst FROM (SELECT *, rn - row_number() OVER (PARTITION BY session_id, mask ORDER BY rn) AS g FROM {name}_off)",
+        f"{name}_ctx": f"SELECT r.session_id, r.fst, r.len, {around(f'r.fst - {context}', 'r.fst - 1')} AS b, {around('r.fst + r.len', f'r.fst + r.len + {context} - 1')} AS a FROM (SELECT DISTINCT session_id, fst, len FROM {name}_run WHERE mask AND {fits}) r",
+        name: f"""SELECT d.session_id, d.ts, d.event_id, d.baseline, CASE WHEN c.bo IS NOT NULL THEN baseline + bo + (ao - bo) * ((d.rn - c.fst + 1) / (c.len + 1)) ELSE hpa END AS hpa, c.bo IS NOT NULL AS corrected
+          FROM {name}_run d LEFT JOIN (SELECT session_id, fst, len, coalesce(b, a) AS bo, coalesce(a, b) AS ao FROM {name}_ctx) c ON d.mask AND c.session_id = d.session_id AND d.rn >= c.fst AND d.rn < c.fst + c.len""",
+    }
 
 
 CLEAN = pr.CleaningParams(plateau_hpa=2.5, plateau_min_rows=3, context_rows=10, residual_hpa=1.2, residual_max_rows=2)
@@ -96,17 +112,20 @@ def with_baseline(spark, sf):
     return durable(wear.join(pr.beacon_baseline(env, wear), ["session_id", "ts"]))
 
 
-@query("plateau_correct", "session_id:i event_id:i hpa:f corrected:b", blend_sql(2.5, 10, "len >= 3"))
+@query("plateau_correct", "session_id:i event_id:i hpa:f corrected:b", with_ctes("SELECT * FROM plateaus", **blend_ctes("plateaus", "wbase", 2.5, 10, "len >= 3")))
 def _(spark, sf):
     return pr.plateau_correct(with_baseline(spark, sf), ["event_id"], CLEAN)
 
 
-@query("residual_correct", "session_id:i event_id:i hpa:f corrected:b", blend_sql(1.2, 10, "len <= 2"))
+@query("residual_correct", "session_id:i event_id:i hpa:f corrected:b", with_ctes("SELECT * FROM residuals", **blend_ctes("residuals", "wbase", 1.2, 10, "len <= 2")))
 def _(spark, sf):
     return pr.residual_correct(with_baseline(spark, sf), ["event_id"], CLEAN)
 
 
-@query("pressure_chain", "session_id:i event_id:i hpa:f baseline:f relative:f relative_smooth:f")
+@query("pressure_chain", "session_id:i event_id:i hpa:f baseline:f relative:f relative_smooth:f",
+       with_ctes("""SELECT session_id, event_id, hpa, baseline, hpa - baseline AS relative, quantile_cont(hpa - baseline, 0.5) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS relative_smooth FROM chain_b""",
+                 chain0="SELECT session_id, sensor, ts, event_id, hpa, row_number() OVER (PARTITION BY session_id, sensor ORDER BY ts, event_id) AS rn, hpa NOT BETWEEN 950 AND 1050 AS r FROM press WHERE sensor <> 'error'",
+                 **spike_ctes("chain"), **baseline_ctes("chain_env", "chain_wear", "chain3"), **blend_ctes("chain_a", "chain_wear", 2.5, 10, "len >= 3"), **blend_ctes("chain_b", "chain_a", 1.2, 10, "len <= 2")))
 def _(spark, sf):
     wear, env = pressure_split(spark, sf)
     return pr.pressure_chain(wear.select("session_id", "ts", "event_id", "hpa"), env, ["event_id"], CLEAN)[1]
