@@ -172,7 +172,21 @@ def _(spark, sf):
     return pr.baseline_adjust(d, median_baseline(d))
 
 
-@query("floor_timeline", "session_id:i w:t floor:s distance:f margin:f confidence:f smoothed:s floor_observed:b")
+cte(
+    fltop="""SELECT session_id, w, max(CASE WHEN r = 1 THEN floor END) AS floor, max(CASE WHEN r = 1 THEN d END) AS distance, max(CASE WHEN r = 2 THEN d END) - max(CASE WHEN r = 1 THEN d END) AS margin FROM (
+      SELECT *, row_number() OVER (PARTITION BY session_id, w ORDER BY d, floor) AS r FROM (SELECT session_id, w, floor, round(abs(group_diff - b), 12) AS d FROM fgd JOIN bline USING (session_id))) GROUP BY 1, 2""",
+    flgrid="""SELECT *, floor IS DISTINCT FROM lag(floor) OVER o OR row_number() OVER o = 1 AS new FROM (SELECT g.session_id, g.w, t.w IS NOT NULL AS available, t.floor, t.distance, t.margin FROM (
+      SELECT session_id, unnest(generate_series(min(w), max(w), INTERVAL 1 HOUR)) AS w FROM fltop GROUP BY 1) g LEFT JOIN fltop t ON t.session_id = g.session_id AND t.w = g.w) WINDOW o AS (PARTITION BY session_id ORDER BY w)""",
+    flisl="SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY session_id ORDER BY w) AS isl FROM flgrid",
+    flrun="SELECT *, lead(v) OVER (PARTITION BY session_id ORDER BY isl) AS after FROM (SELECT session_id, isl, any_value(floor) AS v, count(*) AS n FROM flisl GROUP BY 1, 2)",
+    flwalk="""WITH RECURSIVE r AS (SELECT session_id, isl, v FROM flrun WHERE isl = 1
+      UNION ALL SELECT n.session_id, n.isl, CASE WHEN n.n <= 2 AND n.v IS NOT NULL AND r.v = n.after AND r.v <> n.v THEN r.v ELSE n.v END FROM r JOIN flrun n ON n.session_id = r.session_id AND n.isl = r.isl + 1) SELECT * FROM r""",
+)
+
+
+@query("floor_timeline", "session_id:i w:t floor:s distance:f margin:f confidence:f smoothed:s floor_observed:b",
+       with_ctes("""SELECT session_id, w, floor, distance, margin, CASE WHEN margin IS NOT NULL THEN least(greatest(margin / 0.20, 0), 1) END AS confidence, CASE WHEN available THEN v END AS smoothed, available AND v IS NOT NULL AS floor_observed
+         FROM flisl JOIN flwalk USING (session_id, isl)"""))
 def _(spark, sf):
     d = diffs(spark, sf)
     seen = d.select("session_id", "w").distinct()

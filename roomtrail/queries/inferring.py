@@ -62,7 +62,24 @@ def _(spark, sf):
     return cl.silhouette1d(h, cl.kmeans1d_ordered(h, ["session_id"], [2]), ["session_id"])
 
 
-@query("kmeans1d_quantile_lloyd", "session_id:i center_1:f center_2:f center_3:f center_4:f boundary_2:f")
+def lloyd_sql(values: str, probs: list[float], mean: str, rounds: int, tolerance: float) -> str:
+    """(session_id, c: ascending centres) by Lloyd iteration over ``values(session_id, x)`` from
+    quantile seeds, an empty cluster keeping its centre (oracle side)."""
+    away = "list_transform(c, lambda q: abs(q - x))"
+    new = ", ".join(f"coalesce(max(m) FILTER (WHERE l = {i}), any_value(c)[{i}])" for i in range(1, len(probs) + 1))
+    return f"""WITH RECURSIVE step AS (
+        SELECT session_id, 0 AS i, quantile_cont(x, {probs}) AS c, true AS moved FROM {values} GROUP BY 1
+        UNION ALL SELECT session_id, i + 1, new, list_max(list_transform(list_zip(new, old), lambda p: abs(p[1] - p[2]))) >= {tolerance} FROM (
+          SELECT session_id, i, any_value(c) AS old, [{new}] AS new FROM (
+            SELECT session_id, i, l, any_value(c) AS c, {mean} AS m FROM (
+              SELECT s.session_id, s.i, s.c, v.x, list_position({away}, list_min({away})) AS l FROM step s JOIN {values} v USING (session_id) WHERE s.moved AND s.i < {rounds})
+            GROUP BY 1, 2, 3) GROUP BY 1, 2))
+      SELECT session_id, list_sort(arg_max(c, i)) AS c FROM step GROUP BY 1"""
+
+
+@query("kmeans1d_quantile_lloyd", "session_id:i center_1:f center_2:f center_3:f center_4:f boundary_2:f",
+       with_ctes("SELECT session_id, 10 ** c[1] AS center_1, 10 ** c[2] AS center_2, 10 ** c[3] AS center_3, 10 ** c[4] AS center_4, 10 ** ((c[2] + c[3]) / 2) AS boundary_2 FROM (" + lloyd_sql("logs", [0.05, 0.35, 0.65, 0.95], "avg(x)", 200, 1e-12) + ")",
+                 logs="SELECT session_id, log10(x) AS x FROM hx WHERE x > 0"))
 def _(spark, sf):
     v = hourly_values(spark, sf).filter("x > 0").withColumn("lx", F.log10("x"))
     m = cl.quantile_lloyd(v, ["session_id"], "lx", 4)
@@ -70,7 +87,9 @@ def _(spark, sf):
     return m.select("session_id", *[F.pow(F.lit(10.0), F.col("centers")[i]).alias(f"center_{i + 1}") for i in range(4)], b[1].alias("boundary_2"))
 
 
-@query("kmedians1d_trim", "session_id:i center_1:f center_2:f")
+@query("kmedians1d_trim", "session_id:i center_1:f center_2:f",
+       with_ctes("SELECT session_id, c[1] AS center_1, c[2] AS center_2 FROM (" + lloyd_sql("inner_values", [0.25, 0.75], "quantile_cont(x, 0.5)", 100, 1e-6) + ")",
+                 inner_values="SELECT session_id, x FROM hx JOIN (SELECT session_id, quantile_cont(x, [0.01, 0.99]) AS q FROM hx GROUP BY 1) USING (session_id) WHERE x BETWEEN q[1] AND q[2]"))
 def _(spark, sf):
     m = cl.kmedians_trim(hourly_values(spark, sf), ["session_id"], "x")
     return m.select("session_id", F.col("centers")[0].alias("center_1"), F.col("centers")[1].alias("center_2"))
