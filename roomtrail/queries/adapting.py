@@ -351,7 +351,12 @@ def dated(spark, sf):
     return labelled(spark, sf).withColumn("day", F.to_date("w"))
 
 
-@query("group_kfold", "session_id:i w:t day:d fold:i")
+@query("group_kfold", "session_id:i w:t day:d fold:i",
+       with_ctes("SELECT lab.session_id, lab.w, d.day, p.fold FROM lab JOIN days d ON d.session_id = lab.session_id AND d.day = CAST(lab.w AS DATE) JOIN placed p ON p.session_id = d.session_id AND p.i = d.i",
+                 days="""SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, day) AS i, least(5, count(*) OVER (PARTITION BY session_id)) AS k FROM (SELECT session_id, CAST(w AS DATE) AS day, count(*) AS n FROM lab GROUP BY 1, 2)""",
+                 placed="""WITH RECURSIVE r AS (SELECT session_id, CAST(0 AS BIGINT) AS i, list_transform(range(k), lambda q: CAST(0 AS BIGINT)) AS loads, 0 AS fold FROM days WHERE i = 1
+                   UNION ALL SELECT session_id, i, list_transform(loads, lambda v, j: CASE WHEN j = at_fold THEN v + n ELSE v END), at_fold FROM (
+                     SELECT d.session_id, d.i, d.n, r.loads, list_position(r.loads, list_min(r.loads)) AS at_fold FROM r JOIN days d ON d.session_id = r.session_id AND d.i = r.i + 1)) SELECT * FROM r WHERE i > 0"""))
 def _(spark, sf):
     return cal.group_kfold(dated(spark, sf), "day", 5, ["session_id"])
 
