@@ -13,6 +13,7 @@ from ..operators import topk
 from ..operators import windows as win
 from ..operators.intervals import join_shift_windows
 from ..registry import query
+from .clustering_sql import clustering_ctes
 from .ctes import cte, with_ctes
 from .ordering import Q, floor_shifts, observed_timeline, pressure_split, timeline, timeline_rssi
 
@@ -199,11 +200,6 @@ def hourly_pressure(spark, sf):
     return p.groupBy("session_id", timefn.floor_ts("ts", HOUR).alias("w"), "sensor").agg(F.avg("hpa").alias("hpa"))
 
 
-@query("auto_floor_groups", "session_id:i overlap_windows:i beacons:i floor_k:i groups_valid:b reason:s silhouette:f min_separation:f pooled_mad:f")
-def _(spark, sf):
-    return pr.auto_floor_groups(hourly_pressure(spark, sf))[1]
-
-
 cte(
     hp="SELECT session_id, time_bucket(INTERVAL 1 HOUR, ts) AS w, sensor, avg(hpa) AS hpa FROM press GROUP BY 1, 2, 3",
     gpr="SELECT session_id, w, floor, quantile_cont(hpa, 0.5) AS gp FROM hp JOIN beacons ON beacon = sensor WHERE sensor <> 'error' GROUP BY 1, 2, 3",
@@ -219,6 +215,34 @@ cte(
 )
 
 
+# offsets of the beacons from the median of their window, their ordered clusters, and each candidate's checks
+cte(
+    agm="SELECT session_id, w, quantile_cont(hpa, 0.5) AS med FROM hp GROUP BY 1, 2 HAVING count(*) >= 2",
+    ago="SELECT b.session_id, b.beacons, coalesce(o.n, 0) AS overlap_windows FROM (SELECT session_id, count(DISTINCT sensor) AS beacons FROM hp GROUP BY 1) b LEFT JOIN (SELECT session_id, count(*) AS n FROM agm GROUP BY 1) o USING (session_id)",
+    agx="SELECT session_id, sensor, quantile_cont(hpa - med, 0.5) AS x FROM hp JOIN agm USING (session_id, w) JOIN (SELECT session_id FROM ago WHERE overlap_windows >= 100 AND beacons >= 4) USING (session_id) GROUP BY 1, 2",
+)
+clustering_ctes("ag", "SELECT session_id, x FROM agx", (2, 3))
+cte(
+    agmad="""SELECT session_id, k, greatest(quantile_cont(mad, 0.5), 1e-6) AS pooled_mad FROM (SELECT session_id, k, label, quantile_cont(abs(x - m), 0.5) AS mad FROM (
+      SELECT l.session_id, l.k, l.label, o.x, quantile_cont(o.x, 0.5) OVER (PARTITION BY l.session_id, l.k, l.label) AS m FROM ag_lab l JOIN agx o ON o.session_id = l.session_id AND o.x = l.x) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+    agc="""SELECT *, len(fails) = 0 AS valid FROM (SELECT *, list_filter([CASE WHEN round(silhouette, 12) < 0.75 THEN 'silhouette' END, CASE WHEN separation < 0.30 THEN 'floor_scale_separation' END, CASE WHEN smallest < 2 THEN 'group_size' END,
+       CASE WHEN separation < 3 * pooled_mad THEN 'within_group_dispersion' END], lambda f: f IS NOT NULL) AS fails FROM (
+      SELECT session_id, k, min(n) AS smallest, sum(n) AS rows, round(min(c - before), 12) AS separation FROM (SELECT *, lag(c) OVER (PARTITION BY session_id, k ORDER BY label) AS before FROM ag_cen) GROUP BY 1, 2)
+      JOIN ag_sil USING (session_id, k) JOIN agmad USING (session_id, k) WHERE rows >= 2 * k)""",
+)
+
+
+@query("auto_floor_groups", "session_id:i overlap_windows:i beacons:i floor_k:i groups_valid:b reason:s silhouette:f min_separation:f pooled_mad:f",
+       with_ctes("""SELECT o.session_id, o.overlap_windows, o.beacons, coalesce(p.chosen, 1) AS floor_k, p.chosen IS NOT NULL AS groups_valid, c.silhouette, c.separation AS min_separation, c.pooled_mad,
+         CASE WHEN p.chosen IS NOT NULL THEN 'stable_multifloor_grouping' WHEN o.overlap_windows < 100 OR o.beacons < 4 THEN 'insufficient_overlap_or_beacons' WHEN p.session_id IS NULL THEN 'k1_null_selected_no_valid_candidate'
+          ELSE 'k1_null_selected_' || array_to_string(c.fails, '_and_') END AS reason
+         FROM ago o LEFT JOIN (SELECT *, CASE WHEN v2 AND v3 THEN CASE WHEN s3 >= s2 + 0.05 THEN 3 ELSE 2 END WHEN v2 THEN 2 WHEN v3 THEN 3 END AS chosen, CASE WHEN s3 IS NULL OR s2 >= s3 THEN 2 ELSE 3 END AS best FROM (
+           SELECT session_id, coalesce(bool_or(valid) FILTER (WHERE k = 2), false) AS v2, coalesce(bool_or(valid) FILTER (WHERE k = 3), false) AS v3, max(silhouette) FILTER (WHERE k = 2) AS s2, max(silhouette) FILTER (WHERE k = 3) AS s3 FROM agc GROUP BY 1)) p USING (session_id)
+         LEFT JOIN agc c ON c.session_id = o.session_id AND c.k = coalesce(p.chosen, p.best)"""))
+def _(spark, sf):
+    return pr.auto_floor_groups(hourly_pressure(spark, sf))[1]
+
+
 def constrained(spark, sf):
     cells = durable(win.rssi_window_agg(A.rssi_samples(spark, sf), HOUR))
     hp = durable(hourly_pressure(spark, sf))
