@@ -214,7 +214,7 @@ def _(spark, sf):
 
 
 # -- sinks ---------------------------------------------------------------------
-@query("sink_tables", "session_id:i participant:s windows:i corrected:i")
+@query("sink_tables", "session_id:i participant:s windows:i corrected:i", with_ctes("SELECT session_id, 'p' || session_id AS participant, count(*) AS windows, count(corrected_room) AS corrected FROM slk GROUP BY 1"))
 def _(spark, sf):
     """Timeline written by collection and participant, read back, counted."""
     t = locked(spark, sf).select("session_id", "w", "corrected_room", "main_sleep", F.concat(F.lit("p"), F.col("session_id")).alias("participant"), F.lit("c1").alias("collection"))
