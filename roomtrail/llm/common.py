@@ -111,3 +111,14 @@ def star_edges(edges: DataFrame) -> DataFrame:
         if was == mark:
             break
     return now
+
+
+#: DuckDB table expression of one row: ``steps``, the 256 entries made from the polynomial of CRC-32.
+CRC32_STEPS = "(SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps FROM range(256) r(i))"
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes as a DuckDB expression, one step a byte,
+    where ``steps`` of CRC32_STEPS is in reach."""
+    code = f"list_transform(range(length(hex(encode({text}))) // 2), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {code}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"

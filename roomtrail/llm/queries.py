@@ -106,7 +106,7 @@ def op11(spark, sf_dir):
     return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
-@operation("op12_importance_resampling")
+@operation("op12_importance_resampling", resample.oracle())
 def op12(spark, sf_dir):
     found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")

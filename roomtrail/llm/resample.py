@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut
+from .common import CRC32_STEPS, arrow_map, crc32_sql, cut
 
 #: A-Z lowered, every byte outside words made a space; bytes over 0x7F are parts of words.
 _WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b > 0x7F else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -202,3 +202,34 @@ def draw(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", **options)
     a drawn one are told apart by nothing and come along."""
     drawn = resample(docs, target, id_col=id_col, **options).filter("rank IS NOT NULL").select(F.col("doc_id").alias("_drawn")).distinct()
     return docs.join(drawn, F.col(id_col).cast("long").eqNullSafe(F.col("_drawn")), "left_semi")
+
+
+def oracle(spec: Hashing | None = None, seed: int = 2024, percent: int = 10, least_words: int = 20) -> str:
+    """DuckDB SQL of :func:`resample` for single words, without ``n_words``: ranks come
+    from one sort of all rows. Each distinct word is hashed once."""
+    spec = spec or Hashing()
+    if spec.longest != 1:
+        raise ValueError("the SQL takes single words only")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    counts = "SELECT bucket, sum(n)::BIGINT AS n FROM {0} JOIN hashed USING (word) GROUP BY bucket"
+    return f"""
+WITH rows_ AS (SELECT row_number() OVER () AS r, doc_id, {words} AS words FROM documents),
+own AS (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(words) AS word FROM rows_) GROUP BY r, word),
+aim AS (SELECT word, count(*) AS n FROM (SELECT unnest({words}) AS word FROM benchmark) GROUP BY word),
+hashed AS (SELECT word, {crc32_sql("word")} % {spec.buckets} AS bucket FROM (SELECT word FROM own UNION SELECT word FROM aim) CROSS JOIN {CRC32_STEPS}),
+raw AS ({counts.format("own")}), target AS ({counts.format("aim")}),
+sums AS (SELECT (SELECT coalesce(sum(n), 0) FROM raw) AS s, (SELECT coalesce(sum(n), 0) FROM target) AS t),
+gain AS (
+  SELECT b AS bucket, floor(1000 * ln((coalesce(target.n, 0) + 1.0::DOUBLE) * (sums.s + {spec.buckets})::DOUBLE / ((coalesce(raw.n, 0) + 1.0::DOUBLE) * (sums.t + {spec.buckets})::DOUBLE)))::BIGINT AS g
+  FROM range({spec.buckets}) every_(b) CROSS JOIN sums LEFT JOIN raw ON raw.bucket = b LEFT JOIN target ON target.bucket = b),
+means AS (SELECT r, sum(n)::BIGINT AS n_features, floor(sum(n * g)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight FROM own JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY r),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM rows_ LEFT JOIN means USING (r)),
+ranked AS (
+  SELECT *, CASE WHEN n_features >= {least_words} THEN row_number() OVER (PARTITION BY n_features >= {least_words} ORDER BY score DESC, doc_id NULLS LAST) END AS place,
+    count(*) FILTER (n_features >= {least_words}) OVER () AS able
+  FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= able * {percent} // 100 THEN place END AS rank FROM ranked"""
