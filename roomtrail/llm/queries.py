@@ -93,7 +93,7 @@ def op8(spark, sf_dir):
     return lmscore.score(docs, lmscore.fit(docs, known), known, words)
 
 
-@operation("op11_conversation_repair")
+@operation("op11_conversation_repair", repair.oracle())
 def op11(spark, sf_dir):
     rows = repair.normal(table(spark, sf_dir, "conversations"))
     broken = repair.damaged(rows)

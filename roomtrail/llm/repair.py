@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut
+from .common import CRC32_STEPS, arrow_map, crc32_sql, cut
 
 #: Rows of a block.
 BLOCK = 2048
@@ -493,3 +493,66 @@ def damaged(rows: DataFrame) -> DataFrame:
     text = F.when(case == 1, "").when(case == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
     changed = rows.withColumn("_case", F.crc32(F.encode(key, "UTF-8")) % 20).filter("_case <> 0")
     return changed.select("conv_id", "turn", F.when(case == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.when(case == 3, 2).otherwise(1).alias("copies"))
+
+
+def oracle() -> str:
+    """DuckDB SQL of the damaged, repaired and audited ``conversations``: one recursion from
+    the last rows back keeps the least (cost, audit) of each state, which is the whole audit
+    as text; the repaired roles then follow from their places."""
+
+    def plus(node: str, cost: str, letter: str) -> str:
+        return f"{{'c': {node}.c + {cost}, 'a': '{letter}' || {node}.a}}"
+
+    def least(*nodes: str) -> str:
+        return f"list_min([{', '.join(nodes)}])"
+
+    far = f"{{'c': {1 << 40}::BIGINT, 'a': ''}}"
+    base = []
+    for q in range(STATES):
+        drop, name = plus(f"n{q}", str(DELETE), "D"), plus(f"n{AFTER[q]}", f"{REROLE} + cut_off * {TRUNCATED}", "R")
+        keep = " ".join(f"WHEN '{r}' THEN {plus(f'n{NEXT[q, i]}', f'cut_off * {TRUNCATED}', 'K')}" for i, r in enumerate(ROLES) if NEXT[q, i] >= 0)
+        base.append(f"CASE WHEN gone THEN {drop} ELSE {least(drop, name, f'CASE initial {keep} ELSE {far} END')} END AS b{q}")
+    insert = str(INSERT)
+    closing = f"{least('b2', plus('b3', insert, 'I'))} AS n2, {least('b3', plus('b2', insert, 'I'))} AS n3"
+    opening = f"{least('b0', plus('n2', insert, 'I'))} AS n0, {least('b1', plus('n2', insert, 'I'))} AS n1"
+    done = "{'c': 0::BIGINT, 'a': ''}"
+    return rf"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+ids AS (SELECT conv_id, row_number() OVER () AS g FROM (SELECT DISTINCT conv_id FROM conversations)),
+faulty AS (SELECT *, {crc32_sql("key")} % 20 AS kind FROM given CROSS JOIN {CRC32_STEPS}),
+damaged AS (
+  SELECT g, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM faulty JOIN ids ON ids.conv_id IS NOT DISTINCT FROM faulty.conv_id WHERE kind <> 0),
+placed AS (
+  SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again FROM placed),
+items AS (
+  SELECT g, i, turn, role, text, initial, blank, again AND NOT blank AS duplicate, blank OR again AS gone,
+    (NOT blank AND NOT again AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z'))::INT AS cut_off,
+    lag(initial) OVER (PARTITION BY g ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS illegal
+  FROM seen),
+counted AS (
+  SELECT g, max(i) AS size, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (duplicate) AS duplicate, sum(cut_off)::BIGINT AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM items GROUP BY g),
+path AS (
+  SELECT g, size AS left_, {opening.replace('b0', 'e0').replace('b1', 'e1')}, n2, n3
+  FROM (SELECT *, {closing} FROM (SELECT g, size, {done} AS e0, {far} AS e1, {far} AS b2, {done} AS b3 FROM counted))
+  UNION ALL
+  SELECT g, i - 1, {opening}, n2, n3
+  FROM (SELECT g, i, b0, b1, {closing} FROM (SELECT path.g, i, {', '.join(base)} FROM path JOIN items ON items.g = path.g AND items.i = path.left_))),
+best AS (SELECT g, n0.c AS cost, n0.a AS audit FROM path WHERE left_ = 0),
+letters AS (SELECT g, unnest(range(1, length(audit) + 1)) AS spot, unnest(string_split(audit, '')) AS edit FROM best WHERE audit <> ''),
+matched AS (SELECT *, CASE WHEN edit <> 'I' THEN count(*) FILTER (edit <> 'I') OVER (PARTITION BY g ORDER BY spot) END AS i FROM letters),
+stay AS (
+  SELECT m.g, m.edit, items.role, items.text, items.initial, row_number() OVER (PARTITION BY m.g ORDER BY m.spot) AS place
+  FROM matched m LEFT JOIN items ON items.g = m.g AND items.i = m.i WHERE m.edit <> 'D'),
+named AS (SELECT *, place - (first(edit = 'K' AND initial = 's') OVER (PARTITION BY g ORDER BY place))::INT AS turn_ FROM stay),
+texts AS (
+  SELECT g, string_agg(CASE WHEN edit = 'K' THEN role WHEN turn_ % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY place) AS body
+  FROM named GROUP BY g)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM ids LEFT JOIN counted USING (g) LEFT JOIN best USING (g) LEFT JOIN texts USING (g)"""
