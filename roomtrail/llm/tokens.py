@@ -1,8 +1,8 @@
 """Tokenizing whole texts by chunks that no token crosses, each distinct chunk once.
 
 A worker process keeps the ids of chunks it has met as packed 32-bit integers, so
-that a document's ids are one ``bytes.join``. The cache is bounded: it starts anew
-after CACHE_CHUNKS chunks.
+that a document's ids are one ``bytes.join``. The cache is bounded: it keeps the
+chunks met last, between CACHE_CHUNKS and twice as many.
 """
 
 from __future__ import annotations
@@ -14,26 +14,30 @@ import struct
 import numpy as np
 import pyarrow as pa
 
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 250_000
 
 
 class ChunkCache(dict):
-    """chunk -> packed little-endian int32 ids; ``encode`` fills what is missing."""
+    """chunk -> packed little-endian int32 ids; ``encode`` (of this cache and a chunk)
+    gives what is missing. When full, the entries become the older ones, which are
+    dropped at the next turn unless they were met again."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.encode(self, chunk)
+        if len(self) >= CACHE_CHUNKS:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
 
     def packed(self, chunks: list[str]) -> bytes:
-        try:
-            return b"".join([self[c] for c in chunks])
-        except KeyError:
-            new = list({c for c in chunks if c not in self})
-            if len(self) + len(new) > CACHE_CHUNKS:
-                self.clear()
-                new = list(set(chunks))
-            self.update(zip(new, self.encode(new), strict=True))
-            return b"".join([self[c] for c in chunks])
+        return b"".join(map(self.__getitem__, chunks))
 
 
 def packed(ids: list[int]) -> bytes:
@@ -56,9 +60,9 @@ _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|#$%&*]*)").fullmatch
 def word_tokenizer(path: str) -> ChunkCache:
     """Cache over a ``tokenizers`` file of byte-level words with lower-casing.
 
-    Plain words with trailing punctuation go straight to the file's merge model,
-    spelled as its normalizer and byte mapping spell them; everything else passes
-    the whole tokenizer.
+    Plain words go straight to the file's merge model, spelled as its normalizer and
+    byte mapping spell them, once for all their cases and trailing punctuation;
+    everything else passes the whole tokenizer.
     """
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import ByteLevel
@@ -70,23 +74,15 @@ def word_tokenizer(path: str) -> ChunkCache:
     spelled = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in letters})
     model = whole.model
 
-    def ids(word: str) -> list[int]:
-        return [t.id for t in model.tokenize(word)]
-
-    def encode(chunks: list[str]) -> list[bytes]:
-        out: list = [None] * len(chunks)
-        rest = []
-        for i, c in enumerate(chunks):
-            if m := _PLAIN(c):
-                word, tail = m.groups()
-                word = word.lower()
-                found = ids(word if word.isascii() else word.translate(spelled))
-                out[i] = packed(found + ids(tail) if tail else found)
-            else:
-                rest.append(i)
-        for i, e in zip(rest, whole.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = packed(e.ids)
-        return out
+    def encode(known: ChunkCache, chunk: str) -> bytes:
+        m = _PLAIN(chunk)
+        if m is None:
+            return packed(whole.encode(chunk, add_special_tokens=False).ids)
+        word, tail = m.groups()
+        low = word.lower()
+        if tail or low != word:
+            return known[low] + known[tail] if tail else known[low]
+        return packed([t.id for t in model.tokenize(word if word.isascii() else word.translate(spelled))])
 
     return ChunkCache(encode)
 

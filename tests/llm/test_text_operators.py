@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from roomtrail.llm import bpe, langid, licenses, lmscore, media, packing, secretscan, simhash
+from roomtrail.llm import bpe, langid, licenses, lmscore, media, packing, secretscan, simhash, tokens
 from roomtrail.llm.common import star_edges
 from roomtrail.llm.registry import OPERATIONS
 from roomtrail.llm.tokens import word_ids
@@ -213,6 +213,28 @@ def test_packing_query_cuts_and_fills(spark, folders, docs):
     assert len(held) == -(-sum(held.values()) // 2048)
 
 
+def test_chunks_in_use_are_encoded_once(monkeypatch):
+    """A full cache once forgot all chunks, also those that every text has."""
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 4)
+    made = []
+    cache = tokens.ChunkCache(lambda known, chunk: made.append(chunk) or chunk.encode())
+    for i in range(50):
+        assert cache.packed(["the", f"a{i}", "the", f"b{i}"]) == f"thea{i}theb{i}".encode()
+        assert len(cache) + len(cache.older) <= 8
+    assert made.count("the") == 1 and len(made) == 101
+
+
+def test_equal_words_pass_the_merge_model_once():
+    path = P.path("word_bpe_49k.json")
+    cache = tokens.word_tokenizer.__wrapped__(path)
+    made, encode = [], cache.encode
+    cache.encode = lambda known, chunk: made.append(chunk) or encode(known, chunk)
+    got = [cache.packed([c]) for c in ("Élève,", "élève", "élève.%%%", "ÉLÈVE")]
+    assert len(set(made) - {"Élève,", "élève.%%%", "ÉLÈVE", ",", ".%%%"}) == 1 == made.count("élève")
+    assert got == [word_ids(c, path) for c in ("Élève,", "élève", "élève.%%%", "ÉLÈVE")]
+    assert got[0][: len(got[1])] == got[1] == got[3]
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_best_fit_meets_every_capacity(score):
     rng = np.random.default_rng(4)
