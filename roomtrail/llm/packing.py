@@ -10,17 +10,21 @@ shard leaves at most a few sequences unfilled, about one in several thousand.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .common import arrow_map
-from .tokens import word_ids
+from .tokens import word_ids, word_tokenizer
 
 SHARD = 8192
+#: Rows of a batch that goes back to Spark: a batch with ids stays a few MB.
+OUT_ROWS = 512
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,6 +89,19 @@ def best_fit(length: np.ndarray, capacity: int, most_docs: int, most_attention:
     return bins, offset
 
 
+def appended(held: list[pa.RecordBatch], sequence: np.ndarray, offset: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of ``held`` in their order with two more columns, OUT_ROWS at a time; no
+    other column is copied, and each batch is let go once its rows are out."""
+    at = 0
+    while held:
+        batch = held.pop(0)
+        for start in range(0, batch.num_rows, OUT_ROWS):
+            part = batch.slice(start, OUT_ROWS)
+            stop = at + part.num_rows
+            yield part.append_column("sequence_id", pa.array(sequence[at:stop])).append_column("offset", pa.array(offset[at:stop]))
+            at = stop
+
+
 def pack(parts: DataFrame, documents: int, capacity: int = 2048, most_docs: int | None = None, most_attention: int | None = None, weights: tuple = (1.0, 1e-3, 1e-3), score: str = "norm") -> DataFrame:
     """``parts`` with ``sequence_id`` and ``offset``; other columns are kept.
 
@@ -95,11 +112,14 @@ def pack(parts: DataFrame, documents: int, capacity: int = 2048, most_docs: int
     shards = max(1, math.ceil(documents / SHARD))
     schema = parts.schema.add("sequence_id", LongType()).add("offset", LongType())
 
-    def one(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.drop_columns(["_shard"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        bins, offset = best_fit(rows["length"].to_numpy(), capacity, most_docs, most_attention, weights, score)
-        shard = key[0].as_py() << 32
-        return rows.append_column("sequence_id", pa.array(bins + shard)).append_column("offset", pa.array(offset))
+    def one(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_tokenizer.cache_clear()  # all texts are tokenized when a shard is read
+        held = [b.drop_columns(["_shard"]) for b in batches]
+        light = pa.Table.from_batches([b.select(["length", "doc_id", "piece"]) for b in held])
+        order = pc.sort_indices(light, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]).to_numpy()
+        bins, offset = best_fit(light["length"].to_numpy()[order], capacity, most_docs, most_attention, weights, score)
+        back = np.argsort(order)
+        yield from appended(held, (bins + (key[0].as_py() << 32))[back], offset[back])
 
     dealt = parts.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
     return dealt.groupBy("_shard").applyInArrow(one, schema)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -193,6 +194,40 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(word_ids(text, path), "<i4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_refining_learns_from_texts_outside_the_sample(spark):
+    model = langid.train([("a", "abc abd " * 40), ("b", "xyz xyy " * 40)], langid.Training(steps=60))
+    rows = [("a", "mmm nnm " * 500)] * 100 + [("b", "ooo ppo " * 500)] * 40 + [("b", None), ("a", "12"), (None, "mmm nnm " * 9)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    refined = langid.refine(model, docs, "lang", "text", rate=0.02)
+    weights = langid._weights(model), langid._weights(refined)
+    assert [w.shape for w in weights[0]] == [w.shape for w in weights[1]] and all(np.isfinite(w).all() for w in weights[1])
+    new = spark.createDataFrame([("a", "mmm nnm " * 30), ("b", "ooo ppo " * 30)], "lang string, text string")
+    assert all(r.lang == r.lang_pred and r.score > 0.7 for r in langid.predict(new, refined, keep=("lang",)).collect())
+    assert min(r.score if r.lang == r.lang_pred else 0 for r in langid.predict(new, model, keep=("lang",)).collect()) < 0.7
+    assert langid.refine(None, docs, "lang", "text") is None
+    assert langid.refine(model, docs.filter("lang IS NULL"), "lang", "text") is model
+
+
+def test_gradients_of_a_share_are_those_of_its_windows():
+    """Places without a share, and windows beyond a text, leave no mark."""
+    model = langid.train([("a", "abc abd " * 40), ("b", "xyz xyy " * 40)], langid.Training(steps=5))
+    data, owner, begin, length = langid.text_windows(pa.array(["skip", "x" * 130, None, "", "ab"]).slice(1))
+    assert (owner.tolist(), begin.tolist(), length.tolist()) == ([0, 0, 3], [4, 132, 134], [128, 2, 2])
+    x = np.stack([np.frombuffer(b"abcd", np.uint8), np.frombuffer(b"ab..", np.uint8)], axis=1)
+    live = np.array([[1, 1], [1, 1], [1, 0], [1, 0]], np.float32)
+    both = langid._gradients(model, x, live, np.array([0, 1]), live * np.float32([0.25, 0]))
+    alone = langid._gradients(model, x[:, :1], live[:, :1], np.array([0]), live[:, :1] / 4)
+    assert all(np.allclose(g, h, atol=1e-6) for g, h in zip(both, alone, strict=True))
+
+
+def test_pipeline_threshold_comes_from_all_labelled_texts(spark, monkeypatch):
+    """Of two languages at once, a labelled text scores below the sample's threshold."""
+    rows = [("a", "abc abd " * 40), ("b", "xyz xyy " * 40)]
+    docs = spark.createDataFrame([(i, t, k, None, len(t)) for i, (k, t) in enumerate([*rows, ("a", "abc abd " * 16 + "xyz xyy " * 16), (None, "12")])], SCHEMA)
+    monkeypatch.setattr(langid, "sample", lambda *a: rows)
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()} == {0, 1, 2}
+
+
 # --- packing ---------------------------------------------------------------------------
 
 
@@ -235,6 +270,26 @@ def test_equal_words_pass_the_merge_model_once():
     assert got[0][: len(got[1])] == got[1] == got[3]
 
 
+def test_packing_gives_back_batches_of_bounded_rows(spark):
+    """A shard once came back as one batch, sorted with its ids: copies of all of it."""
+    ids = [bytes([i % 251]) * 40 for i in range(1300)]
+    whole = pa.RecordBatch.from_pydict({"doc_id": list(range(1300)), "ids": ids})
+    held = [whole.slice(0, 900), whole.slice(900, 0), whole.slice(900, 400)]
+    where = whole.column("ids").buffers()[2].address
+    got = list(packing.appended(held, np.arange(1300) * 3, np.arange(1300) * 5))
+    assert held == [] and max(b.num_rows for b in got) <= packing.OUT_ROWS
+    assert {b.column("ids").buffers()[2].address for b in got} == {where}
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == [(i, ids[i], 3 * i, 5 * i) for i in range(1300)]
+    parts = spark.createDataFrame([(None, 0, 0, 40, b"a")] * 3 + [(i, 0, 0, 100 - i % 50, b"b") for i in range(700)], "doc_id long, piece int, start long, length long, ids binary")
+    out = packing.pack(parts, 700, 100).collect()
+    assert Counter((r.doc_id, r.length, bytes(r.ids)) for r in out) == Counter((r.doc_id, r.length, bytes(r.ids)) for r in parts.collect())
+    full = Counter()
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == full[r.sequence_id]
+        full[r.sequence_id] += r.length
+    assert max(full.values()) <= 100
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_best_fit_meets_every_capacity(score):
     rng = np.random.default_rng(4)
