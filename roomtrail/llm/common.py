@@ -29,6 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or sc.getCheckpointDir()).rstrip("/")
 
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 1 << 22
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers in Arrow batches of about BATCH_BYTES (one row at least),
+    unless the session names a bound itself.
+
+    Spark's own bound is 10,000 rows or 64 MB, held outside the heap by each running task,
+    with as much again while a batch grows, and once more by its worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -120,6 +120,7 @@ def pack(parts: DataFrame, documents: int, capacity: int = 2048, most_docs: int
         bins, offset = best_fit(light["length"].to_numpy()[order], capacity, most_docs, most_attention, weights, score)
         back = np.argsort(order)
         yield from appended(held, (bins + (key[0].as_py() << 32))[back], offset[back])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     dealt = parts.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
     return dealt.groupBy("_shard").applyInArrow(one, schema)

@@ -290,6 +290,27 @@ def test_packing_gives_back_batches_of_bounded_rows(spark):
     assert max(full.values()) <= 100
 
 
+@pytest.mark.parametrize("stage", ["language_id", "simhash_near_dedup", "best_fit_packing"])
+def test_pipeline_stages_hand_python_small_batches(spark, stage):
+    """Texts once went to the workers in batches of up to 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(1, "one two", None, None, 7)], SCHEMA)
+    big = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+
+    def bytes_of(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    try:
+        for own, most in ((None, 6 << 20), (str(20 << 20), 22 << 20)):  # a bound of the session's own holds
+            spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+            dict(corpus_pipeline.STAGES)[stage](spark, docs, "")
+            got = [r.n for r in big.mapInArrow(bytes_of, "n long").collect()]
+            assert sum(got) >= 40 << 20 and max(got) <= most and (own is None or max(got) > 6 << 20)
+    finally:
+        spark.conf.unset(key)
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_best_fit_meets_every_capacity(score):
     rng = np.random.default_rng(4)
