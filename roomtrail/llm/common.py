@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,24 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of each query that is made and run inside go as soon as it ends, unless
+    the session names the setting itself. For steps that end in ``cut``, which reads none again.
+
+    Else they stay until the driver happens to collect its garbage, however many steps later.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = key in spark.conf.getAll
+    if not own:
+        spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if not own:
+            spark.conf.unset(key)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

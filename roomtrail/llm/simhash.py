@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, plain, slices, star_edges
+from .common import arrow_map, cut, freed_shuffles, plain, slices, star_edges
 
 BITS = 64
 #: Buckets up to this many fingerprints are compared inside one task's memory.
@@ -219,9 +219,14 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     Null texts count as empty; wordless texts are copies of each other only if equal.
 
     Only numbers meet in buckets. The texts of nodes that share a bucket with another one
-    are fetched once and kept; all further steps read those.
+    are fetched once and kept; all further steps read those. Each step's shuffle files go
+    when it is kept.
     """
+    with freed_shuffles(docs.sparkSession):
+        return _near_groups(docs, shingle, similarity, id_col, text_col)
 
+
+def _near_groups(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     def sketch(batch: pa.RecordBatch) -> dict:
         out: dict = {"digest": [], "doc_id": batch.column(0), "fp": [], "keys": []}
         for t in batch.column(1).to_pylist():
@@ -241,8 +246,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     places = nodes.select("node", F.posexplode("keys").alias("v", "k")).select("node", F.xxhash64("v", "k").alias("key"))
     sizes = places.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = cut(places.join(sizes, "key"))
-    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "digest", "first", "rows")
-    texts = cut(_first_rows(base.withColumn("digest", _digest(F.col("text"))), wanted).join(wanted.select("node", "digest"), "digest").select("node", "text"))
+    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "digest", "first")
+    texts = cut(_first_rows(base.withColumn("digest", _digest(F.col("text"))), wanted, extra=("node",)).select("node", "text"))
     # Large buckets are dealt out at random, in another way in each table.
     place = F.xxhash64("node", "key")
     part = F.pmod(place, F.ceil(F.col("n") / SMALL))
@@ -320,12 +325,20 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _first_rows(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs(digest, ...)`` that ``nodes(digest, first, rows)`` names, one per digest."""
-    named = nodes.select(F.col("digest").alias("_digest"), "first", "rows")
-    own = docs.join(named, (F.col("digest") == F.col("_digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("first")))
-    repeated = own.filter("rows > 1").dropDuplicates(["digest"])
-    return own.filter("rows = 1").union(repeated).select(*docs.columns)
+def _first_rows(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", extra: tuple = ()) -> DataFrame:
+    """The rows of ``docs(digest, ...)`` that ``nodes(digest, first)`` names, one per digest,
+    with the ``extra`` columns of ``nodes``.
+
+    Rows of one digest and id stand for each other. Repeats go before the shuffle by both, which
+    also serves the join: ``docs`` is shuffled once, and no key is left with many rows.
+    """
+
+    def key(c: Column) -> list[Column]:
+        return [F.coalesce(c, F.lit(0)).alias("_id"), c.isNull().alias("_none")]
+
+    single = docs.select("*", *key(F.col(id_col).cast("long"))).dropDuplicates(["digest", "_id", "_none"])
+    named = nodes.select("digest", *key(F.col("first")), *extra)
+    return single.join(named, ["digest", "_id", "_none"]).select(*docs.columns, *extra)
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,11 +1,16 @@
 """Operators over documents against brute force, with every odd input at once."""
 
 import base64
+import contextlib
 import hashlib
+import io
 import random
 import re
+import tempfile
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +20,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from roomtrail.llm import bpe, langid, licenses, lmscore, media, packing, secretscan, simhash, tokens
-from roomtrail.llm.common import star_edges
+from roomtrail.llm.common import freed_shuffles, star_edges
 from roomtrail.llm.registry import OPERATIONS
 from roomtrail.llm.tokens import word_ids
 
@@ -443,6 +448,66 @@ def test_near_copies_leave_one_of_each_group(spark):
     assert sorted(r.doc_id for r in got) == [*range(8), 90, 92]
 
 
+def near_copy_texts():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(90)) for _ in range(120)) for _ in range(20)]
+    return texts + [t + " more" for t in texts[:10]]
+
+
+def test_near_copies_shuffle_the_texts_once_a_step(spark, monkeypatch):
+    """Fetching the texts of shared buckets and giving back the rows that stay each shuffle them once."""
+
+    def moved(df):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            df.explain("formatted")
+        nodes = re.split(r"\n\(\d+\) ", out.getvalue())
+        carried = r"\btext#|\bc1#|\bvalueSet#"  # as it is, or as the first of its key
+        return sum(bool(re.match(r"Exchange\b", n) and re.search(carried, n)) for n in nodes), any(re.match(r"Scan parquet", n) and "text#" in n for n in nodes)
+
+    plans, cut = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: plans.append(moved(df)) or cut(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with tempfile.TemporaryDirectory() as folder:
+            spark.createDataFrame(list(enumerate(near_copy_texts())), "doc_id long, text string").write.parquet(f"{folder}/docs")
+            got = simhash.drop_near_copies(spark.read.parquet(f"{folder}/docs"))
+            plans.append(moved(got))
+            assert sorted(r.doc_id for r in got.collect()) == list(range(20))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [n for n, reads in plans if reads] == [0, 1, 1]
+
+
+def test_near_copies_free_shuffle_files_of_ended_steps(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {p.name for f in folders for p in Path(f).rglob("shuffle_*.data")}
+    key, was = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    groups = simhash.near_groups(spark.createDataFrame(list(enumerate(near_copy_texts())), "doc_id long, text string"))
+    until = time.time() + 10
+    while files() - was and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - was
+    assert key not in spark.conf.getAll
+    assert groups.filter("keep").count() == 20
+    spark.conf.set(key, "false")  # what the session names holds
+    try:
+        with freed_shuffles(spark):
+            assert spark.conf.get(key) == "false"
+        assert spark.conf.get(key) == "false"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_first_rows_tell_null_ids_from_zero(spark):
+    docs = spark.createDataFrame([(0, "a", "k"), (0, "a", "k"), (None, "a", "l"), (None, "b", "m"), (None, "b", "m"), (0, "c", "n"), (7, "c", "o")], "doc_id long, text string, mark string")
+    docs = docs.withColumn("digest", simhash._digest(docs.text))
+    named = spark.createDataFrame([("a", 0, 1), ("b", None, 2), ("c", 7, 3)], "text string, first long, node long")
+    named = named.select(simhash._digest(named.text).alias("digest"), "first", "node")
+    got = simhash._first_rows(docs, named, extra=("node",)).collect()
+    assert sorted((r.node, r.doc_id, r.text, r.mark) for r in got) == [(1, 0, "a", "k"), (2, None, "b", "m"), (3, 7, "c", "o")]
+
+
 def brute_groups(texts, similarity=0.8):
     """Sets of places of ``texts`` that links of ``similarity`` join."""
     sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
