@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .common import arrow_map
-from .tokens import word_ids, word_tokenizer
+from .tokens import text_ids, word_tokenizer
 
 SHARD = 8192
 #: Rows of a batch that goes back to Spark: a batch with ids stays a few MB.
@@ -35,8 +35,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id
 
     def rows(batch: pa.RecordBatch) -> dict:
         out: dict = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = word_ids(text, path) + end
+        for doc, found in zip(batch.column(0).to_pylist(), text_ids(batch.column(1), path), strict=True):
+            ids = bytes(found) + end
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
                 for name, value in (("doc_id", doc), ("piece", k), ("start", k * capacity), ("length", len(part) // 4), ("ids", part)):

@@ -275,6 +275,32 @@ def test_equal_words_pass_the_merge_model_once():
     assert got[0][: len(got[1])] == got[1] == got[3]
 
 
+def test_missing_words_of_a_batch_pass_the_merge_model_together(monkeypatch):
+    """Each missing word was once a call of its own; cases and tails took room in the cache."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    rng = random.Random(5)
+    made = ["".join(rng.choices("abcdefghinorstuéüßÉA", k=rng.randint(1, 12))) + rng.choice(["", "", ".", ",!?", "%%"]) for _ in range(3000)]
+    odd = [None, "", " ", "x  y\n\tz ", "e\u0301te\u0301 ÀÖØ×÷ ÿŸ İstanbul ſ", "...", "a.b c,d don't", "</w> a</w> <|endoftext|>", "日本 x\u00a0y z\u2028w"]
+    texts = pa.array(["skip", *odd, *(" ".join(made[i : i + 100]) for i in range(0, 3000, 100)), None]).slice(1)
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 400)
+    cache = tokens.word_tokenizer.__wrapped__(path)
+    monkeypatch.setattr(tokens, "word_tokenizer", lambda path: cache)
+    calls, encode = [], cache.words.encode
+    cache.words.encode = lambda words: calls.append(words.to_pylist()) or encode(words)
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+    assert [np.frombuffer(x, "<i4").tolist() for x in tokens.text_ids(texts, path)] == want
+    assert len(calls) == 1 and len(set(calls[0])) == len(calls[0]) and all(w == w.lower() and w.isalpha() for w in calls[0])
+    assert len(cache.words.words) == 400  # cut to its bound
+    for at in (0, 7, 30):  # words that were dropped, and others that were not
+        assert [np.frombuffer(x, "<i4").tolist() for x in tokens.text_ids(texts.slice(at, 9), path)] == want[at : at + 9]
+        assert len(cache.words.words) <= 2 * 400
+    assert tokens.text_ids(texts.slice(0, 0), path) == []
+
+
 def test_packing_gives_back_batches_of_bounded_rows(spark):
     """A shard once came back as one batch, sorted with its ids: copies of all of it."""
     ids = [bytes([i % 251]) * 40 for i in range(1300)]
